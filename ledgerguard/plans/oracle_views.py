@@ -60,7 +60,7 @@ SELECT l_orderkey * 8 + l_linenumber AS Id, l_orderkey AS EntityId,
   CAST(min(l_shipdate) AS DATE) AS DueDate, (l_orderkey + l_linenumber) % 11 <> 0 AS IsActive
 FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "contract_notes": """
-SELECT o.o_orderkey AS ContractId,
+SELECT o.o_orderkey AS ContractId, o.o_custkey AS CustomerId,
   'Reach ' || upper(c.FirstName) || ' ' || coalesce(c.LastName, 'Inc') || ' at ' || c.Email || ' or ' || c.Phone
   || ', ssn ' || c.SSN || ', card 4111 1111 1111 111' || CAST(o.o_orderkey % 10 AS VARCHAR)
   || ' re CT-' || CAST(o.o_orderkey AS VARCHAR) AS note

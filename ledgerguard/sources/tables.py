@@ -183,7 +183,7 @@ def derive_contract_notes(orders: DataFrame, customers: DataFrame) -> DataFrame:
         _str(F.col("o_orderkey") % 10), F.lit(" re CT-"), _str(F.col("o_orderkey")))
     return (orders.select("o_orderkey", "o_custkey")
             .join(c, F.col("o_custkey") == c.Id)
-            .select(F.col("o_orderkey").alias("ContractId"), note.alias("note")))
+            .select(F.col("o_orderkey").alias("ContractId"), F.col("o_custkey").alias("CustomerId"), note.alias("note")))
 
 
 class ContractTables(dict):
