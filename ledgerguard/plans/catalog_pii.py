@@ -97,10 +97,26 @@ NOTES_SRC = "(SELECT ContractId AS id, CustomerId AS session_id, note AS t FROM
 DOCS_SRC = "(SELECT doc_id AS id, source AS session_id, text AS t FROM documents)"
 
 
+WORD_RE2 = "'[\\p{L}\\p{N}_]'"
+
+
+def sql_literal_offsets(src: str, cols: str) -> str:
+    """Word-bounded, case-insensitive occurrences of a literal ``value`` in ``t`` (constant patterns only):
+    ``string_split`` on the lower-cased literal gives the gaps, boundaries are checked per occurrence."""
+    return f"""
+SELECT {cols}, "start", "start" + length(value) AS "end", substr(t, "start" + 1, length(value)) AS value FROM (
+  SELECT {cols}, t, value,
+         CAST(list_sum([length(gaps[k]) for k in range(1, i + 1)]) + (i - 1) * length(value) AS INTEGER) AS "start"
+  FROM (SELECT {cols}, t, value, gaps, unnest(range(1, len(gaps))) AS i FROM (
+    SELECT {cols}, t, value, string_split(lower(t), lower(value)) AS gaps FROM {src}) a) b) c
+WHERE ("start" = 0 OR NOT regexp_matches(substr(t, "start", 1), {WORD_RE2}))
+  AND ("start" + length(value) = length(t) OR NOT regexp_matches(substr(t, "start" + length(value) + 1, 1), {WORD_RE2}))"""
+
+
 def sql_known_spans() -> str:
-    src = (f"(SELECT n.id, n.session_id, n.t, {KNOWN_PATTERN_SQL} AS p, kv.entity FROM {NOTES_SRC} n "
+    src = (f"(SELECT n.id, n.session_id, n.t, kv.value, kv.entity FROM {NOTES_SRC} n "
            f"JOIN kv ON kv.session_id = n.session_id WHERE length(kv.value) >= {P.KNOWN_VALUE_MIN_LENGTH})")
-    base = sql_offsets(src, "id, session_id, entity", "p")
+    base = sql_literal_offsets(src, "id, session_id, entity")
     return f"SELECT id, session_id, \"start\", \"end\", value, entity, {P.entity_rank('PERSON', 'known')} AS rank FROM ({base}) k"
 
 
@@ -266,15 +282,17 @@ REGISTRY["resolve_spans"] = (q_resolve_spans, with_ctes(
 
 @query("allow_list_filter", None)
 def q_allow_list_filter(spark, d):
-    """D9 on every word of the conversations: which words the allow-list keeps unmasked."""
-    conv = T(spark, d)["conversations"]
+    """D9 on every word of the notes and conversations: which words the allow-list keeps unmasked."""
+    t = T(spark, d)
+    texts = t["conversations"].select("text").unionByName(t["contract_notes"].select(F.col("note").alias("text")))
     words = F.split(F.col("text"), r"(?U)\s+")
-    return (conv.select("conv_id", "turn", F.explode(words).alias("word"))
+    return (texts.select(F.explode(words).alias("word"))
             .where(S.is_allowed(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
 REGISTRY["allow_list_filter"] = (q_allow_list_filter, with_views(f"""
-SELECT value AS word, COUNT(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS value FROM conversations) w
+SELECT value AS word, COUNT(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS value FROM
+  (SELECT text FROM conversations UNION ALL SELECT note FROM contract_notes) x) w
 WHERE {ALLOW_SQL} GROUP BY value"""))
 
 
@@ -458,22 +476,25 @@ def q_leak_scan(spark, d):
     return M.leak_scan(notes, "note", ["ContractId"], _leak_values(spark, d)).distinct()
 
 
-REGISTRY["leak_scan"] = (q_leak_scan, with_views("""
-WITH vals AS (
-  SELECT DISTINCT value, entity FROM (
+_LEAK_CTES = [
+    ("vals", """SELECT DISTINCT value, entity FROM (
     SELECT trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS value, entity FROM (
       SELECT FirstName AS raw, 'PERSON' AS entity FROM customers UNION ALL SELECT LastName, 'PERSON' FROM customers
       UNION ALL SELECT AddressLine1, 'ADDRESS' FROM customers UNION ALL SELECT AddressLine2, 'ADDRESS' FROM customers
       UNION ALL SELECT Zip, 'ZIP' FROM customers UNION ALL SELECT Phone, 'PHONE' FROM customers
       UNION ALL SELECT Email, 'EMAIL' FROM customers UNION ALL SELECT SSN, 'SSN' FROM customers
       UNION ALL SELECT FirstName || ' ' || LastName, 'PERSON' FROM customers) u WHERE raw IS NOT NULL) x
-  WHERE length(value) >= 3),
-vw AS (SELECT value, entity, unnest(string_split_regex(lower(value), '[^\\p{L}\\p{N}_]+')) AS word FROM vals),
-nw AS (SELECT DISTINCT ContractId, unnest(string_split_regex(lower(note), '[^\\p{L}\\p{N}_]+')) AS word FROM contract_notes),
-cand AS (SELECT DISTINCT n.ContractId, v.value, v.entity FROM nw n JOIN vw v ON v.word = n.word AND v.word <> '')
-SELECT c.ContractId, c.entity, c.value FROM cand c JOIN contract_notes cn ON cn.ContractId = c.ContractId
-WHERE regexp_matches(cn.note, '(?i)(^|[^\\p{L}\\p{N}_])' || array_to_string(list_transform(string_split(c.value, ' '),
-      lambda w: regexp_escape(w)), '\\s+') || '($|[^\\p{L}\\p{N}_])')"""))
+  WHERE length(value) >= 3"""),
+    ("vw", "SELECT value, entity, unnest(string_split_regex(lower(value), '[^\\p{L}\\p{N}_]+')) AS word FROM vals"),
+    ("nw", "SELECT DISTINCT ContractId, unnest(string_split_regex(lower(note), '[^\\p{L}\\p{N}_]+')) AS word "
+           "FROM contract_notes"),
+    ("cand", "SELECT DISTINCT n.ContractId, v.value, v.entity FROM nw n JOIN vw v ON v.word = n.word AND v.word <> ''"),
+    ("src", "SELECT c.ContractId, c.entity, c.value AS canon, c.value, cn.note AS t FROM cand c "
+            "JOIN contract_notes cn ON cn.ContractId = c.ContractId"),
+]
+REGISTRY["leak_scan"] = (q_leak_scan, with_views(
+    "SELECT DISTINCT ContractId, entity, canon AS value FROM (" + sql_literal_offsets("src", "ContractId, entity, canon")
+    + ") o", *_LEAK_CTES))
 
 
 @query("leak_scan_masked", None)
