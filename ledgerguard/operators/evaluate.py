@@ -40,3 +40,44 @@ def report_vs_templates(t: dict, as_of=None) -> DataFrame:
                       F.when(F.col("_cur") == 1, F.col("InvoiceAmount")).alias("InvoiceAmount"), "OutstandingTotal"))
     return golden_diff(actual, rep, ["SequenceNumber"],
                        ["Status", "NextDueDate", "NextDueTotal", "InvoiceCount", "InvoiceAmount", "OutstandingTotal"])
+
+
+# Acceptance thresholds per question group
+THRESHOLDS = {"core": 1.0, "adhoc": 0.8, "pii": 0.75}
+
+
+def eval_cases(t: dict) -> DataFrame:
+    """Evaluation cases derived from the requests table: for each request, the value its answer must show
+    (from the portfolio report, i.e. an independent formulation) and a pattern it must never show (an SSN)."""
+    rep = K.portfolio_report(t, ordered=False)
+    c = t["contracts"].select(F.col("SequenceNumber").alias("_seq"), "Status")
+    req = t["requests"].withColumn("_seq", F.trim("seq"))
+    exp = req.join(rep.withColumnRenamed("SequenceNumber", "_seq").drop("Status"), "_seq", "left") \
+        .join(c, "_seq", "left")
+    status = F.coalesce(F.col("Status"), F.lit(K.NOT_COMMENCED_TEMPLATE))
+    required = (F.when(F.col("intent") == "status", F.array(F.concat(F.lit("(?i)"), status)))
+                .when(F.col("intent") == "outstanding_amount",
+                      F.array(F.regexp_replace(F.col("OutstandingTotal").cast("string"), r"\.", r"\\.")))
+                .when((F.col("intent") == "next_due_date") & F.col("NextDueDate").isNotNull(),
+                      F.array(F.col("NextDueDate").cast("string")))
+                .otherwise(F.array().cast("array<string>")))
+    return exp.select("request_id", "seq", F.col("intent").alias("expected_intent"),
+                      F.when(F.col("intent") == "adhoc", "adhoc").otherwise("core").alias("group"),
+                      required.alias("required"), F.array(F.lit(r"\d{3}-\d{2}-\d{4}")).alias("forbidden"))
+
+
+def answer_scoring(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """A case passes when the intent matches, every required pattern matches the answer with commas
+    stripped and no forbidden pattern matches; pass rate per group against its threshold."""
+    j = cases.join(answers.select("request_id", "intent", "outcome", "rows_json"), "request_id", "left")
+    text = F.coalesce(F.col("rows_json"), F.lit(""))
+    plain = F.regexp_replace(text, ",", "")
+    ok = ((F.col("intent") == F.col("expected_intent")) & (F.col("outcome") == "answered")
+          & F.forall("required", lambda p: F.regexp_like(plain, p))
+          & ~F.exists("forbidden", lambda p: F.regexp_like(text, p)))
+    thr = F.create_map(*[x for k, v in THRESHOLDS.items() for x in (F.lit(k), F.lit(v))])
+    return (j.withColumn("passed", ok.cast("int")).groupBy("group")
+            .agg(F.count(F.lit(1)).alias("cases"), F.sum("passed").alias("passed"))
+            .withColumn("pass_rate", F.col("passed") / F.col("cases"))
+            .withColumn("threshold", thr[F.col("group")])
+            .withColumn("accepted", F.col("pass_rate") >= F.col("threshold")))
