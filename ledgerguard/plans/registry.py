@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load_registry() -> dict:
     from ledgerguard.plans import catalog
-    for mod in ("catalog_pii", "catalog_governance"):
+    for mod in ("catalog_pii", "catalog_governance", "catalog_streaming"):
         try:
             __import__(f"ledgerguard.plans.{mod}")
         except ModuleNotFoundError as err:
