@@ -80,11 +80,36 @@ def known_value_pattern(value: Column) -> Column:
     return F.concat(F.lit(f"(?iU)(?<!{P.WORD_CHAR})"), F.array_join(quoted, r"\s+"), F.lit(f"(?!{P.WORD_CHAR})"))
 
 
-def known_spans(text: Column, known: Column) -> Column:
-    """Spans of a row's known values; ``known`` is ``array<struct<value, entity, pattern>>``."""
+def known_value_body(value: Column) -> Column:
+    """The value's words, quoted, joined by ``\\s+`` (no boundaries, no flags)."""
+    words = F.split(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), " ")
+    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")),
+                                                   F.lit(r"\E")))
+    return F.array_join(quoted, r"\s+")
+
+
+def known_alternation(bodies: Column) -> Column:
+    """One pattern for all known values of a session, longest first, word-bounded, case-insensitive."""
+    return F.concat(F.lit(f"(?iU)(?<!{P.WORD_CHAR})(?:"), F.array_join(bodies, "|"), F.lit(f")(?!{P.WORD_CHAR})"))
+
+
+def known_spans(text: Column, known: Column, known_pattern: Column | None = None) -> Column:
+    """Spans of a row's known values; ``known`` is ``array<struct<value, entity, pattern>>``.
+
+    With ``known_pattern`` (the session's longest-first alternation) the text is scanned once and each match
+    is mapped back to its value by normalised text; the rows of one session are contiguous after the
+    session join, so Spark compiles that pattern once per session and task. At one start the alternation
+    takes the longest value and resumes after it, which is what overlap resolution would keep anyway."""
+    rank = P.entity_rank("PERSON", "known")
+    if known_pattern is not None:
+        lookup = F.map_from_arrays(F.transform(known, lambda v: normalize_value(v["value"])),
+                                   F.transform(known, lambda v: v["entity"]))
+        offs = F.when(F.size(known) > 0, match_offsets(text, known_pattern)).otherwise(F.array().cast(OFFSETS))
+        return F.transform(offs, lambda o: _span(o["start"], o["end"],
+                                                 F.element_at(lookup, normalize_value(span_text(text, o))), "known", rank))
     per_value = F.transform(known, lambda v: F.transform(
         match_offsets(text, v["pattern"]),
-        lambda o: _span(o["start"], o["end"], v["entity"], "known", P.entity_rank("PERSON", "known"))))
+        lambda o: _span(o["start"], o["end"], v["entity"], "known", rank)))
     return F.coalesce(F.flatten(per_value), F.array().cast(SPANS))
 
 
@@ -115,7 +140,8 @@ def token_offsets(text: Column) -> Column:
 def drop_protected(text: Column, spans: Column) -> Column:
     """Spans overlapping an existing ``<TYPE_n>`` token are dropped (idempotent masking)."""
     prot = token_offsets(text)
-    return F.filter(spans, lambda s: ~F.exists(prot, lambda p: (p["start"] < s["end"]) & (s["start"] < p["end"])))
+    kept = F.filter(spans, lambda s: ~F.exists(prot, lambda p: (p["start"] < s["end"]) & (s["start"] < p["end"])))
+    return F.when(F.coalesce(text, F.lit("")).contains("<"), kept).otherwise(spans)
 
 
 def resolve(text: Column, spans: Column) -> Column:

@@ -34,13 +34,14 @@ class Masked:
     vault: DataFrame      # session_id, entity, norm, value, n, token
 
 
-def detected_spans(text, known=None, use_regex: bool = True, entities=P.REGEX_ENTITIES, extra=None):
+def detected_spans(text, known=None, use_regex: bool = True, entities=P.REGEX_ENTITIES, extra=None,
+                   known_pattern=None):
     """Raw (unresolved) spans of a text column: regex detectors, then known values, then extra (e.g. NER)."""
     parts = []
     if use_regex:
         parts.append(S.all_regex_spans(text, entities))
     if known is not None:
-        parts.append(S.known_spans(text, known))
+        parts.append(S.known_spans(text, known, known_pattern))
     if extra is not None:
         parts.append(F.coalesce(extra, F.array().cast(S.SPANS)))
     if not parts:
@@ -70,7 +71,8 @@ def mask_cells(cells: DataFrame, keys: list[str], order: list[str], text_col: st
         known = F.coalesce(F.col("known"), F.array().cast("array<struct<value:string,entity:string,pattern:string>>"))
     text = F.col(text_col)
     found = S.resolve(text, detected_spans(text, known, use_regex,
-                                           extra=F.col(extra_spans_col) if extra_spans_col else None))
+                                           extra=F.col(extra_spans_col) if extra_spans_col else None,
+                                           known_pattern=F.col("known_pattern") if known is not None else None))
     if entity_col is not None:
         whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).cast("int").alias("end"),
                                  F.col(entity_col).alias("entity"), F.lit("column").alias("source"),
@@ -82,7 +84,7 @@ def mask_cells(cells: DataFrame, keys: list[str], order: list[str], text_col: st
         S.display_value(S.span_text(text, s)).alias("value"), S.normalize_value(S.span_text(text, s)).alias("norm")))
     c = c.withColumn("_spans", with_values)
     if known is not None:
-        c = c.drop("known")
+        c = c.drop("known", "known_pattern")
     c = c.persist(StorageLevel.MEMORY_AND_DISK)
 
     cidx = F.col(col_idx_col) if col_idx_col else F.lit(0)

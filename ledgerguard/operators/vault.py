@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.functions import patterns as P
-from ledgerguard.functions.spans import display_value, known_value_pattern, normalize_value
+from ledgerguard.functions.spans import (display_value, known_alternation, known_value_body, known_value_pattern,
+                                         normalize_value)
 from ledgerguard.plans.ranking import rank_within
 
 VAULT_COLUMNS = ("session_id", "entity", "norm", "value", "n", "token")
@@ -53,9 +54,14 @@ def known_values_ranked(kv: DataFrame) -> DataFrame:
 def session_known(kv: DataFrame, min_length: int = P.KNOWN_VALUE_MIN_LENGTH) -> DataFrame:
     """Known values usable by the detector (length >= min_length), one array per session."""
     usable = kv.where(F.length("value") >= min_length)
-    return (usable.groupBy("session_id")
-            .agg(F.collect_list(F.struct("value", "entity", known_value_pattern(F.col("value")).alias("pattern")))
-                 .alias("known")))
+    known = F.collect_list(F.struct("value", "entity", known_value_pattern(F.col("value")).alias("pattern")))
+    bodies = F.collect_list(F.struct(F.length("value").alias("len"), known_value_body(F.col("value")).alias("body")))
+    return (usable.groupBy("session_id").agg(known.alias("known"), bodies.alias("_b"))
+            .select("session_id", "known",
+                    known_alternation(F.transform(F.array_sort(F.col("_b"), lambda a, b: (
+                        F.when(a["len"] > b["len"], -1).when(a["len"] < b["len"], 1)
+                        .when(a["body"] < b["body"], -1).when(a["body"] > b["body"], 1).otherwise(0))),
+                        lambda x: x["body"])).alias("known_pattern")))
 
 
 def assign_tokens(occ: DataFrame, vault: DataFrame | None = None) -> DataFrame:

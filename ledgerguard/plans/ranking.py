@@ -15,9 +15,23 @@ from pyspark.sql import functions as F
 from ledgerguard.session import checkpoint_dir
 
 
+# Largest group a single window task may hold; above it the range/offset path is used.
+HOT_GROUP_ROWS = 1_000_000
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "rank",
-                partitions: int | None = None) -> DataFrame:
-    """Dense 1-based numbering of rows within ``keys`` by ``order`` (order values must be unique per key)."""
+                partitions: int | None = None, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+    """Dense 1-based numbering of rows within ``keys`` by ``order`` (order values must be unique per key).
+
+    One cheap partial aggregation checks the largest group first (a single-row answer reaches the driver):
+    when no group exceeds ``hot_rows`` a plain window is used, otherwise the range/offset path. Pass
+    ``hot_rows=None`` to force the range path."""
+    if hot_rows is not None:
+        hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+               .limit(1).count())
+        if not hot:
+            w = Window.partitionBy(*keys).orderBy(*order)
+            return df.withColumn(out, F.row_number().over(w).cast("long"))
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
