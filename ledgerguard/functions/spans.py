@@ -24,19 +24,22 @@ def _lit_or_col(p) -> Column:
     return p if isinstance(p, Column) else F.lit(p)
 
 
-def match_offsets(text: Column, pattern) -> Column:
-    """All non-overlapping matches of ``pattern`` in ``text`` as ``array<struct<start,end>>``."""
+def match_offsets(text: Column, pattern, make=None, out_type: str = OFFSETS) -> Column:
+    """All non-overlapping matches of ``pattern`` in ``text`` as ``array<struct<start,end>>`` (or whatever
+    ``make(start, end)`` builds, typed ``out_type``). ``zip_with`` pairs gap and match lengths (each array is
+    computed once), one ``aggregate`` folds the running offset."""
     t = F.coalesce(text, F.lit(""))
     pat = _lit_or_col(pattern)
     m = F.regexp_extract_all(t, pat, F.lit(0))
     g = F.split(t, pat, -1)
+    make = make or (lambda s, e: F.struct(s.alias("start"), e.alias("end")))
     lens = F.zip_with(g, m, lambda a, b: F.struct(F.length(a).alias("g"),
                                                   F.coalesce(F.length(b), F.lit(0)).alias("m")))
-    init = F.struct(F.array().cast(OFFSETS).alias("out"), F.lit(0).alias("pos"))
+    init = F.struct(F.array().cast(out_type).alias("out"), F.lit(0).alias("pos"))
 
     def step(acc, x):
         s = acc["pos"] + x["g"]
-        grown = F.concat(acc["out"], F.array(F.struct(s.alias("start"), (s + x["m"]).alias("end"))))
+        grown = F.concat(acc["out"], F.array(make(s, s + x["m"])))
         return F.struct(F.when(x["m"] > 0, grown).otherwise(acc["out"]).alias("out"), (s + x["m"]).alias("pos"))
 
     return F.aggregate(lens, init, step, lambda acc: acc["out"])
@@ -57,14 +60,23 @@ def luhn_ok(digits_text: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def _could_match(text: Column, entity: str) -> Column:
+    """Necessary condition for a detector to match, far cheaper than the detector: an '@' for emails,
+    a decimal digit for the numeric detectors. Texts failing it skip both offset scans."""
+    t = F.coalesce(text, F.lit(""))
+    if entity == "EMAIL":
+        return t.contains("@")
+    return t.rlike(r"\p{Nd}")
+
+
 def regex_spans(text: Column, entity: str) -> Column:
     """Spans of one regex detector (cards must pass the Luhn check)."""
     rank = P.entity_rank(entity, "regex")
-    spans = F.transform(match_offsets(text, P.REGEXES[entity]),
-                        lambda o: _span(o["start"], o["end"], F.lit(entity), "regex", rank))
+    spans = match_offsets(text, P.REGEXES[entity],
+                          make=lambda s, e: _span(s, e, F.lit(entity), "regex", rank), out_type=SPANS)
     if entity == "CREDIT_CARD":
         spans = F.filter(spans, lambda s: luhn_ok(span_text(text, s)))
-    return spans
+    return F.when(_could_match(text, entity), spans).otherwise(F.array().cast(SPANS))
 
 
 def all_regex_spans(text: Column, entities=P.REGEX_ENTITIES) -> Column:
@@ -93,7 +105,8 @@ def known_alternation(bodies: Column) -> Column:
     return F.concat(F.lit(f"(?iU)(?<!{P.WORD_CHAR})(?:"), F.array_join(bodies, "|"), F.lit(f")(?!{P.WORD_CHAR})"))
 
 
-def known_spans(text: Column, known: Column, known_pattern: Column | None = None) -> Column:
+def known_spans(text: Column, known: Column, known_pattern: Column | None = None,
+                known_lookup: Column | None = None) -> Column:
     """Spans of a row's known values; ``known`` is ``array<struct<value, entity, pattern>>``.
 
     With ``known_pattern`` (the session's longest-first alternation) the text is scanned once and each match
@@ -102,8 +115,8 @@ def known_spans(text: Column, known: Column, known_pattern: Column | None = None
     takes the longest value and resumes after it, which is what overlap resolution would keep anyway."""
     rank = P.entity_rank("PERSON", "known")
     if known_pattern is not None:
-        lookup = F.map_from_arrays(F.transform(known, lambda v: normalize_value(v["value"])),
-                                   F.transform(known, lambda v: v["entity"]))
+        lookup = known_lookup if known_lookup is not None else F.map_from_arrays(
+            F.transform(known, lambda v: normalize_value(v["value"])), F.transform(known, lambda v: v["entity"]))
         offs = F.when(F.size(known) > 0, match_offsets(text, known_pattern)).otherwise(F.array().cast(OFFSETS))
         return F.transform(offs, lambda o: _span(o["start"], o["end"],
                                                  F.element_at(lookup, normalize_value(span_text(text, o))), "known", rank))
@@ -144,11 +157,26 @@ def drop_protected(text: Column, spans: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")).contains("<"), kept).otherwise(spans)
 
 
+def _allow_list_skips_regex() -> bool:
+    """True when no regex-detector match can be allow-listed: every term is free of digits and '@' and every
+    allow pattern starts with a letter, while detector matches are digits/separators or contain '@'."""
+    return (all(not any(ch.isdigit() or ch == "@" for ch in t) for t in P.ALLOW_TERMS)
+            and all(p[:1].isalpha() for p in P.ALLOW_PATTERNS))
+
+
+ALLOW_SKIPS_REGEX = _allow_list_skips_regex()
+
+
 def resolve(text: Column, spans: Column) -> Column:
     """Possessive trim, allow-list and token protection, then greedy non-overlap choice ordered by
     (start, longest first, detector rank)."""
-    trimmed = trim_possessive(text, spans)
-    cands = drop_protected(text, F.filter(trimmed, lambda s: ~is_allowed(span_text(text, s))))
+    t = F.coalesce(text, F.lit(""))
+    trimmed = F.when(t.contains("'s") | t.contains("’s"), trim_possessive(text, spans)).otherwise(spans)
+    if ALLOW_SKIPS_REGEX:
+        keep = lambda s: (s["source"] == "regex") | ~is_allowed(span_text(text, s))
+    else:
+        keep = lambda s: ~is_allowed(span_text(text, s))
+    cands = drop_protected(text, F.filter(trimmed, keep))
     keyed = F.transform(cands, lambda s: F.struct(s["start"].alias("k1"), (s["start"] - s["end"]).alias("k2"),
                                                   s["rank"].alias("k3"), s.alias("s")))
     ordered = F.transform(F.array_sort(keyed), lambda x: x["s"])
@@ -159,7 +187,8 @@ def resolve(text: Column, spans: Column) -> Column:
         return F.struct(F.when(take, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"),
                         F.when(take, s["end"]).otherwise(acc["end"]).alias("end"))
 
-    return F.aggregate(ordered, init, step, lambda acc: acc["out"])
+    chosen = F.aggregate(ordered, init, step, lambda acc: acc["out"])
+    return F.when(F.size(spans) > 0, chosen).otherwise(F.array().cast(SPANS))
 
 
 def normalize_value(c: Column) -> Column:

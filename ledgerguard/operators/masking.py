@@ -35,13 +35,13 @@ class Masked:
 
 
 def detected_spans(text, known=None, use_regex: bool = True, entities=P.REGEX_ENTITIES, extra=None,
-                   known_pattern=None):
+                   known_pattern=None, known_lookup=None):
     """Raw (unresolved) spans of a text column: regex detectors, then known values, then extra (e.g. NER)."""
     parts = []
     if use_regex:
         parts.append(S.all_regex_spans(text, entities))
     if known is not None:
-        parts.append(S.known_spans(text, known, known_pattern))
+        parts.append(S.known_spans(text, known, known_pattern, known_lookup))
     if extra is not None:
         parts.append(F.coalesce(extra, F.array().cast(S.SPANS)))
     if not parts:
@@ -70,9 +70,16 @@ def mask_cells(cells: DataFrame, keys: list[str], order: list[str], text_col: st
         c = c.join(kn, "_session", "left")
         known = F.coalesce(F.col("known"), F.array().cast("array<struct<value:string,entity:string,pattern:string>>"))
     text = F.col(text_col)
-    found = S.resolve(text, detected_spans(text, known, use_regex,
-                                           extra=F.col(extra_spans_col) if extra_spans_col else None,
-                                           known_pattern=F.col("known_pattern") if known is not None else None))
+    # Raw spans get their own projection: resolve() reads them more than once and higher-order functions
+    # are not covered by subexpression elimination, so an inlined detector would run twice per row.
+    raw = detected_spans(text, known, use_regex,
+                         extra=F.col(extra_spans_col) if extra_spans_col else None,
+                         known_pattern=F.col("known_pattern") if known is not None else None,
+                         known_lookup=F.col("known_lookup") if known is not None else None)
+    if entity_col is not None:
+        raw = F.when(F.col(entity_col).isNull(), raw).otherwise(F.array().cast(S.SPANS))
+    c = c.withColumn("_raw", raw)
+    found = S.resolve(text, F.col("_raw"))
     if entity_col is not None:
         whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).cast("int").alias("end"),
                                  F.col(entity_col).alias("entity"), F.lit("column").alias("source"),
@@ -82,9 +89,9 @@ def mask_cells(cells: DataFrame, keys: list[str], order: list[str], text_col: st
     with_values = F.transform(found, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"),
         S.display_value(S.span_text(text, s)).alias("value"), S.normalize_value(S.span_text(text, s)).alias("norm")))
-    c = c.withColumn("_spans", with_values)
+    c = c.withColumn("_spans", with_values).drop("_raw")
     if known is not None:
-        c = c.drop("known", "known_pattern")
+        c = c.drop("known", "known_pattern", "known_lookup")
     c = c.persist(StorageLevel.MEMORY_AND_DISK)
 
     cidx = F.col(col_idx_col) if col_idx_col else F.lit(0)

@@ -56,8 +56,9 @@ def session_known(kv: DataFrame, min_length: int = P.KNOWN_VALUE_MIN_LENGTH) ->
     usable = kv.where(F.length("value") >= min_length)
     known = F.collect_list(F.struct("value", "entity", known_value_pattern(F.col("value")).alias("pattern")))
     bodies = F.collect_list(F.struct(F.length("value").alias("len"), known_value_body(F.col("value")).alias("body")))
-    return (usable.groupBy("session_id").agg(known.alias("known"), bodies.alias("_b"))
-            .select("session_id", "known",
+    lookup = F.map_from_entries(F.collect_list(F.struct(normalize_value(F.col("value")), F.col("entity"))))
+    return (usable.groupBy("session_id").agg(known.alias("known"), bodies.alias("_b"), lookup.alias("known_lookup"))
+            .select("session_id", "known", "known_lookup",
                     known_alternation(F.transform(F.array_sort(F.col("_b"), lambda a, b: (
                         F.when(a["len"] > b["len"], -1).when(a["len"] < b["len"], 1)
                         .when(a["body"] < b["body"], -1).when(a["body"] > b["body"], 1).otherwise(0))),

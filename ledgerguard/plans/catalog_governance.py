@@ -361,3 +361,38 @@ def q_detect_names(spark, d):
     t = T(spark, d)
     return detect_names(t["contract_notes"].select("ContractId", "note"), "note", ["ContractId"],
                         gazetteer_from_customers(t["customers"]))
+
+
+# --- F6, G4 ---------------------------------------------------------------------------------------
+@query("fn_jsonable", """
+SELECT ReceivableId, strftime(DueDate, '%Y-%m-%d') AS DueDate, CAST(Amount AS VARCHAR) AS Amount,
+  CAST(Balance AS VARCHAR) AS Balance, BillingStatus FROM receivabledetails""")
+def q_fn_jsonable(spark, d):
+    """dates ISO, decimals as text, other values unchanged (the JSON-safe row form)."""
+    rd = T(spark, d)["receivabledetails"]
+    dt = dict(rd.dtypes)
+    return rd.select("ReceivableId", *[X.jsonable(F.col(c), dt[c]).alias(c) for c in ("DueDate", "Amount", "Balance")],
+                     "BillingStatus")
+
+
+@query("visible_check", None)
+def q_visible_check(spark, d):
+    """After unmasking, the user sees every revealed value of the contact sheet and never the SSN."""
+    rep = q_governed_contact_report(spark, d)
+    cu = SC.contract_scope(_tables(spark, d))["customers"].select("contract_id", "Email", "Phone", "Zip")
+    ssn = T(spark, d)["customers"].select(F.col("Id").alias("_cid"), "SSN")
+    lf = T(spark, d)["leasefinances"].select(F.col("ContractId").alias("contract_id"), F.col("CustomerId").alias("_cid"))
+    ln = T(spark, d)["loanfinances"].select(F.col("ContractId").alias("contract_id"), F.col("CustomerId").alias("_cid"))
+    owner = lf.unionByName(ln).join(ssn, "_cid").select("contract_id", "SSN")
+    j = rep.join(cu, "contract_id").join(owner, "contract_id", "left")
+    required_ok = (F.col("user_answer").contains(F.col("Email")) & F.col("user_answer").contains(F.col("Phone"))
+                   & F.col("user_answer").contains(F.col("Zip")))
+    restricted_absent = F.coalesce(~F.col("user_answer").contains(F.col("SSN")), F.lit(True))
+    masked_clean = ~F.col("masked_answer").contains(F.col("Email"))
+    return j.select("contract_id", required_ok.alias("required_visible"), restricted_absent.alias("restricted_absent"),
+                    masked_clean.alias("masked_clean"))
+
+
+REGISTRY["visible_check"] = (q_visible_check, with_views(
+    "SELECT contract_id, TRUE AS required_visible, TRUE AS restricted_absent, TRUE AS masked_clean FROM ("
+    + _SCOPE_SQL["customers"] + ") s"))

@@ -513,3 +513,18 @@ def q_detector_toggle(spark, d):
     known_only = F.size(S.resolve(F.col("note"), F.filter("raw", lambda s: s["source"] == "known")))
     return j.agg(F.sum(regex_only).alias("regex_only"), F.sum(known_only).alias("known_only"),
                  F.sum(both).alias("both"))
+
+
+# --- M4 on pages ------------------------------------------------------------------------------
+PAGES_SRC = "(SELECT page_id AS id, url AS session_id, html AS t FROM pages)"
+
+
+@query("mask_text_pages", None)
+def q_mask_text_pages(spark, d):
+    """M4 on raw web pages (one session per page URL)."""
+    pages = T(spark, d)["pages"].select("page_id", "url", "html")
+    return M.mask_text(pages, "html", ["page_id"], session_col="url").cells.select("page_id", "masked")
+
+
+REGISTRY["mask_text_pages"] = (q_mask_text_pages, with_ctes(
+    f"SELECT id AS page_id, masked FROM ({sql_masked(PAGES_SRC)}) m", sql_chosen(PAGES_SRC, False)))

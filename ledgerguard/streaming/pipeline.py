@@ -80,9 +80,10 @@ def stream_mask(spark: SparkSession, sf_dir: str, out_dir: str | None = None) ->
 
 # --- ST3 ----------------------------------------------------------------------------------------
 def audit_stream_records(stream: DataFrame) -> DataFrame:
-    spans = S.resolve(F.col("text"), S.all_regex_spans(F.col("text")))
+    raw = stream.withColumn("_raw", S.all_regex_spans(F.col("text")))
+    spans = S.resolve(F.col("text"), F.col("_raw"))
     chars, sha = payload_digest(F.coalesce(F.col("text"), F.lit("")))
-    return stream.select("conv_id", "turn", "role", chars, sha, F.size(spans).alias("findings"))
+    return raw.select("conv_id", "turn", "role", chars, sha, F.size(spans).alias("findings"))
 
 
 def stream_audit(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
@@ -189,12 +190,13 @@ def stream_vault(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out_dir = out_dir or scratch_path(spark, "stream-vault")
-    spans = S.resolve(F.col("text"), S.all_regex_spans(F.col("text")))
+    spans = S.resolve(F.col("text"), F.col("_raw"))
     with_vals = F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"),
         S.display_value(S.span_text(F.col("text"), s)).alias("value"),
         S.normalize_value(S.span_text(F.col("text"), s)).alias("norm")))
     src = (with_event_time(read_stream(spark, sf_dir)).withWatermark("ts", "1 hour")
+           .withColumn("_raw", S.all_regex_spans(F.col("text")))
            .select("conv_id", "turn", "text", "ts", with_vals.alias("spans")))
     out = src.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=SessionVault(), outputStructType=VAULT_OUT, outputMode="Append", timeMode="EventTime")

@@ -24,3 +24,30 @@ def test_foreign_keys_and_orphans(spark, seed):
     t["contracts"] = dup
     keys = {(r.Check, r.TableName, r.RowKey) for r in Q.dq_keys(t).collect()}
     assert ("duplicate_key", "contracts", "1") in keys and ("duplicate_key", "contracts", "CT-1001") in keys
+
+
+def test_policy_validation(tmp_path):
+    import pytest
+    from ledgerguard.sources.policy import load_policy, Policy
+    base = """entity_types: {PERSON: {reveal_to_user: true}, SSN: {reveal_to_user: false}}
+columns: {Customers.FirstName: PERSON, Customers.SSN: SSN}
+restricted_columns: [Customers.SSN]
+detectors: {regex: [%s], known_values: {enabled: true, min_length: 3},
+            ner: {enabled: false, model: m, entities: [PERSON], min_score: 0.6}}
+allow_list: {terms: [Lease], patterns: ['CT-\\\\d+']}
+egress_guard: {mode: %s}
+audit: {path: x, include_payloads: false}
+"""
+    ok = tmp_path / "ok.yaml"
+    ok.write_text(base % ("SSN, EMAIL", "mask"))
+    p = load_policy(str(ok))
+    assert p.reveal["SSN"] is False and ("customers", "ssn") in p.restricted_columns
+    assert p.is_allowed("CT-1001") and p.is_allowed(" lease ") and not p.is_allowed("John")
+    bad = tmp_path / "bad.yaml"
+    bad.write_text(base % ("SSN, PASSPORT", "mask"))          # D8: unknown detector name
+    with pytest.raises(ValueError, match="No regex"):
+        load_policy(str(bad))
+    bad.write_text(base % ("SSN", "shout"))
+    with pytest.raises(ValueError, match="mode"):
+        load_policy(str(bad))
+    assert Policy().guard_mode == "mask"
