@@ -34,7 +34,7 @@ columns: {Customers.FirstName: PERSON, Customers.SSN: SSN}
 restricted_columns: [Customers.SSN]
 detectors: {regex: [%s], known_values: {enabled: true, min_length: 3},
             ner: {enabled: false, model: m, entities: [PERSON], min_score: 0.6}}
-allow_list: {terms: [Lease], patterns: ['CT-\\\\d+']}
+allow_list: {terms: [Lease], patterns: ['CT-\\d+']}
 egress_guard: {mode: %s}
 audit: {path: x, include_payloads: false}
 """
