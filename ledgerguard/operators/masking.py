@@ -206,16 +206,14 @@ def leak_scan(texts: DataFrame, text_col: str, keys: list[str], values: DataFram
     v = (values.where(F.col("value").isNotNull())
          .select(S.display_value(F.col("value")).alias("value"), "entity")
          .where(F.length("value") >= P.KNOWN_VALUE_MIN_LENGTH).distinct())
-    words = F.filter(F.split(F.lower(F.col("value")), r"(?U)[^\p{L}\p{N}_]+"), lambda w: w != "")
-    vw = v.select("value", "entity", F.explode(F.array_distinct(words)).alias("word"))
+    vw = v.select("value", "entity", F.explode(F.array_distinct(S.words(F.col("value")))).alias("word"))
     freq = vw.groupBy("word").agg(F.count(F.lit(1)).alias("_f"))
     keyed = (vw.join(freq, "word")
              .groupBy("value", "entity")
              .agg(F.min(F.struct("_f", (-F.length("word")).alias("_l"), "word")).alias("k"))
              .select("value", "entity", F.col("k.word").alias("word"),
                      S.known_value_pattern(F.col("value")).alias("pattern")))
-    tw = texts.select(*keys, F.explode(F.array_distinct(F.filter(
-        F.split(F.lower(F.col(text_col)), r"(?U)[^\p{L}\p{N}_]+"), lambda w: w != ""))).alias("word"))
+    tw = texts.select(*keys, F.explode(F.array_distinct(S.words(F.col(text_col)))).alias("word"))
     cand = (tw.join(keyed, "word")
             .groupBy(*keys).agg(F.collect_set(F.struct("value", "entity", "pattern")).alias("_cand")))
     hits = (texts.select(*keys, text_col).join(cand, keys)

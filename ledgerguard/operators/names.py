@@ -40,11 +40,8 @@ def finalize_names(spans: DataFrame, min_score: float = P.NER_MIN_SCORE) -> Data
 
 def detect_names(texts: DataFrame, text_col: str, keys: list[str], gazetteer: DataFrame,
                  min_score: float = P.NER_MIN_SCORE) -> DataFrame:
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"(?U)[^\p{L}\p{N}_]+"), lambda w: w != "")
-    tw = texts.select(*keys, F.explode(F.array_distinct(words)).alias("word"))
-    gw = gazetteer.select("name", "label", "score",
-                          F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), r"(?U)[^\p{L}\p{N}_]+"),
-                                                              lambda w: w != ""))).alias("word"))
+    tw = texts.select(*keys, F.explode(F.array_distinct(S.words(F.col(text_col)))).alias("word"))
+    gw = gazetteer.select("name", "label", "score", F.explode(F.array_distinct(S.words(F.col("name")))).alias("word"))
     first = gw.groupBy("name", "label", "score").agg(F.min("word").alias("word"))
     cand = tw.join(first, "word").groupBy(*keys).agg(
         F.collect_set(F.struct("name", "label", "score", S.known_value_pattern(F.col("name")).alias("pattern"))).alias("_c"))

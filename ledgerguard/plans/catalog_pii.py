@@ -285,7 +285,7 @@ def q_allow_list_filter(spark, d):
     """D9 on every word of the notes and conversations: which words the allow-list keeps unmasked."""
     t = T(spark, d)
     texts = t["conversations"].select("text").unionByName(t["contract_notes"].select(F.col("note").alias("text")))
-    words = F.split(F.col("text"), r"(?U)\s+")
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"(?U)\S+"), F.lit(0))
     return (texts.select(F.explode(words).alias("word"))
             .where(S.is_allowed(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
