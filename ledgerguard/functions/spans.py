@@ -3,9 +3,10 @@
 A span is ``struct<start:int, end:int, entity:string, source:string, rank:int>`` with 0-based, end-exclusive
 character offsets (Spark's ``length``/``substring`` count code points, as Python does).
 
-Offsets without a UDF: ``regexp_extract_all(t, p)`` gives the matches ``m_i`` and ``split(t, p, -1)`` the
-text between them ``g_i``; match i starts at ``sum(len(g_k), k <= i) + sum(len(m_k), k < i)``, folded with
-``aggregate``. Matches are never empty for the patterns used here.
+Offsets without a UDF: with ``q = (?s)\\G(.*?)(p)``, ``regexp_extract_all(t, q, 1)`` gives the text ``g_i``
+before each match and ``regexp_extract_all(t, q, 2)`` the matches ``m_i`` (the successive ``find()`` matches
+of ``p``); match i starts at ``sum(len(g_k), k <= i) + sum(len(m_k), k < i)``, folded with ``aggregate``.
+Matches are never empty for the patterns used here.
 """
 
 from __future__ import annotations
