@@ -396,3 +396,44 @@ def q_visible_check(spark, d):
 REGISTRY["visible_check"] = (q_visible_check, with_views(
     "SELECT contract_id, TRUE AS required_visible, TRUE AS restricted_absent, TRUE AS masked_clean FROM ("
     + _SCOPE_SQL["customers"] + ") s"))
+
+
+# --- oracles for E1 and M1/M2 ---------------------------------------------------------------------
+from ledgerguard.plans.catalog import PORTFOLIO_SQL as _PORTFOLIO_SQL, _NEXT_DUE_SQL, _OUTSTANDING_SQL  # noqa: E402
+
+_GOLDEN_FIELDS = ("Status", "NextDueDate", "NextDueTotal", "InvoiceCount", "InvoiceAmount", "OutstandingTotal")
+_GOLDEN_CTES = [("rep", _PORTFOLIO_SQL.replace("ORDER BY c.SequenceNumber", "")), ("inv", """SELECT lf.ContractId, SUM(x.InvoiceCount) AS InvoiceCount,
+               CASE WHEN COUNT(*) = 1 THEN MAX(x.InvoiceAmount) END AS InvoiceAmount
+        FROM (SELECT lf.ContractId, pi.Currency, COUNT(pi.Id) AS InvoiceCount,
+                     CAST(SUM(pi.InvoiceAmount) AS DECIMAL(18,2)) AS InvoiceAmount
+              FROM leasefinances lf JOIN leasefundings lfu ON lfu.LeaseFinanceId = lf.Id
+              JOIN payableinvoices pi ON pi.Id = lfu.PayableInvoiceId GROUP BY lf.ContractId, pi.Currency) x
+        JOIN leasefinances lf ON lf.ContractId = x.ContractId GROUP BY lf.ContractId"""), ("act", f"""
+  SELECT c.SequenceNumber, COALESCE(c.Status, 'Not yet commenced') AS Status, nd.NextDueDate,
+         CAST(nd.Amount + nd.TaxAmount AS DECIMAL(18,2)) AS NextDueTotal, COALESCE(inv.InvoiceCount, 0) AS InvoiceCount,
+         inv.InvoiceAmount, CAST(COALESCE(os.OutstandingTotal, 0) AS DECIMAL(18,2)) AS OutstandingTotal
+  FROM contracts c LEFT JOIN ({_NEXT_DUE_SQL}) nd ON nd.ContractId = c.Id
+  LEFT JOIN inv ON inv.ContractId = c.Id LEFT JOIN ({_OUTSTANDING_SQL}) os ON os.ContractId = c.Id""")]
+_GOLDEN_SQL = "SELECT SequenceNumber, Field, Expected, Actual FROM (\n" + "\nUNION ALL ".join(
+    f"  SELECT COALESCE(a.SequenceNumber, r.SequenceNumber) AS SequenceNumber, '{f}' AS Field, "
+    f"CAST(r.{f} AS VARCHAR) AS Expected, CAST(a.{f} AS VARCHAR) AS Actual, "
+    f"(a.SequenceNumber IS NULL OR r.SequenceNumber IS NULL OR CAST(a.{f} AS VARCHAR) IS DISTINCT FROM CAST(r.{f} AS VARCHAR)) AS diff "
+    f"FROM act a FULL OUTER JOIN rep r ON r.SequenceNumber = a.SequenceNumber" for f in _GOLDEN_FIELDS) + "\n) d WHERE diff"
+
+REGISTRY["golden_diff"] = (REGISTRY["golden_diff"][0], with_views(_GOLDEN_SQL, *_GOLDEN_CTES))
+
+_LINEAGE_EXPECTED = [
+    ("plain", "FirstName", "PERSON", "FirstName"), ("plain", "Email", "EMAIL", "Email"),
+    ("concat_alias", "CustomerName", "PERSON", "FirstName || ' ' || LastName"),
+    ("upper_phone", "p", "PHONE", "Phone"), ("cte_alias", "Addr", "ADDRESS", "AddressLine1"),
+]
+_RESTRICTED_EXPECTED = [("restricted_mix", "x", "SSN", "FirstName || SSN"), ("restricted_mix", "Zip", "ZIP", "Zip")]
+
+
+def _lineage_sql(rows):
+    return "\nUNION ALL ".join(f"SELECT '{c}' AS \"case\", '{col}' AS \"column\", '{e}' AS entity, COUNT({x}) AS cells "
+                               f"FROM customers" for c, col, e, x in rows)
+
+
+REGISTRY["lineage_classify"] = (REGISTRY["lineage_classify"][0], with_views(_lineage_sql(_LINEAGE_EXPECTED)))
+REGISTRY["lineage_restricted_wins"] = (REGISTRY["lineage_restricted_wins"][0], with_views(_lineage_sql(_RESTRICTED_EXPECTED)))
