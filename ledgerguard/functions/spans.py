@@ -3,10 +3,10 @@
 A span is ``struct<start:int, end:int, entity:string, source:string, rank:int>`` with 0-based, end-exclusive
 character offsets (Spark's ``length``/``substring`` count code points, as Python does).
 
-Offsets without a UDF: with ``q = (?s)\\G(.*?)(p)``, ``regexp_extract_all(t, q, 1)`` gives the text ``g_i``
-before each match and ``regexp_extract_all(t, q, 2)`` the matches ``m_i`` (the successive ``find()`` matches
-of ``p``); match i starts at ``sum(len(g_k), k <= i) + sum(len(m_k), k < i)``, folded with ``aggregate``.
-Matches are never empty for the patterns used here.
+Offsets without a UDF, in one regex pass: ``regexp_replace(t, p, MARK + '$0' + MARK)`` wraps every match of
+``p`` in a private-use marker; splitting on that single character (no regex) gives gap, match, gap, ...,
+and one ``aggregate`` folds the running offset. Texts that already contain the marker use the gap-capturing
+form ``(?s)\\G(.*?)(p)`` with two ``regexp_extract_all`` calls. Matches are never empty for these patterns.
 """
 
 from __future__ import annotations
@@ -39,24 +39,47 @@ def with_gaps(pattern):
     return F.lit(f"(?s{flags})\\G(.*?)({body})")
 
 
-def match_offsets(text: Column, pattern, make=None, out_type: str = OFFSETS) -> Column:
-    """All non-overlapping matches of ``pattern`` in ``text`` as ``array<struct<start,end>>`` (or whatever
-    ``make(start, end)`` builds, typed ``out_type``). Gaps and matches come from two ``regexp_extract_all``
-    calls on one gap-capturing pattern (compiled once per task, unlike ``split``, which recompiles per row);
-    ``zip_with`` pairs their lengths and one ``aggregate`` folds the running offset."""
-    t = F.coalesce(text, F.lit(""))
-    pat = with_gaps(pattern)
-    g = F.regexp_extract_all(t, pat, F.lit(1))
-    m = F.regexp_extract_all(t, pat, F.lit(2))
-    make = make or (lambda s, e: F.struct(s.alias("start"), e.alias("end")))
-    lens = F.zip_with(g, m, lambda a, b: F.struct(F.length(a).alias("g"), F.length(b).alias("m")))
+# A private-use character that marks match boundaries in the one-pass form (texts containing it take the
+# two-pass form instead).
+MARK = "\ue000"
+
+
+def _fold_offsets(pairs: Column, make, out_type: str) -> Column:
+    """``pairs`` = array<struct<g:int, m:int>> (gap length, match length) -> folded spans."""
     init = F.struct(F.array().cast(out_type).alias("out"), F.lit(0).alias("pos"))
 
     def step(acc, x):
         s = acc["pos"] + x["g"]
         return F.struct(F.concat(acc["out"], F.array(make(s, s + x["m"]))).alias("out"), (s + x["m"]).alias("pos"))
 
-    return F.aggregate(lens, init, step, lambda acc: acc["out"])
+    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
+
+
+def match_offsets(text: Column, pattern, make=None, out_type: str = OFFSETS) -> Column:
+    """All non-overlapping matches of ``pattern`` in ``text`` as ``array<struct<start,end>>`` (or whatever
+    ``make(start, end)`` builds, typed ``out_type``).
+
+    One regex pass: ``regexp_replace(t, p, MARK + '$0' + MARK)`` wraps every match, and a split on the single
+    marker character (no regex) alternates gap, match, gap, ...; an ``aggregate`` folds the running offset.
+    Texts that already contain the marker use two ``regexp_extract_all`` calls on the gap-capturing form."""
+    t = F.coalesce(text, F.lit(""))
+    make = make or (lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+    pat = _lit_or_col(pattern)
+    pieces = F.split(F.regexp_replace(t, pat, F.lit(MARK + "$0" + MARK)), MARK, -1)
+    init = F.struct(F.array().cast(out_type).alias("out"), F.lit(0).alias("pos"), F.lit(0).alias("i"))
+
+    def step(acc, x):                       # pieces alternate gap, match, gap, ...: odd positions are matches
+        e = acc["pos"] + F.length(x)
+        out = F.when(acc["i"] % 2 == 1, F.concat(acc["out"], F.array(make(acc["pos"], e)))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), e.alias("pos"), (acc["i"] + 1).alias("i"))
+
+    one_pass = F.aggregate(pieces, init, step, lambda acc: acc["out"])
+    gp = with_gaps(pattern)
+    g = F.regexp_extract_all(t, gp, F.lit(1))
+    m = F.regexp_extract_all(t, gp, F.lit(2))
+    two_pass = _fold_offsets(F.zip_with(g, m, lambda a, b: F.struct(F.length(a).alias("g"), F.length(b).alias("m"))),
+                             make, out_type)
+    return F.when(t.contains(MARK), two_pass).otherwise(one_pass)
 
 
 def words(text: Column) -> Column:
