@@ -528,3 +528,11 @@ def q_mask_text_pages(spark, d):
 
 REGISTRY["mask_text_pages"] = (q_mask_text_pages, with_ctes(
     f"SELECT id AS page_id, masked FROM ({sql_masked(PAGES_SRC)}) m", sql_chosen(PAGES_SRC, False)))
+
+
+_POSS_SRC = ("(SELECT n.id, n.session_id, n.t, kv.value, kv.entity FROM (SELECT ContractId AS id, CustomerId AS session_id, "
+             "regexp_replace(note, '^Reach (\\S+ \\S+) at', 'Reach \\1''s at') AS t FROM contract_notes) n "
+             f"JOIN kv ON kv.session_id = n.session_id WHERE length(kv.value) >= {P.KNOWN_VALUE_MIN_LENGTH})")
+REGISTRY["possessive_trim"] = (REGISTRY["possessive_trim"][0], with_ctes(
+    "SELECT id AS ContractId, \"start\", \"end\", value, entity FROM ("
+    + sql_literal_offsets(_POSS_SRC, "id, session_id, entity") + ") p", [("kv", KV_SQL)]))
