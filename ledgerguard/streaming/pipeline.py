@@ -102,6 +102,8 @@ AUDIT_STREAM_SCHEMA = T.StructType([
 
 
 # --- ST2 ----------------------------------------------------------------------------------------
+_TTL_MS = P.VAULT_TTL_SECONDS * 1000
+
 VAULT_OUT = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
     T.StructField("masked", T.StringType()), T.StructField("status", T.StringType())])
@@ -147,7 +149,7 @@ try:
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             pdf = pd.concat(list(rows)).sort_values("turn")
-            ttl_ms = P.VAULT_TTL_SECONDS * 1000
+            ttl_ms = _TTL_MS
             out = []
             last = self.last_use.get()[0] if self.last_use.exists() else None
             for r in pdf.itertuples(index=False):
@@ -187,6 +189,11 @@ except ImportError:             # older PySpark: ST2 unavailable
 
 def stream_vault(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
     checkpoint_dir(spark)
+    # The processor runs in Python workers that may not have this package on their path: pickle this
+    # module's classes and functions by value (the processor only uses pandas and the constants below).
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out_dir = out_dir or scratch_path(spark, "stream-vault")
