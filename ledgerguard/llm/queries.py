@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerguard.llm import quality
+from ledgerguard.llm import jaccard, quality
 from ledgerguard.llm.common import table
 from ledgerguard.llm.oracles import ORACLES
 
@@ -13,7 +13,11 @@ def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_rules(table(spark, sf_dir, "documents")).drop("host")
 
 
-QUERIES = {f.__name__: f for f in (op4_host_quality_rules,)}
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op4_host_quality_rules, op5_ngram_jaccard_join)}
 
 
 def queries() -> dict:
