@@ -20,13 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below spark.checkpoint.dir."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder below spark.checkpoint.dir and read it back.
 
     The written table cuts the lineage and survives lost executors; every reader sees the same rows.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,3 +71,26 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package's code at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+HOT_SHARE = 1000  # a key with more than 1/HOT_SHARE of all rows is hot, so at most HOT_SHARE keys are
+
+
+def heavy_light_join(rows: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
+    """``rows`` left-joined with ``values`` (one row for each ``key``) without any key's rows meeting in one task.
+
+    Values of hot keys (at most HOT_SHARE, by a count of all rows) are broadcast. The other keys are joined
+    by a shuffle; rows already served, or without a key, go there under salted keys that match nothing.
+    """
+    total = rows.count()
+    hot_keys = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") * HOT_SHARE > total).select(key)
+    marked = values.join(F.broadcast(hot_keys.withColumn("__hot", F.lit(True))), key, "left")
+    marked = materialize(marked.select(F.col(key).alias("__k"), F.col(value).alias("__v"), F.coalesce("__hot", F.lit(False)).alias("__hot")), "values")
+    hot = F.broadcast(marked.where("__hot").select(F.col("__k").alias("__hk"), F.col("__v").alias("__hv")))
+    cold = marked.where("not __hot").select("__k", F.col("__v").alias("__cv"), F.lit(0).alias("__s"))
+    first = rows.join(hot, F.col(key) == F.col("__hk"), "left")
+    served = F.col("__hk").isNotNull() | F.col(key).isNull()
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT_SHARE)).cast("int") + 1
+    first = first.withColumn("__salt", F.when(served, salt).otherwise(F.lit(0)))
+    both = first.join(cold, (F.col(key) == F.col("__k")) & (F.col("__salt") == F.col("__s")), "left")
+    return both.withColumn(value, F.coalesce("__hv", "__cv")).drop("__hk", "__hv", "__k", "__cv", "__s", "__salt")

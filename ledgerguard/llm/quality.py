@@ -17,14 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import SEPARATORS, bind, materialize
+from ledgerguard.llm.common import SEPARATORS, bind, heavy_light_join, materialize
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
 MAX_HOST_RATE = 0.5
-HOT_HOST_SHARE = 1000  # a host with more than 1/HOT_HOST_SHARE of all rows is hot, so at most that many are
-COLD_SALT = 0
 
 
 def words_of(text: Column) -> Column:
@@ -103,9 +101,7 @@ def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("hosts"),
                       F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk")).first()
     a, b = beta_prior(total["n"] or 0, total["k"] or 0, total["hosts"], total["kk"] or 0.0)
-    hot = (total["n"] or 0) / HOT_HOST_SHARE
-    return hosts.select("host", "n", "k", ((F.col("k") + F.lit(a)) / (F.col("n") + F.lit(a + b))).alias("shrunk"),
-                        (F.col("n") > F.lit(hot)).alias("hot"))
+    return hosts.select("host", "n", "k", ((F.col("k") + F.lit(a)) / (F.col("n") + F.lit(a + b))).alias("shrunk"))
 
 
 def beta_prior(n: int, k: int, hosts: int, kk: float) -> tuple[float, float]:
@@ -121,30 +117,12 @@ def beta_prior(n: int, k: int, hosts: int, kk: float) -> tuple[float, float]:
     return mean * strength, (1 - mean) * strength
 
 
-def with_host_verdict(rows: DataFrame, host: str, rates: DataFrame, out: str = "host_rate") -> DataFrame:
-    """``rows`` with the shrunk rate of their host (null where the host is null).
-
-    Hot hosts (at most HOT_HOST_SHARE of them, so a proven bound) are joined by broadcast; the rest by a
-    shuffle in which no host has more than that share of the rows. Rows already served go to the shuffle
-    under salted keys that match nothing, so they spread evenly."""
-    spread_by = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT_HOST_SHARE)).cast("int") + 1
-    hot = F.broadcast(rates.where("hot").select(F.col("host").alias("__hot_host"), F.col("shrunk").alias("__hot_rate")))
-    cold = rates.where("not hot").select(F.col("host").alias("__cold_host"), F.lit(COLD_SALT).alias("__cold_salt"),
-                                         F.col("shrunk").alias("__cold_rate"))
-    served = F.col(host).isNull() | F.col("__hot_rate").isNotNull()
-    left = (rows.join(hot, F.col(host) == F.col("__hot_host"), "left")
-            .withColumn("__salt", F.when(served, spread_by).otherwise(F.lit(COLD_SALT)))
-            .withColumn("__key", F.when(served, F.lit("")).otherwise(F.col(host).cast("string"))))
-    return (left.join(cold, (F.col("__key") == F.col("__cold_host").cast("string")) & (F.col("__salt") == F.col("__cold_salt")), "left")
-            .withColumn(out, F.coalesce("__hot_rate", "__cold_rate"))
-            .drop("__hot_host", "__hot_rate", "__cold_host", "__cold_salt", "__cold_rate", "__salt", "__key"))
-
-
 def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per input row: id, base counts, base_failed, host_rate, kept."""
     stats = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), base_stats(F.col(text_col)).alias("s"))
     stats = materialize(stats.select("doc_id", "host", "s.*", base_failed(F.col("s")).alias("base_failed")), "stats")
-    judged = with_host_verdict(stats, "host", host_rates(stats, "host", "base_failed"))
+    rates = host_rates(stats, "host", "base_failed").select("host", F.col("shrunk").alias("host_rate"))
+    judged = heavy_light_join(stats, "host", rates, "host_rate")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= MAX_HOST_RATE))
 
 
@@ -152,6 +130,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     """The rows of ``docs`` (same columns) that pass the base rules and whose host passes. The rows are
     written once with their verdict, since both the host step and the filter need it."""
     flagged = materialize(docs.withColumn("__failed", base_failed(base_stats(F.col(text_col)))), "flagged")
-    judged = with_host_verdict(flagged, host_col, host_rates(flagged, host_col, "__failed"), "__rate")
+    rates = host_rates(flagged, host_col, "__failed").select(F.col("host").alias(host_col), F.col("shrunk").alias("__rate"))
+    judged = heavy_light_join(flagged, host_col, rates, "__rate")
     good = judged.where(~F.col("__failed") & (F.coalesce("__rate", F.lit(0.0)) <= MAX_HOST_RATE))
     return good.select(*[F.col(f"`{c}`") for c in docs.columns])

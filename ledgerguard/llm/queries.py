@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerguard.llm import jaccard, quality
-from ledgerguard.llm.common import table
+from ledgerguard.llm import digestcache, jaccard, packing, quality, tokenfile
+from ledgerguard.llm.common import scratch, table
 from ledgerguard.llm.oracles import ORACLES
 
 
+WORD_BPE, BYTE_BPE, PIECE_BPE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
+def op1_elias_fano_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "tokens")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), out, WORD_BPE, end_id=1)
+    return tokenfile.read_summaries(spark, out)
+
+
 def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_rules(table(spark, sf_dir, "documents")).drop("host")
 
@@ -17,7 +27,17 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op4_host_quality_rules, op5_ngram_jaccard_join)}
+def op6_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # (a cache of its own, so that every text is a miss once and the whole work is done)
+    return digestcache.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE, scratch(spark, "counts"), limit=4096)
+
+
+def op8_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_elias_fano_token_file, op4_host_quality_rules, op5_ngram_jaccard_join,
+                                  op6_digest_cache_counts, op8_minimum_bin_slack)}
 
 
 def queries() -> dict:
