@@ -49,4 +49,35 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS com
 """
 
 
-ORACLES = {"op5_ngram_jaccard_join": jaccard_sql(4, 85), "op4_host_quality_rules": HOST_QUALITY}
+REVISITS = r"""
+WITH p AS (
+  SELECT page_id, page_id * 3600 AS t, sha256(coalesce(html, '')) AS digest,
+         regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+u AS (
+  SELECT page_id, t, digest, substr(digest, 1, 16) AS tag,
+         regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g') ||
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*(.*)$', 1),
+             '([?&])((utm_[a-z]+|ref)=[^&]*&?)+', '\1', 'g'), '[?&]+$', ''), '/+$', ''), '^$', '') AS url_key FROM p),
+v AS (
+  SELECT page_id * 4 + 1 AS record_id, url_key, t + 172800 AS ts, CASE WHEN page_id % 5 = 0 THEN NULL ELSE tag END AS tag, t - 86400 AS modified FROM u
+  UNION ALL SELECT page_id * 4 + 2, url_key, t - 3599, 'old-' || tag, t - 86400 FROM u WHERE page_id % 7 = 0),
+j AS (
+  SELECT v.record_id, v.url_key, v.ts, v.tag, v.modified, arg_max(u, [u.t, u.page_id]) AS r
+  FROM v LEFT JOIN u ON u.url_key = v.url_key AND u.t < v.ts GROUP BY ALL),
+s AS (
+  SELECT *, CASE WHEN r.page_id IS NULL THEN 'no_response' WHEN coalesce(tag = r.tag, modified = r.t - 86400, FALSE) THEN 'resolved' ELSE 'mismatch' END AS status FROM j)
+SELECT record_id, url_key, status, r.page_id * 4 AS response_id, r.t AS response_ts,
+       CASE WHEN status = 'resolved' THEN r.digest END AS digest,
+       CASE WHEN status = 'resolved' THEN 'content-type=text/html;date=' || ts || ';etag=' || r.tag || ';expires=' || (ts + 60) || ';last-modified=' || (r.t - 86400) END AS headers
+FROM s
+"""
+
+NEAREST = """
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id,
+       LATERAL (SELECT list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score))
+WHERE rank <= 20
+"""
+
+ORACLES = {"op2_revisit_resolution": REVISITS, "op7_int8_tile_neighbours": NEAREST, "op5_ngram_jaccard_join": jaccard_sql(4, 85), "op4_host_quality_rules": HOST_QUALITY}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerguard.llm import digestcache, jaccard, packing, quality, tokenfile
+from ledgerguard.llm import digestcache, jaccard, knn, packing, quality, revisits, tokenfile
 from ledgerguard.llm.common import scratch, table
 from ledgerguard.llm.oracles import ORACLES
 
@@ -19,6 +20,12 @@ def op1_elias_fano_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_summaries(spark, out)
 
 
+def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.records_of_pages(table(spark, sf_dir, "pages")))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return found.withColumn("headers", text)
+
+
 def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_rules(table(spark, sf_dir, "documents")).drop("host")
 
@@ -32,12 +39,16 @@ def op6_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digestcache.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE, scratch(spark, "counts"), limit=4096)
 
 
+def op7_int8_tile_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_elias_fano_token_file, op4_host_quality_rules, op5_ngram_jaccard_join,
-                                  op6_digest_cache_counts, op8_minimum_bin_slack)}
+QUERIES = {f.__name__: f for f in (op1_elias_fano_token_file, op2_revisit_resolution, op4_host_quality_rules, op5_ngram_jaccard_join,
+                                  op6_digest_cache_counts, op7_int8_tile_neighbours, op8_minimum_bin_slack)}
 
 
 def queries() -> dict:
