@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerguard.llm import digestcache, jaccard, knn, packing, quality, revisits, tokenfile, unigram
+from ledgerguard.llm import digestcache, jaccard, knn, packing, pii, quality, revisits, tokenfile, unigram
 from ledgerguard.llm.common import scratch, table
 from ledgerguard.llm.oracles import ORACLES
 
@@ -47,12 +47,16 @@ def op8_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
 
 
+def op9_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode_documents(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
 QUERIES = {f.__name__: f for f in (op1_elias_fano_token_file, op2_revisit_resolution, op4_host_quality_rules, op5_ngram_jaccard_join,
-                                  op6_digest_cache_counts, op7_int8_tile_neighbours, op8_minimum_bin_slack, op10_unigram_viterbi)}
+                                  op6_digest_cache_counts, op7_int8_tile_neighbours, op8_minimum_bin_slack, op9_semi_markov_pii, op10_unigram_viterbi)}
 
 
 def queries() -> dict:
