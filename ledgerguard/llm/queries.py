@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerguard.llm import digestcache, jaccard, knn, packing, pii, quality, revisits, tokenfile, unigram
+from ledgerguard.llm import digestcache, jaccard, knn, packing, passages, pii, quality, revisits, tokenfile, unigram
 from ledgerguard.llm.common import scratch, table
 from ledgerguard.llm.oracles import ORACLES
 
@@ -26,6 +27,10 @@ def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", text)
 
 
+def op3_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_rules(table(spark, sf_dir, "documents")).drop("host")
 
@@ -55,8 +60,18 @@ def op10_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode_documents(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_elias_fano_token_file, op2_revisit_resolution, op4_host_quality_rules, op5_ngram_jaccard_join,
-                                  op6_digest_cache_counts, op7_int8_tile_neighbours, op8_minimum_bin_slack, op9_semi_markov_pii, op10_unigram_viterbi)}
+QUERIES = {f.__name__: f for f in (
+    op1_elias_fano_token_file,
+    op2_revisit_resolution,
+    op3_collinear_passages,
+    op4_host_quality_rules,
+    op5_ngram_jaccard_join,
+    op6_digest_cache_counts,
+    op7_int8_tile_neighbours,
+    op8_minimum_bin_slack,
+    op9_semi_markov_pii,
+    op10_unigram_viterbi)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 
 def queries() -> dict:
@@ -64,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in QUERIES}
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2_000_000  # texts are hashed in runs of about so many bytes (a longer text makes a run of its own)
+SEPARATORS = b"\t\n\x0b\x0c\r "
 _SEED = 20240229
 _rng = np.random.default_rng(_SEED)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
