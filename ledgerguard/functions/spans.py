@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerguard.functions import patterns as P
+from ledgerguard.sources.policy import DEFAULT, Policy
 
 SPAN = "struct<start:int,end:int,entity:string,source:string,rank:int>"
 SPANS = f"array<{SPAN}>"
@@ -134,34 +135,10 @@ def known_value_pattern(value: Column) -> Column:
     return F.concat(F.lit(f"(?iU)(?<!{P.WORD_CHAR})"), F.array_join(quoted, r"\s+"), F.lit(f"(?!{P.WORD_CHAR})"))
 
 
-def known_value_body(value: Column) -> Column:
-    """The value's words, quoted, joined by ``\\s+`` (no boundaries, no flags)."""
-    words = F.split(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), " ")
-    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")),
-                                                   F.lit(r"\E")))
-    return F.array_join(quoted, r"\s+")
-
-
-def known_alternation(bodies: Column) -> Column:
-    """One pattern for all known values of a session, longest first, word-bounded, case-insensitive."""
-    return F.concat(F.lit(f"(?iU)(?<!{P.WORD_CHAR})(?:"), F.array_join(bodies, "|"), F.lit(f")(?!{P.WORD_CHAR})"))
-
-
-def known_spans(text: Column, known: Column, known_pattern: Column | None = None,
-                known_lookup: Column | None = None) -> Column:
-    """Spans of a row's known values; ``known`` is ``array<struct<value, entity, pattern>>``.
-
-    With ``known_pattern`` (the session's longest-first alternation) the text is scanned once and each match
-    is mapped back to its value by normalised text; the rows of one session are contiguous after the
-    session join, so Spark compiles that pattern once per session and task. At one start the alternation
-    takes the longest value and resumes after it, which is what overlap resolution would keep anyway."""
+def known_spans(text: Column, known: Column) -> Column:
+    """Spans of a row's known values; ``known`` is ``array<struct<value, entity, pattern>>``. Every value
+    is matched on its own, so a span always carries the entity of the value that it matched."""
     rank = P.entity_rank("PERSON", "known")
-    if known_pattern is not None:
-        lookup = known_lookup if known_lookup is not None else F.map_from_arrays(
-            F.transform(known, lambda v: normalize_value(v["value"])), F.transform(known, lambda v: v["entity"]))
-        offs = F.when(F.size(known) > 0, match_offsets(text, known_pattern)).otherwise(F.array().cast(OFFSETS))
-        return F.transform(offs, lambda o: _span(o["start"], o["end"],
-                                                 F.element_at(lookup, normalize_value(span_text(text, o))), "known", rank))
     per_value = F.transform(known, lambda v: F.transform(
         match_offsets(text, v["pattern"]),
         lambda o: _span(o["start"], o["end"], v["entity"], "known", rank)))
@@ -178,16 +155,6 @@ def trim_possessive(text: Column, spans: Column) -> Column:
     return F.transform(spans, f)
 
 
-def is_allowed(fragment: Column) -> Column:
-    """The stripped, case-folded fragment is an allow-list term or fully matches an allow pattern."""
-    stripped = F.regexp_replace(fragment, r"(?U)^\s+|\s+$", "")
-    terms = F.array(*[F.lit(t.lower()) for t in P.ALLOW_TERMS])
-    full = F.lit(False)
-    for p in P.ALLOW_PATTERNS:
-        full = full | stripped.rlike(f"(?U)^(?:{p})$")
-    return F.array_contains(terms, F.lower(stripped)) | full
-
-
 def token_offsets(text: Column) -> Column:
     return match_offsets(text, P.TOKEN_PATTERN)
 
@@ -199,25 +166,23 @@ def drop_protected(text: Column, spans: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")).contains("<"), kept).otherwise(spans)
 
 
-def _allow_list_skips_regex() -> bool:
-    """True when no regex-detector match can be allow-listed: every term is free of digits and '@' and every
+def _skips_regex(policy: Policy) -> bool:
+    """Whether no regex-detector match can be allow-listed: every term is free of digits and '@' and every
     allow pattern starts with a letter, while detector matches are digits/separators or contain '@'."""
-    return (all(not any(ch.isdigit() or ch == "@" for ch in t) for t in P.ALLOW_TERMS)
-            and all(p[:1].isalpha() for p in P.ALLOW_PATTERNS))
+    return (not any(ch.isdigit() or ch == "@" for t in policy.never_masked for ch in t)
+            and all(p[:1].isalpha() for p in policy.never_masked_patterns))
 
 
-ALLOW_SKIPS_REGEX = _allow_list_skips_regex()
-
-
-def resolve(text: Column, spans: Column) -> Column:
+def resolve(text: Column, spans: Column, policy: Policy = DEFAULT) -> Column:
     """Possessive trim, allow-list and token protection, then greedy non-overlap choice ordered by
     (start, longest first, detector rank)."""
     t = F.coalesce(text, F.lit(""))
     trimmed = F.when(t.contains("'s") | t.contains("’s"), trim_possessive(text, spans)).otherwise(spans)
-    if ALLOW_SKIPS_REGEX:
-        keep = lambda s: (s["source"] == "regex") | ~is_allowed(span_text(text, s))
-    else:
-        keep = lambda s: ~is_allowed(span_text(text, s))
+    skips = _skips_regex(policy)
+
+    def keep(s):
+        kept = ~policy.allows(span_text(text, s))
+        return (s["source"] == "regex") | kept if skips else kept
     cands = drop_protected(text, F.filter(trimmed, keep))
     keyed = F.transform(cands, lambda s: F.struct(s["start"].alias("k1"), (s["start"] - s["end"]).alias("k2"),
                                                   s["rank"].alias("k3"), s.alias("s")))

@@ -37,21 +37,22 @@ def json_row(df_or_cols, dtypes: dict | None = None) -> Column:
         F.to_json(F.struct(*[jsonable(F.col(c), dtypes[c]).alias(c) for c in cols]), JSON_OPTS)
 
 
-def cap_rows(df: DataFrame, keys: list[str], order: list[str], n: int = 200) -> DataFrame:
-    """At most ``n`` rows per key in a declared order, plus a ``truncated`` flag. The rank filter is a
-    per-group top-k that Spark limits map-side (WindowGroupLimit) before the shuffle; the group sizes come
-    from a separate partial aggregation, so no group is ever held whole in one task."""
+def cap_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows per key in a declared order, plus a ``truncated`` flag. A rank of ``n + 1`` shows
+    that a key was cut, so one pass does: Spark limits each group to n + 1 rows map-side (WindowGroupLimit)
+    before the shuffle, and no group is ever held whole in one task."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    top = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (top.join(sizes, keys).withColumn("truncated", F.col("_n") > n)
-            .withColumnRenamed("_rn", "row_number").drop("_n"))
+    top = df.withColumn("row_number", F.row_number().over(w)).where(F.col("row_number") <= n + 1)
+    cut = F.max("row_number").over(Window.partitionBy(*keys)) > n
+    return top.withColumn("truncated", cut).where(F.col("row_number") <= n)
 
 
-def rows_json(df: DataFrame, keys: list[str], cols: list[str], n: int = 200) -> DataFrame:
-    """F8: the (capped) result rows of each key as one sorted JSON array, values JSON-safe."""
+def rows_json(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """F8: each row as one JSON object with JSON-safe values and its place among the rows of its key, so that
+    the rows of a key make a JSON array in that order however many there are."""
+    from ledgerguard.plans.ranking import rank_within
     dtypes = dict(df.dtypes)
-    capped = cap_rows(df, keys, cols, n)
-    obj = F.struct(*[jsonable(F.col(c), dtypes[c]).alias(c) for c in cols])
-    return (capped.groupBy(*keys).agg(F.array_sort(F.collect_list(obj)).alias("_rows"), F.max("truncated").alias("truncated"))
-            .select(*keys, F.to_json("_rows", JSON_OPTS).alias("rows_json"), "truncated"))
+    obj = F.to_json(F.struct(*[jsonable(F.col(c), dtypes[c]).alias(c) for c in cols]), JSON_OPTS)
+    rows = df.select(*keys, obj.alias("row_json"), F.monotonically_increasing_id().alias("_tie"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(cols)])
+    ranked = rank_within(rows, keys, [*[f"_o{i}" for i in range(len(cols))], "_tie"], out="row_number")
+    return ranked.select(*keys, "row_number", "row_json")

@@ -2,30 +2,35 @@
 
 Flow of ``mask_cells`` (the core of M3/M4/M5/G1):
 
-1. detect spans per cell in-row (regex detectors + the session's known values joined by session id),
-   resolve overlaps in-row; a classified cell is one whole-cell span instead;
-2. explode spans to occurrences ``(session, entity, norm, value, pos)`` with ``pos`` = (row order,
-   column order, -start): right-to-left inside a text, row by row, column by column;
+1. detect spans per cell in-row (the policy's regex detectors + the session's known values joined by session
+   id + spans found elsewhere, such as names), resolve overlaps in-row; a classified cell is one whole-cell span;
+2. explode spans to occurrences ``(row id, session, entity, norm, value, pos)`` with ``pos`` = (row order,
+   column order, -start): right-to-left inside a text, row by row, column by column; written once to the shared
+   folder, so detection runs once and no text is stored;
 3. number first appearances per (session, entity) -> vault (continuing an existing vault);
-4. join occurrences to their tokens, regroup per cell, join back and rebuild the text.
+4. join occurrences to their tokens, regroup per row id, left-join to the texts and rebuild.
 
-The span-annotated cells are persisted because steps 2 and 4 both read them (detection is the
-expensive pass). Only cells that carry spans are shuffled for the rebuild.
+No row is ever lost: the row id is a 128-bit digest of the row's keys, session, order and text, so repeated
+rows and rows that share a key are masked each by their own spans; a null session is a session of its own;
+and the last step is a left join of the input.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.functions import patterns as P
 from ledgerguard.functions import spans as S
 from ledgerguard.operators.vault import assign_tokens, session_known
+from ledgerguard.plans.ranking import null_safe_join
+from ledgerguard.session import written
+from ledgerguard.sources.policy import DEFAULT, Policy
 
-OCC = "struct<start:int,end:int,entity:string,value:string,norm:string>"
+KNOWN = "array<struct<value:string,entity:string,pattern:string>>"
+TOKENS = "array<struct<_i:int,start:int,end:int,entity:string,token:string>>"
 
 
 @dataclass
@@ -34,15 +39,21 @@ class Masked:
     vault: DataFrame      # session_id, entity, norm, value, n, token
 
 
-def detected_spans(text, known=None, use_regex: bool = True, entities=P.REGEX_ENTITIES, extra=None,
-                   known_pattern=None, known_lookup=None):
-    """Raw (unresolved) spans of a text column: regex detectors, then known values, then extra (e.g. NER)."""
+def row_id(*cols: Column) -> Column:
+    """128-bit digest of values, nulls told apart."""
+    parts = [x for c in cols for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
+def detected_spans(text, known=None, extra=None, policy: Policy = DEFAULT):
+    """Raw (unresolved) spans of a text column: the policy's regex detectors, then known values, then extra
+    spans (names)."""
     parts = []
-    if use_regex:
-        parts.append(S.all_regex_spans(text, entities))
-    if known is not None:
-        parts.append(S.known_spans(text, known, known_pattern, known_lookup))
-    if extra is not None:
+    if policy.detectors.regex:
+        parts.append(S.all_regex_spans(text, policy.detectors.regex))
+    if known is not None and policy.detectors.known_values:
+        parts.append(S.known_spans(text, known))
+    if extra is not None and policy.detectors.names:
         parts.append(F.coalesce(extra, F.array().cast(S.SPANS)))
     if not parts:
         return F.array().cast(S.SPANS)
@@ -58,99 +69,91 @@ def counts_map(spans) -> F.Column:
 
 def mask_cells(cells: DataFrame, keys: list[str], order: list[str], text_col: str = "text",
                entity_col: str | None = None, col_idx_col: str | None = None, session_col: str = "session_id",
-               known_values: DataFrame | None = None, vault: DataFrame | None = None, use_regex: bool = True,
-               extra_spans_col: str | None = None, out_col: str = "masked") -> Masked:
-    """Mask one text per row. ``keys`` identify the row uniquely; ``order`` gives the tokenization order of
-    rows within a session; ``entity_col`` (optional) classifies a whole cell; ``col_idx_col`` orders cells of
-    one source row."""
-    c = cells.withColumn("_session", F.col(session_col))
-    known = None
-    if known_values is not None:
-        kn = session_known(known_values).withColumnRenamed("session_id", "_session")
-        c = c.join(kn, "_session", "left")
-        known = F.coalesce(F.col("known"), F.array().cast("array<struct<value:string,entity:string,pattern:string>>"))
+               known_values: DataFrame | None = None, vault: DataFrame | None = None,
+               extra_spans_col: str | None = None, out_col: str = "masked", policy: Policy = DEFAULT) -> Masked:
+    """Mask one text per row. ``order`` gives the tokenization order of rows within a session; ``entity_col``
+    (optional) classifies a whole cell; ``col_idx_col`` orders cells of one source row; ``extra_spans_col``
+    holds spans of other detectors. Every input row gives one output row."""
     text = F.col(text_col)
+    identity = list(dict.fromkeys([*keys, *order, session_col, text_col, *[c for c in (entity_col, col_idx_col) if c]]))
+    c = cells.withColumn("_rid", row_id(*[F.col(x) for x in identity]))
+    found = c.withColumn("_session", F.col(session_col))
+    known = None
+    if known_values is not None and policy.detectors.known_values:
+        kn = session_known(known_values, policy).withColumnRenamed("session_id", "_known_session")
+        found = found.join(kn, F.col("_session") == F.col("_known_session"), "left")
+        known = F.coalesce(F.col("known"), F.array().cast(KNOWN))
     # Raw spans get their own projection: resolve() reads them more than once and higher-order functions
     # are not covered by subexpression elimination, so an inlined detector would run twice per row.
-    raw = detected_spans(text, known, use_regex,
-                         extra=F.col(extra_spans_col) if extra_spans_col else None,
-                         known_pattern=F.col("known_pattern") if known is not None else None,
-                         known_lookup=F.col("known_lookup") if known is not None else None)
+    raw = detected_spans(text, known, F.col(extra_spans_col) if extra_spans_col else None, policy)
     if entity_col is not None:
         raw = F.when(F.col(entity_col).isNull(), raw).otherwise(F.array().cast(S.SPANS))
-    c = c.withColumn("_raw", raw)
-    found = S.resolve(text, F.col("_raw"))
+    found = found.withColumn("_raw", raw)
+    spans = S.resolve(text, F.col("_raw"), policy)
     if entity_col is not None:
         whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).cast("int").alias("end"),
                                  F.col(entity_col).alias("entity"), F.lit("column").alias("source"),
                                  F.lit(0).alias("rank")))
-        found = (F.when(F.col(entity_col).isNotNull() & text.isNotNull(), whole)
-                 .when(F.col(entity_col).isNotNull(), F.array().cast(S.SPANS)).otherwise(found))
-    with_values = F.transform(found, lambda s: F.struct(
+        spans = (F.when(F.col(entity_col).isNotNull() & text.isNotNull(), whole)
+                 .when(F.col(entity_col).isNotNull(), F.array().cast(S.SPANS)).otherwise(spans))
+    with_values = F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"),
         S.display_value(S.span_text(text, s)).alias("value"), S.normalize_value(S.span_text(text, s)).alias("norm")))
-    c = c.withColumn("_spans", with_values).drop("_raw")
-    if known is not None:
-        c = c.drop("known", "known_pattern", "known_lookup")
-    c = c.persist(StorageLevel.MEMORY_AND_DISK)
-
     cidx = F.col(col_idx_col) if col_idx_col else F.lit(0)
-    occ = (c.where(F.size("_spans") > 0)
-           .select(*keys, "_session", *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
-                   cidx.alias("_cidx"), F.posexplode("_spans").alias("_i", "s"))
-           .select(*keys, "_session", "_cidx", "_i", *[f"_o{i}" for i in range(len(order))], "s.*"))
-    pos = F.struct(*[F.col(f"_o{i}") for i in range(len(order))], F.col("_cidx"), (-F.col("start")).alias("_neg"))
-    tokens = assign_tokens(occ.select(F.col("_session").alias("session_id"), "entity", "norm", "value",
-                                      pos.alias("pos")), vault)
-    tok = (occ.join(tokens.select(F.col("session_id").alias("_session"), "entity", "norm", "token"),
-                    ["_session", "entity", "norm"])
-           .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "start", "end", "entity", "token")))
-                               .alias("_tok")))
-    has = c.where(F.size("_spans") > 0).join(tok, keys)
-    none = c.where(F.size("_spans") == 0).withColumn("_tok", F.array().cast(
-        "array<struct<_i:int,start:int,end:int,entity:string,token:string>>"))
-    out = has.unionByName(none)
+    pos = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], cidx.alias("c"))
+    occ = (found.select("_rid", F.col("_session").alias("session_id"), pos.alias("_at"), F.posexplode(with_values).alias("_i", "s"))
+           .select("_rid", "session_id", "_at", "_i", "s.*"))
+    occ = written(occ, "occurrences")
+    tokens = assign_tokens(occ.select("session_id", "entity", "norm", "value",
+                                      F.struct("_at", (-F.col("start")).alias("_neg")).alias("pos")), vault)
+    tok = (null_safe_join(occ, tokens.select("session_id", "entity", "norm", "token"), ["session_id", "entity", "norm"])
+           .groupBy(F.col("_rid").alias("_tok_rid"))
+           .agg(F.array_sort(F.collect_set(F.struct("_i", "start", "end", "entity", "token"))).alias("_tok")))
+    out = c.join(tok, F.col("_rid") == F.col("_tok_rid"), "left")
+    out = out.withColumn("_tok", F.coalesce("_tok", F.array().cast(TOKENS)))
     out = (out.withColumn(out_col, F.when(text.isNull(), F.lit("")).otherwise(S.rebuild(text, F.col("_tok"))))
            .withColumn("pii_counts", counts_map(F.col("_tok")))
-           .drop("_spans", "_tok", "_session"))
+           .drop("_rid", "_tok_rid", "_tok"))
     return Masked(out, tokens)
 
 
 def mask_text(df: DataFrame, text_col: str, keys: list[str], order: list[str] | None = None,
               session_col: str = "session_id", known_values: DataFrame | None = None,
-              vault: DataFrame | None = None, use_regex: bool = True, out_col: str | None = None) -> Masked:
+              vault: DataFrame | None = None, out_col: str | None = None, extra_spans_col: str | None = None,
+              policy: Policy = DEFAULT) -> Masked:
     """M4: mask a free-text column; NULL/'' -> ''."""
-    return mask_cells(df, keys, order or keys, text_col=text_col, session_col=session_col,
-                      known_values=known_values, vault=vault, use_regex=use_regex, out_col=out_col or "masked")
+    return mask_cells(df, keys, order or keys, text_col=text_col, session_col=session_col, known_values=known_values,
+                      vault=vault, out_col=out_col or "masked", extra_spans_col=extra_spans_col, policy=policy)
 
 
 def mask_rows(df: DataFrame, column_types: dict[str, str], keys: list[str], order: list[str] | None = None,
               session_col: str = "session_id", known_values: DataFrame | None = None,
-              vault: DataFrame | None = None) -> Masked:
-    """M3: classified cells -> token of ``str(value)``; other string cells -> free-text masking;
-    numbers, dates, booleans and NULLs pass through. Cells are melted to (row, column) so masking runs
-    in one distributed pass, then pivoted back by row key."""
+              vault: DataFrame | None = None, policy: Policy = DEFAULT) -> Masked:
+    """M3: classified cells -> token of ``str(value)``; other string cells -> free-text masking; numbers,
+    dates, booleans and NULLs pass through. Key columns are cells like any other; only the session column is
+    left as it is. Cells of distinct rows are melted to (row, column) so masking runs in one distributed pass,
+    then put back by row id."""
     order = order or keys
     dtypes = dict(df.dtypes)
-    targets = [c for c in df.columns if c not in keys and c != session_col
-               and (c in column_types or dtypes[c] == "string")]
+    targets = [c for c in df.columns if c != session_col and (c in column_types or dtypes[c] == "string")]
+    marked = df.withColumn("_row", row_id(*[F.col(f"`{c}`") for c in df.columns]))
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"),
                                          F.col(c).cast("string").alias("text"),
                                          F.lit(column_types.get(c)).cast("string").alias("cell_entity"))
                                 for i, c in enumerate(df.columns) if c in targets]))
-    melted = df.select(*keys, *[o for o in order if o not in keys], session_col, cells.alias("x")).select(
-        *keys, *[o for o in order if o not in keys], session_col, "x.*")
-    m = mask_cells(melted, [*keys, "col_idx"], order, text_col="text", entity_col="cell_entity",
-                   col_idx_col="col_idx", session_col=session_col, known_values=known_values, vault=vault)
-    back = (m.cells.groupBy(*keys)
+    places = [F.col(o).alias(f"_order{i}") for i, o in enumerate(order)]
+    melted = marked.dropDuplicates(["_row"]).select("_row", *places, F.col(session_col).alias("_of"), cells.alias("x"))
+    melted = melted.select("_row", *[f"_order{i}" for i in range(len(order))], "_of", "x.*")
+    m = mask_cells(melted, ["_row", "col_idx"], [f"_order{i}" for i in range(len(order))], text_col="text", entity_col="cell_entity",
+                   col_idx_col="col_idx", session_col="_of", known_values=known_values, vault=vault, policy=policy)
+    back = (m.cells.groupBy(F.col("_row").alias("_back"))
             .agg(F.map_from_entries(F.collect_list(F.struct("col_name", "masked"))).alias("_m"),
                  F.collect_list("pii_counts").alias("_c")))
-    out = df.join(back, keys, "left")
+    out = marked.join(back, F.col("_row") == F.col("_back"), "left")
     cols = []
     for c in df.columns:
         if c in targets:
-            keep_null = F.col(c).isNull()
-            cols.append(F.when(keep_null, F.lit(None).cast("string")).otherwise(F.col("_m")[c]).alias(c))
+            cols.append(F.when(F.col(c).isNull(), F.lit(None).cast("string")).otherwise(F.col("_m")[c]).alias(c))
         else:
             cols.append(F.col(c))
     merged = F.aggregate(F.coalesce(F.col("_c"), F.array().cast("array<map<string,int>>")),
@@ -160,33 +163,36 @@ def mask_rows(df: DataFrame, column_types: dict[str, str], keys: list[str], orde
 
 
 def unmask(df: DataFrame, text_col: str, keys: list[str], vault: DataFrame, session_col: str = "session_id",
-           reveal: dict[str, bool] | None = None, out_col: str = "unmasked") -> DataFrame:
-    """M6: tokens back to values when the entity is revealed, ``[REDACTED]`` when not; tokens unknown to
-    the session's vault stay as written."""
-    reveal = P.ENTITY_TYPES if reveal is None else reveal
-    shown = [e for e, r in reveal.items() if r]
-    toks = df.select(*keys, F.col(session_col).alias("session_id"),
-                     F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")),
-                                                       F.lit(P.TOKEN_PATTERN), F.lit(0))).alias("_i", "token"))
-    j = toks.join(vault.select("session_id", "token", "value", "entity"), ["session_id", "token"], "left")
+           out_col: str = "unmasked", policy: Policy = DEFAULT) -> DataFrame:
+    """M6: tokens back to values when the policy shows the entity, ``[REDACTED]`` when not; tokens unknown to
+    the session's vault stay as written. Every input row gives one output row."""
+    shown = [e for e, r in policy.shown.items() if r]
+    text = F.col(text_col)
+    marked = df.withColumn("_rid", row_id(F.col(session_col), text))  # equal texts of a session unmask alike
+    toks = marked.select("_rid", F.col(session_col).alias("session_id"),
+                         F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(P.TOKEN_PATTERN), F.lit(0)))
+                         .alias("_i", "token"))
+    j = null_safe_join(toks, vault.select("session_id", "token", "value", "entity"), ["session_id", "token"], "left")
     repl = (F.when(F.col("value").isNull(), F.col("token"))
             .when(F.col("entity").isin(*shown), F.col("value")).otherwise(F.lit(P.REDACTED)))
-    per_row = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", repl.alias("r")))).alias("_r"))
-    out = df.join(per_row, keys, "left")
+    per_row = (j.groupBy(F.col("_rid").alias("_of")).agg(F.array_sort(F.collect_set(F.struct("_i", repl.alias("r")))).alias("_r")))
+    out = marked.join(per_row, F.col("_rid") == F.col("_of"), "left")
     reps = F.transform(F.coalesce(F.col("_r"), F.array().cast("array<struct<_i:int,r:string>>")), lambda x: x["r"])
-    return out.withColumn(out_col, F.when(F.col(text_col).isNull(), F.lit(None))
-                          .otherwise(S.interleave_replace(F.col(text_col), P.TOKEN_PATTERN, reps))).drop("_r")
+    return out.withColumn(out_col, F.when(text.isNull(), F.lit(None))
+                          .otherwise(S.interleave_replace(text, P.TOKEN_PATTERN, reps))).drop("_r", "_rid", "_of")
 
 
 def guard(df: DataFrame, text_col: str, keys: list[str], session_col: str = "session_id",
-          known_values: DataFrame | None = None, vault: DataFrame | None = None, mode: str = P.GUARD_MODE):
-    """Re-scan outgoing text with the fast detector set (regex + known values, no NER).
+          known_values: DataFrame | None = None, vault: DataFrame | None = None, policy: Policy = DEFAULT,
+          mode: str | None = None):
+    """Re-scan outgoing text with the fast detector set (regex + known values, no names).
     ``mask``: returns masked text and findings per row. ``block``: returns (passed, blocked) where blocked
-    rows carry entity counts only, never values."""
+    rows carry entity counts only, never values. ``mode`` defaults to the policy's."""
+    mode = mode or policy.exit.mode
     if mode not in ("mask", "block"):
         raise ValueError("guard mode must be 'mask' or 'block'")
     m = mask_text(df, text_col, keys, session_col=session_col, known_values=known_values, vault=vault,
-                  out_col="guarded")
+                  out_col="guarded", policy=policy.fast())
     out = m.cells.withColumnRenamed("pii_counts", "findings")
     if mode == "mask":
         return out, m.vault
@@ -196,7 +202,8 @@ def guard(df: DataFrame, text_col: str, keys: list[str], session_col: str = "ses
     return passed, blocked
 
 
-def leak_scan(texts: DataFrame, text_col: str, keys: list[str], values: DataFrame) -> DataFrame:
+def leak_scan(texts: DataFrame, text_col: str, keys: list[str], values: DataFrame,
+              shortest: int = P.KNOWN_VALUE_MIN_LENGTH) -> DataFrame:
     """Every (text row, entity, value) where a known PII value appears in a text, case-insensitively
     on word boundaries. ``values(value, entity)`` may hold every customer's values.
 
@@ -205,7 +212,7 @@ def leak_scan(texts: DataFrame, text_col: str, keys: list[str], values: DataFram
     with the value's regex on the text. Hot words on the text side are split by AQE's skew join."""
     v = (values.where(F.col("value").isNotNull())
          .select(S.display_value(F.col("value")).alias("value"), "entity")
-         .where(F.length("value") >= P.KNOWN_VALUE_MIN_LENGTH).distinct())
+         .where(F.length("value") >= shortest).distinct())
     vw = v.select("value", "entity", F.explode(F.array_distinct(S.words(F.col("value")))).alias("word"))
     freq = vw.groupBy("word").agg(F.count(F.lit(1)).alias("_f"))
     keyed = (vw.join(freq, "word")

@@ -10,15 +10,13 @@ one seen; numbers are handed out per (session, entity) in order of first appeara
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.functions import patterns as P
-from ledgerguard.functions.spans import (display_value, known_alternation, known_value_body, known_value_pattern,
-                                         normalize_value)
-from ledgerguard.plans.ranking import rank_within
+from ledgerguard.functions.spans import display_value, known_value_pattern, normalize_value
+from ledgerguard.plans.ranking import null_safe_join, rank_within
+from ledgerguard.sources.policy import DEFAULT, Policy
 
 VAULT_COLUMNS = ("session_id", "entity", "norm", "value", "n", "token")
 
@@ -51,18 +49,12 @@ def known_values_ranked(kv: DataFrame) -> DataFrame:
     return kv.withColumn("rank", F.row_number().over(w))
 
 
-def session_known(kv: DataFrame, min_length: int = P.KNOWN_VALUE_MIN_LENGTH) -> DataFrame:
-    """Known values usable by the detector (length >= min_length), one array per session."""
-    usable = kv.where(F.length("value") >= min_length)
+def session_known(kv: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """Known values usable by the detector (long enough for the policy), one array per session: a session's
+    registered profile values, which are few. Whole customer bases belong into ``masking.leak_scan``."""
+    usable = kv.where(F.length("value") >= policy.detectors.shortest_known)
     known = F.collect_list(F.struct("value", "entity", known_value_pattern(F.col("value")).alias("pattern")))
-    bodies = F.collect_list(F.struct(F.length("value").alias("len"), known_value_body(F.col("value")).alias("body")))
-    lookup = F.map_from_entries(F.collect_list(F.struct(normalize_value(F.col("value")), F.col("entity"))))
-    return (usable.groupBy("session_id").agg(known.alias("known"), bodies.alias("_b"), lookup.alias("known_lookup"))
-            .select("session_id", "known", "known_lookup",
-                    known_alternation(F.transform(F.array_sort(F.col("_b"), lambda a, b: (
-                        F.when(a["len"] > b["len"], -1).when(a["len"] < b["len"], 1)
-                        .when(a["body"] < b["body"], -1).when(a["body"] > b["body"], 1).otherwise(0))),
-                        lambda x: x["body"])).alias("known_pattern")))
+    return usable.groupBy("session_id").agg(known.alias("known"))
 
 
 def assign_tokens(occ: DataFrame, vault: DataFrame | None = None) -> DataFrame:
@@ -74,11 +66,11 @@ def assign_tokens(occ: DataFrame, vault: DataFrame | None = None) -> DataFrame:
              .select("session_id", "entity", "norm", F.col("f.p").alias("first_pos"), F.col("f.v").alias("value")))
     keys = ["session_id", "entity", "norm"]
     if vault is not None:
-        first = first.join(vault.select(*keys), keys, "left_anti")
+        first = null_safe_join(first, vault.select(*keys), keys, "left_anti")
         base = vault.groupBy("session_id", "entity").agg(F.max("n").alias("_base"))
     ranked = rank_within(first, ["session_id", "entity"], ["first_pos"], out="_rank")
     if vault is not None:
-        ranked = ranked.join(base, ["session_id", "entity"], "left")
+        ranked = null_safe_join(ranked, base, ["session_id", "entity"], "left")
         n = F.coalesce(F.col("_base"), F.lit(0)) + F.col("_rank")
     else:
         n = F.col("_rank")
@@ -91,7 +83,7 @@ def assign_tokens(occ: DataFrame, vault: DataFrame | None = None) -> DataFrame:
 
 def token_lookup(vault: DataFrame, requests: DataFrame) -> DataFrame:
     """``requests(session_id, token)`` -> value, NULL when the token is not in the vault."""
-    return requests.join(vault.select("session_id", "token", "value"), ["session_id", "token"], "left")
+    return null_safe_join(requests, vault.select("session_id", "token", "value"), ["session_id", "token"], "left")
 
 
 def vault_summary(vault: DataFrame, kv: DataFrame | None = None) -> DataFrame:
@@ -102,6 +94,3 @@ def vault_summary(vault: DataFrame, kv: DataFrame | None = None) -> DataFrame:
         s = s.join(kv.groupBy("session_id").agg(F.count(F.lit(1)).alias("known_values")), "session_id", "full_outer")
     return s
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

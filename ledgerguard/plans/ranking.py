@@ -4,34 +4,30 @@
 range-partition on (keys, order), sort within partitions, tag each row with its partition id and its
 index inside the partition, checkpoint that (to pin the tags), count rows per (key, partition), turn
 the counts into per-key offsets with a window over at most ``#partitions`` rows per key, and add the
-local index. A hot key simply spans several consecutive partitions.
+local index. A hot key simply spans several consecutive partitions. Null keys form groups like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerguard.session import checkpoint_dir
 
 
-# Largest group a single window task may hold; above it the range/offset path is used.
-HOT_GROUP_ROWS = 1_000_000
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the keys appear once, from the left."""
+    renamed = right.select(*[F.col(c).alias(f"__right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "rank",
-                partitions: int | None = None, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
-    """Dense 1-based numbering of rows within ``keys`` by ``order`` (order values must be unique per key).
-
-    One cheap partial aggregation checks the largest group first (a single-row answer reaches the driver):
-    when no group exceeds ``hot_rows`` a plain window is used, otherwise the range/offset path. Pass
-    ``hot_rows=None`` to force the range path."""
-    if hot_rows is not None:
-        hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-               .limit(1).count())
-        if not hot:
-            w = Window.partitionBy(*keys).orderBy(*order)
-            return df.withColumn(out, F.row_number().over(w).cast("long"))
+                partitions: int | None = None) -> DataFrame:
+    """Dense 1-based numbering of rows within ``keys`` by ``order`` (order values must be unique per key)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -43,6 +39,6 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "ra
     stats = tagged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_first"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    return (tagged.join(stats.drop("_cnt"), [*keys, "_pid"])
+    return (null_safe_join(tagged, stats.drop("_cnt"), [*keys, "_pid"])
             .withColumn(out, (F.col("_before") + F.col("_idx") - F.col("_first") + 1).cast("long"))
             .drop("_pid", "_idx", "_first", "_before"))

@@ -63,3 +63,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
+
+
+def written(df, name: str):
+    """``df`` written once to the shared folder and read back: evaluated once, lineage cut, safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
