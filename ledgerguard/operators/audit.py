@@ -2,8 +2,8 @@
 
 Each user turn of ``conversations`` is a question; the next assistant turn is its answer. Turn numbers
 come from ``rank_within`` (a very long conversation is still spread over tasks) and the last-three
-history is three equi-joins on (conversation, turn number - k) instead of a window that would hold a
-whole conversation in one task.
+history is one aggregation by (conversation, turn) instead of a window that would hold a whole
+conversation in one task.
 """
 
 from __future__ import annotations
@@ -42,13 +42,17 @@ def conversation_turns(conv: DataFrame) -> DataFrame:
 
 
 def history_last(turns: DataFrame, k: int = 3) -> DataFrame:
-    """The previous ``k`` (question, answer) pairs of each turn as prev1..prevk columns (prev1 = latest)."""
-    out = turns.select("conv_id", "turn_number")
-    for j in range(1, k + 1):
-        h = turns.select("conv_id", (F.col("turn_number") + j).alias("turn_number"),
-                         F.col("question").alias(f"prev{j}_question"), F.col("answer").alias(f"prev{j}_answer"))
-        out = out.join(h, ["conv_id", "turn_number"], "left")
-    return out
+    """The previous ``k`` (question, answer) pairs of each turn as prev1..prevk columns (prev1 = latest).
+    Each turn is sent to the k turns after it and to itself, and one aggregation by (conversation, turn) puts
+    them in place: one pass over ``turns``, no window over a conversation."""
+    targets = F.explode(F.sequence(F.lit(0), F.lit(k))).alias("j")
+    sent = turns.select("conv_id", "turn_number", "question", "answer", targets)
+    sent = sent.withColumn("turn_number", F.col("turn_number") + F.col("j"))
+    def place(j: int, column: str):
+        return F.max(F.when(F.col("j") == j, F.col(column))).alias(f"prev{j}_{column}")
+    cols = [place(j, c) for j in range(1, k + 1) for c in ("question", "answer")]
+    own = F.max(F.when(F.col("j") == 0, F.lit(True))).alias("_own")
+    return sent.groupBy("conv_id", "turn_number").agg(own, *cols).where("_own").drop("_own")
 
 
 def audit_records(spark: SparkSession, t: dict) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.sources.tables import AS_OF, MONEY
@@ -204,10 +204,10 @@ def blocked_line_count(c: DataFrame, r: DataFrame, rd: DataFrame) -> DataFrame:
 
 
 def overdue_receivables(r: DataFrame, rd: DataFrame, as_of=None) -> DataFrame:
-    """Per (contract, receivable due date) open balance, ordered."""
+    """Per (contract, receivable due date) open balance."""
     j = receivable_details(r.where(is_due(as_of)), open_balance(rd))
     return (j.groupBy("ContractId", F.col("ReceivableDueDate").alias("DueDate"))
-            .agg(_money(F.sum("Balance")).alias("Balance")).orderBy("ContractId", "DueDate"))
+            .agg(_money(F.sum("Balance")).alias("Balance")))
 
 
 def invoice_max_final_due(c: DataFrame, r: DataFrame, lf: DataFrame, lfu: DataFrame, pi: DataFrame) -> DataFrame:
@@ -265,15 +265,22 @@ def unknown_contracts(requests: DataFrame, c: DataFrame, seq_col: str = "seq") -
     return requests.join(cc, F.trim(F.col(seq_col)) == cc._seq, "left_anti")
 
 
+def outstanding_as_of(pairs: DataFrame, r: DataFrame, rd: DataFrame) -> DataFrame:
+    """Open balance of each (ContractId, as_of) pair, 0 when nothing is owed. The pairs (a batch of requests)
+    meet the receivables first, so only theirs are joined to details."""
+    pairs = pairs.select("ContractId", "as_of").distinct()
+    owed = (active_receivables(r).select(F.col("Id").alias("ReceivableId"), F.col("EntityId").alias("ContractId"), "DueDate")
+            .join(pairs, "ContractId").where(F.col("DueDate") <= F.col("as_of")).select("ReceivableId", "ContractId", "as_of")
+            .join(open_balance(rd).select("ReceivableId", "Balance"), "ReceivableId")
+            .groupBy("ContractId", "as_of").agg(F.sum("Balance").alias("OutstandingTotal")))
+    return (pairs.join(owed, ["ContractId", "as_of"], "left")
+            .select("ContractId", "as_of", _money(F.coalesce("OutstandingTotal", F.lit(0))).alias("OutstandingTotal")))
+
+
 def outstanding_for_requests(requests: DataFrame, c: DataFrame, r: DataFrame, rd: DataFrame) -> DataFrame:
     """Bind (contract_id, as_of_date) per request row: each request has its own as-of."""
-    req = resolve_contracts(requests, c).select("request_id", "ContractId", F.col("as_of").alias("_as_of"))
-    j = receivable_details(r, open_balance(rd))
-    rows = req.join(j, "ContractId").where(F.col("ReceivableDueDate") <= F.col("_as_of"))
-    agg = rows.groupBy("request_id").agg(_money(F.sum("Balance")).alias("OutstandingTotal"))
-    return (req.select("request_id", "ContractId").join(agg, "request_id", "left")
-            .select("request_id", "ContractId",
-                    _money(F.coalesce("OutstandingTotal", F.lit(0))).alias("OutstandingTotal")))
+    req = resolve_contracts(requests, c).select("request_id", "ContractId", F.coalesce("as_of", _as_of(None)).alias("as_of"))
+    return req.join(outstanding_as_of(req, r, rd), ["ContractId", "as_of"]).select("request_id", "ContractId", "OutstandingTotal")
 
 
 # --- R1 portfolio report ---------------------------------------------------------------
@@ -312,41 +319,46 @@ def portfolio_report(t: dict, as_of=None, ordered: bool = True) -> DataFrame:
 
 
 # --- R2 answer requests ----------------------------------------------------------------
-def answer_requests(requests: DataFrame, t: dict, as_of=None) -> DataFrame:
-    """R2: a batch of (request_id, seq, intent) -> long table (request_id, seq, intent, outcome,
-    row_count, rows_json). Core intents are answered from the per-contract results; unknown
-    contracts give ``not_found`` and non-core intents ``gave_up`` (no SQL generator here)."""
-    c = t["contracts"]
-    r, rd = t["receivables"], t["receivabledetails"]
+def answer_requests(requests: DataFrame, t: dict) -> DataFrame:
+    """R2: a batch of (request_id, seq, intent, as_of) -> (request_id, seq, intent, outcome, row_count,
+    rows_json). Each intent is answered for the contracts (and, for balances, the dates) asked about only:
+    the requested ids semi-join the base tables before any aggregate. Unknown contracts give
+    ``not_found`` and non-core intents ``gave_up`` (no SQL generator here)."""
     opts = {"ignoreNullFields": "false"}
+    cc = t["contracts"].select(F.col("SequenceNumber").alias("_seq"), F.col("Id").alias("ContractId"), "Status", "WorkflowStatus")
+    req = (requests.join(cc, F.trim(F.col("seq")) == F.col("_seq"), "left")
+           .select("request_id", "seq", "intent", "ContractId", "Status", "WorkflowStatus",
+                   F.coalesce("as_of", _as_of(None)).alias("as_of")))
+
+    def asked(intent: str) -> DataFrame:
+        return req.where((F.col("intent") == intent) & F.col("ContractId").isNotNull()).select("ContractId", "as_of")
 
-    def as_rows(df: DataFrame, key: str, cols: list[str], intent: str) -> DataFrame:
-        js = [F.col(x).cast("string").alias(x) if x not in ("InvoiceCount",) else F.col(x) for x in cols]
-        return (df.groupBy(key).agg(F.sort_array(F.collect_list(F.to_json(F.struct(*js), opts))).alias("_rows"))
-                .select(F.col(key).alias("ContractId"), F.lit(intent).alias("intent"), "_rows"))
-
-    st = contract_status(c)
-    answers = [
-        st.select("ContractId", F.lit("status").alias("intent"),
-                  F.array(F.to_json(F.struct("Status", "WorkflowStatus"), opts)).alias("_rows")),
-        as_rows(next_due_date(r, rd), "ContractId", ["NextDueDate", "Amount", "TaxAmount"], "next_due_date"),
-        as_rows(invoice_amount(t["leasefinances"], t["leasefundings"], t["payableinvoices"]), "ContractId",
-                ["InvoiceCount", "Currency", "InvoiceAmount", "InvoiceTaxAmount"], "invoice_amount"),
-        outstanding_amount(c, r, rd, as_of).select(
-            "ContractId", F.lit("outstanding_amount").alias("intent"),
-            F.array(F.to_json(F.struct(F.col("OutstandingTotal").cast("string").alias("OutstandingTotal")), opts))
-            .alias("_rows")),
-    ]
-    ans = answers[0]
-    for a in answers[1:]:
-        ans = ans.unionByName(a)
-    cc = c.select(F.col("SequenceNumber").alias("_seq"), F.col("Id").alias("_cid"))
-    req = requests.join(cc, F.trim(F.col("seq")) == cc._seq, "left")
-    core = F.col("intent").isin(*CORE_INTENTS)
-    joined = req.join(ans, (req._cid == ans.ContractId) & (req.intent == ans.intent), "left").drop(ans.intent)
-    rows = F.coalesce(F.col("_rows"), F.array().cast("array<string>"))
-    outcome = (F.when(F.col("_cid").isNull(), "not_found").when(~core, "gave_up").otherwise("answered"))
+    def only(table: DataFrame, column: str, intent: str) -> DataFrame:
+        ids = asked(intent).select(F.col("ContractId").alias("_id")).distinct()
+        return table.join(ids, F.col(column) == F.col("_id"), "left_semi")
+
+    def as_json(df: DataFrame, *cols) -> Column:
+        return F.to_json(F.struct(*[F.col(x) if x == "InvoiceCount" else F.col(x).cast("string").alias(x) for x in cols]), opts)
+
+    r, rd = t["receivables"], t["receivabledetails"]
+    due = next_due_date(only(r, "EntityId", "next_due_date"), rd)
+    invoices = invoice_amount(only(t["leasefinances"], "ContractId", "invoice_amount"), t["leasefundings"], t["payableinvoices"])
+    owed = outstanding_as_of(asked("outstanding_amount"), r, rd)
+    every_date = F.lit(None).cast("date")
+    answers = (due.select("ContractId", every_date.alias("as_of"), F.lit("next_due_date").alias("intent"),
+                          as_json(due, "NextDueDate", "Amount", "TaxAmount").alias("row"))
+               .union(invoices.select("ContractId", every_date, F.lit("invoice_amount"),
+                                      as_json(invoices, "InvoiceCount", "Currency", "InvoiceAmount", "InvoiceTaxAmount")))
+               .union(owed.select("ContractId", "as_of", F.lit("outstanding_amount"), as_json(owed, "OutstandingTotal"))))
+    # one row per contract, date and intent, or per currency for invoices: a handful
+    answers = (answers.groupBy("ContractId", "as_of", "intent").agg(F.sort_array(F.collect_list("row")).alias("_rows"))
+               .select(F.col("ContractId").alias("_c"), F.col("as_of").alias("_d"), F.col("intent").alias("_i"), "_rows"))
+    dated = F.when(F.col("intent") == "outstanding_amount", F.col("as_of"))
+    joined = req.join(answers, (F.col("ContractId") == F.col("_c")) & (F.col("intent") == F.col("_i")) & dated.eqNullSafe(F.col("_d")), "left")
+    status = F.array(F.to_json(F.struct(F.coalesce("Status", F.lit(NOT_COMMENCED_TEMPLATE)).alias("Status"), "WorkflowStatus"), opts))
+    rows = F.when(F.col("intent") == "status", status).otherwise(F.coalesce("_rows", F.array().cast("array<string>")))
+    outcome = (F.when(F.col("ContractId").isNull(), "not_found").when(~F.col("intent").isin(*CORE_INTENTS), "gave_up").otherwise("answered"))
     return joined.select(
-        "request_id", "seq", req.intent.alias("intent"), outcome.alias("outcome"),
+        "request_id", "seq", "intent", outcome.alias("outcome"),
         F.when(outcome == "answered", F.size(rows)).otherwise(0).cast("long").alias("row_count"),
         F.when(outcome == "answered", F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]"))).alias("rows_json"))

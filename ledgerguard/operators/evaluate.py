@@ -49,11 +49,12 @@ THRESHOLDS = {"core": 1.0, "adhoc": 0.8, "pii": 0.75}
 def eval_cases(t: dict) -> DataFrame:
     """Evaluation cases derived from the requests table: for each request, the value its answer must show
     (from the portfolio report, i.e. an independent formulation) and a pattern it must never show (an SSN)."""
-    rep = K.portfolio_report(t, ordered=False)
+    rep = K.portfolio_report(t, ordered=False).drop("OutstandingTotal")
+    owed = K.outstanding_for_requests(t["requests"], t["contracts"], t["receivables"], t["receivabledetails"])
     c = t["contracts"].select(F.col("SequenceNumber").alias("_seq"), "Status")
     req = t["requests"].withColumn("_seq", F.trim("seq"))
     exp = req.join(rep.withColumnRenamed("SequenceNumber", "_seq").drop("Status"), "_seq", "left") \
-        .join(c, "_seq", "left")
+        .join(c, "_seq", "left").join(owed.select("request_id", "OutstandingTotal"), "request_id", "left")
     status = F.coalesce(F.col("Status"), F.lit(K.NOT_COMMENCED_TEMPLATE))
     required = (F.when(F.col("intent") == "status", F.array(F.concat(F.lit("(?i)"), status)))
                 .when(F.col("intent") == "outstanding_amount",

@@ -171,3 +171,20 @@ def mutated_tables(t: dict) -> dict:
                                                            F.when(F.col("ContractType") == "Lease", "Loan").otherwise("Lease"))
                                     .otherwise(F.col("ContractType")))
     return out
+
+
+def broken_tables(t: dict) -> dict:
+    """A second broken copy, for the checks that sound data keep silent: rebooked contracts lose their number,
+    SU receivables come twice, inactive CT receivables and every second lease point nowhere, suspended lines
+    owe more than they are worth, suppressed lines are gone."""
+    from ledgerguard.sources.tables import CONTRACT_TABLES
+    out = {n: t[n] for n in CONTRACT_TABLES}
+    c, r, rd, lf = (t[n] for n in ("contracts", "receivables", "receivabledetails", "leasefinances"))
+    out["contracts"] = c.withColumn("SequenceNumber", F.when(F.col("Status").eqNullSafe("Rebook"), F.lit(None)).otherwise(F.col("SequenceNumber")))
+    away = r.withColumn("EntityId", F.when((F.col("EntityType") == "CT") & ~F.col("IsActive"), -F.col("EntityId")).otherwise(F.col("EntityId")))
+    out["receivables"] = away.unionByName(r.where(F.col("EntityType") == "SU"))
+    over = (F.col("Amount") + F.col("TaxAmount") + 1).cast(MONEY)
+    out["receivabledetails"] = rd.where(F.col("BillingStatus") != "Suppressed").withColumn(
+        "Balance", F.when(F.col("BillingStatus") == "Suspended", over).otherwise(F.col("Balance")))
+    out["leasefinances"] = lf.withColumn("CustomerId", F.when(F.col("ContractId") % 2 == 0, -F.col("CustomerId")).otherwise(F.col("CustomerId")))
+    return out

@@ -289,7 +289,7 @@ WHERE r.EntityType = 'CT' AND r.IsActive AND r.DueDate <= {AS_OF_SQL}
 GROUP BY r.EntityId, r.DueDate ORDER BY 1, 2""")
 def q_overdue_receivables(spark, d):
     t = T(spark, d)
-    return K.overdue_receivables(t["receivables"], t["receivabledetails"])
+    return K.overdue_receivables(t["receivables"], t["receivabledetails"]).orderBy("ContractId", "DueDate")
 
 
 @query("invoice_max_final_due", """
@@ -480,8 +480,69 @@ def q_dq_mutation_report(spark, d):
 REGISTRY["dq_mutation_report"] = (q_dq_mutation_report, _mutation_sql())
 
 
+_BROKEN_CTES = (
+    ("m_contracts", """SELECT Id, CASE WHEN Status = 'Rebook' THEN NULL ELSE SequenceNumber END AS SequenceNumber, Status, WorkflowStatus,
+    CommencementDate, ContractType FROM contracts"""),
+    ("m_receivables", """SELECT Id, CASE WHEN EntityType = 'CT' AND NOT IsActive THEN -EntityId ELSE EntityId END AS EntityId, EntityType,
+    Amount, TaxAmount, DueDate, IsActive FROM receivables UNION ALL
+    SELECT Id, EntityId, EntityType, Amount, TaxAmount, DueDate, IsActive FROM receivables WHERE EntityType = 'SU'"""),
+    ("m_receivabledetails", """SELECT ReceivableId, IsTaxAssessed, BillingStatus, DueDate, Amount, TaxAmount,
+    CASE WHEN BillingStatus = 'Suspended' THEN CAST(Amount + TaxAmount + 1 AS DECIMAL(18,2)) ELSE Balance END AS Balance
+    FROM receivabledetails WHERE BillingStatus <> 'Suppressed'"""),
+    ("m_leasefinances", "SELECT * REPLACE (CASE WHEN ContractId % 2 = 0 THEN -CustomerId ELSE CustomerId END AS CustomerId) FROM leasefinances"),
+)
+
+
+def _broken_sql() -> str:
+    import re
+    body = "\nUNION ALL ".join([_dq_keys_sql(), _dq_fk_sql(), *(REGISTRY[q][1].partition("SELECT '")[1] + REGISTRY[q][1].partition("SELECT '")[2]
+                                                               for q in ("dq_balance_range", "dq_no_details", "dq_orphan_ct"))])
+    body = re.sub(r"(?<!')\b(receivabledetails|receivables|contracts|leasefinances)\b(?!')", r"m_\1", body)
+    return with_views(f"SELECT \"Check\", TableName, COUNT(*) AS Violations FROM (\n{body}\n) v GROUP BY \"Check\", TableName", *_BROKEN_CTES)
+
+
+@query("dq_broken_report", None)
+def q_dq_broken_report(spark, d):
+    """Checks that clean data keep silent, on a copy broken in keys, references, balances and details."""
+    m = Q.broken_tables(T(spark, d))
+    v = (Q.dq_keys(m).unionByName(Q.dq_foreign_keys(m)).unionByName(Q.dq_balance_range(m["receivabledetails"]))
+         .unionByName(Q.dq_no_details(m["receivables"], m["receivabledetails"])).unionByName(Q.dq_orphan_ct(m["receivables"], m["contracts"])))
+    return v.groupBy("Check", "TableName").agg(F.count(F.lit(1)).alias("Violations"))
+
+
+REGISTRY["dq_broken_report"] = (q_dq_broken_report, _broken_sql())
+
+
 # --- R2 / E1 --------------------------------------------------------------------------
-@query("answer_requests", None)
+_OPEN = """r.EntityType = 'CT' AND r.IsActive AND rd.BillingStatus NOT IN ('Paid', 'Suppressed', 'Suspended') AND rd.Balance > 0"""
+ANSWERS_SQL = f"""
+SELECT * FROM (WITH q AS (SELECT s.request_id, s.seq, s.intent, s.as_of, c.Id, c.Status, c.WorkflowStatus FROM requests s LEFT JOIN contracts c ON c.SequenceNumber = trim(s.seq)),
+sched AS (
+  SELECT r.EntityId AS Id, rd.DueDate, CAST(SUM(rd.Amount) AS DECIMAL(18,2)) AS a, CAST(SUM(rd.TaxAmount) AS DECIMAL(18,2)) AS x
+  FROM receivables r JOIN receivabledetails rd ON rd.ReceivableId = r.Id
+  WHERE r.EntityType = 'CT' AND r.IsActive AND rd.BillingStatus = 'NotInvoiced' AND NOT rd.IsTaxAssessed GROUP BY ALL),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Id ORDER BY DueDate) AS k FROM sched) z WHERE k = 1),
+inv AS (
+  SELECT lf.ContractId AS Id, pi.Currency, COUNT(*) AS k, CAST(SUM(pi.InvoiceAmount) AS DECIMAL(18,2)) AS a, CAST(SUM(pi.InvoiceTaxAmount) AS DECIMAL(18,2)) AS x
+  FROM leasefinances lf JOIN leasefundings lfu ON lfu.LeaseFinanceId = lf.Id JOIN payableinvoices pi ON pi.Id = lfu.PayableInvoiceId GROUP BY ALL),
+invs AS (SELECT Id, list_sort(list('{{"InvoiceCount":' || k || ',"Currency":"' || Currency || '","InvoiceAmount":"' || a || '","InvoiceTaxAmount":"' || x || '"}}')) AS rows FROM inv GROUP BY Id),
+o AS (
+  SELECT q.request_id, CAST(SUM(rd.Balance) AS DECIMAL(18,2)) AS b FROM q JOIN receivables r ON r.EntityId = q.Id AND r.DueDate <= q.as_of
+  JOIN receivabledetails rd ON rd.ReceivableId = r.Id WHERE q.intent = 'outstanding_amount' AND {_OPEN} GROUP BY q.request_id),
+a AS (
+  SELECT q.*, CASE WHEN q.Id IS NULL THEN 'not_found' WHEN q.intent = 'adhoc' THEN 'gave_up' ELSE 'answered' END AS outcome,
+    CASE q.intent
+      WHEN 'status' THEN ['{{"Status":"' || coalesce(q.Status, 'Not yet commenced') || '","WorkflowStatus":"' || q.WorkflowStatus || '"}}']
+      WHEN 'next_due_date' THEN CASE WHEN n.Id IS NULL THEN [] ELSE ['{{"NextDueDate":"' || CAST(n.DueDate AS VARCHAR) || '","Amount":"' || n.a || '","TaxAmount":"' || n.x || '"}}'] END
+      WHEN 'invoice_amount' THEN coalesce(invs.rows, [])
+      WHEN 'outstanding_amount' THEN ['{{"OutstandingTotal":"' || coalesce(o.b, CAST(0 AS DECIMAL(18,2))) || '"}}'] END AS rows
+  FROM q LEFT JOIN n ON n.Id = q.Id LEFT JOIN invs ON invs.Id = q.Id LEFT JOIN o ON o.request_id = q.request_id)
+SELECT request_id, seq, intent, outcome, CAST(CASE WHEN outcome = 'answered' THEN len(rows) ELSE 0 END AS BIGINT) AS row_count,
+  CASE WHEN outcome = 'answered' THEN '[' || array_to_string(rows, ',') || ']' END AS rows_json
+FROM a) answers"""
+
+
+@query("answer_requests", ANSWERS_SQL)
 def q_answer_requests(spark, d):
     t = T(spark, d)
     return K.answer_requests(t["requests"], t)

@@ -3,6 +3,8 @@ audit records, evaluation and the scalar helpers."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ledgerguard.functions import patterns as P
@@ -17,6 +19,7 @@ from ledgerguard.operators import vault as V
 from ledgerguard.operators.lineage import classify_output
 from ledgerguard.plans.catalog import REGISTRY, T, query
 from ledgerguard.plans.oracle_views import with_views
+from ledgerguard.sources.policy import DEFAULT
 from ledgerguard.sources.tables import CONTRACT_TABLES, register_views
 
 
@@ -71,23 +74,34 @@ def q_out_of_scope_rows(spark, d):
 
 
 # --- M1 / M2 / M3 / R3 -----------------------------------------------------------------------
-LINEAGE_CASES = {  # the classification cases, written against the (scoped) contract views
-    "plain": "SELECT cu.FirstName, cu.Email FROM customers cu",
-    "concat_alias": "SELECT cu.FirstName || ' ' || cu.LastName AS CustomerName, cu.CustomerType FROM customers cu",
-    "upper_phone": "SELECT UPPER(cu.Phone) AS p FROM customers cu",
-    "cte_alias": "WITH x AS (SELECT cu.AddressLine1 AS Street FROM customers cu) SELECT x.Street AS Addr FROM x",
-    "no_pii": "SELECT c.Status FROM contracts c",
-    "restricted_mix": "SELECT concat(cu.FirstName, cu.SSN) AS x, cu.Zip FROM customers cu",
+LINEAGE_CASES = {  # what each query's columns must be classified as is in the oracle
+    "renamed": "SELECT FirstName AS given, Zip FROM customers",
+    "filtered_only": "SELECT Id FROM customers WHERE SSN LIKE '9%'",
+    "expression": "SELECT left(lower(Phone), 5) AS prefix, length(Email) AS n FROM customers",
+    "nested": "SELECT max(p) AS latest FROM (SELECT reverse(Phone) AS p FROM customers) WHERE p LIKE '%1%'",
+    "with_join": "WITH people AS (SELECT Id, upper(LastName) AS who FROM customers) SELECT a.who FROM people a JOIN people b ON a.Id = b.Id",
+    "not_personal": "SELECT Status, WorkflowStatus FROM contracts",
+    "shadowed_name": "SELECT customers.Email AS e FROM (SELECT SSN AS Email FROM customers) customers",
+    "unpivoted": "SELECT v FROM customers UNPIVOT (v FOR c IN (SSN, Email))",
+    "rolled_up": "SELECT Email AS mail FROM customers GROUP BY ROLLUP(Email)",
+    "united": "SELECT Email AS x FROM customers UNION ALL SELECT SSN FROM customers",
+    "scalar_subquery": "SELECT Id, (SELECT max(SSN) FROM customers) AS top FROM contracts",
+}
+RESTRICTED_CASES = {
+    "coalesced": "SELECT coalesce(Phone, SSN) AS contact, AddressLine2 FROM customers",
+    "chosen": "SELECT CASE WHEN Id > 5 THEN Email ELSE SSN END AS pick FROM customers",
 }
 
 
-def _classified_cells(spark, d, names):
+def _classified_cells(spark, d, cases):
     """Classify each case's output columns, then count classified non-NULL cells over its full result."""
     register_views(_tables(spark, d))
     out = None
-    for name in names:
-        df = spark.sql(LINEAGE_CASES[name])
-        types = classify_output(df) or {}
+    for name, sql in cases.items():
+        df = spark.sql(sql)
+        types = classify_output(df, tables=set(CONTRACT_TABLES))
+        if types is None:
+            types = {c: "UNKNOWN" for c in df.columns}
         for col, ent in types.items():
             part = df.agg(F.count(F.col(f"`{col}`")).alias("cells")).select(
                 F.lit(name).alias("case"), F.lit(col).alias("column"), F.lit(ent).alias("entity"), "cells")
@@ -95,14 +109,33 @@ def _classified_cells(spark, d, names):
     return out
 
 
-@query("lineage_classify", None)
+def _lineage_sql(expected: list[tuple[str, str, str, str]]) -> str:
+    return "\nUNION ALL ".join(f"SELECT '{case}' AS \"case\", '{col}' AS \"column\", '{ent}' AS entity, ({count}) AS cells"
+                               for case, col, ent, count in expected)
+
+
+@query("lineage_classify", _lineage_sql([
+    ("renamed", "given", "PERSON", "SELECT count(FirstName) FROM customers"),
+    ("renamed", "Zip", "ZIP", "SELECT count(Zip) FROM customers"),
+    ("expression", "prefix", "PHONE", "SELECT count(Phone) FROM customers"),
+    ("expression", "n", "EMAIL", "SELECT count(Email) FROM customers"),
+    ("nested", "latest", "PHONE", "SELECT count(*) FROM (SELECT max(p) AS m FROM (SELECT reverse(Phone) AS p FROM customers) z WHERE p LIKE '%1%') y WHERE m IS NOT NULL"),
+    ("with_join", "who", "PERSON", "SELECT count(LastName) FROM customers"),
+    ("shadowed_name", "e", "SSN", "SELECT count(SSN) FROM customers"),
+    ("unpivoted", "v", "SSN", "SELECT count(SSN) + count(Email) FROM customers"),
+    ("rolled_up", "mail", "EMAIL", "SELECT count(DISTINCT Email) FROM customers"),
+    ("united", "x", "SSN", "SELECT count(SSN) + count(Email) FROM customers"),
+    ("scalar_subquery", "top", "SSN", "SELECT count(*) FROM contracts WHERE EXISTS (SELECT 1 FROM customers WHERE SSN IS NOT NULL)")]))
 def q_lineage_classify(spark, d):
-    return _classified_cells(spark, d, ["plain", "concat_alias", "upper_phone", "cte_alias", "no_pii"])
+    return _classified_cells(spark, d, LINEAGE_CASES)
 
 
-@query("lineage_restricted_wins", None)
+@query("lineage_restricted_wins", _lineage_sql([
+    ("coalesced", "contact", "SSN", "SELECT count(coalesce(Phone, SSN)) FROM customers"),
+    ("coalesced", "AddressLine2", "ADDRESS", "SELECT count(AddressLine2) FROM customers"),
+    ("chosen", "pick", "SSN", "SELECT count(CASE WHEN Id > 5 THEN Email ELSE SSN END) FROM customers")]))
 def q_lineage_restricted_wins(spark, d):
-    return _classified_cells(spark, d, ["restricted_mix"])
+    return _classified_cells(spark, d, RESTRICTED_CASES)
 
 
 CONTACT_SQL = """SELECT cs.contract_id, cs.FirstName || ' ' || cs.LastName AS CustomerName, cs.Email, cs.Phone,
@@ -113,8 +146,8 @@ def _contact_sheet(spark, d):
     scoped = SC.contract_scope(_tables(spark, d))
     scoped["customers"].createOrReplaceTempView("scoped_customers")
     df = spark.sql(CONTACT_SQL)
-    return df, classify_output(df, columns={("scoped_customers", c.lower()): e for (t, c), e in P.CLASSIFIED_COLUMNS.items()
-                                            if t == "customers"}) or {}
+    policy = replace(DEFAULT, columns={("scoped_customers", c): e for (t, c), e in DEFAULT.columns.items() if t == "customers"})
+    return df, classify_output(df, policy) or {}
 
 
 @query("mask_rows", None)
@@ -125,27 +158,6 @@ def q_mask_rows(spark, d):
     return m.cells.drop("session_id", "pii_counts")
 
 
-_MASK_ROWS_SQL = """
-WITH cs AS (""" + _SCOPE_SQL["customers"] + """),
-sheet AS (SELECT contract_id, FirstName || ' ' || LastName AS CustomerName, Email, Phone, AddressLine1, Zip, CustomerType FROM cs),
-cells AS (
-  SELECT contract_id, 1 AS col_idx, 'PERSON' AS entity, CustomerName AS v FROM sheet WHERE CustomerName IS NOT NULL
-  UNION ALL SELECT contract_id, 2, 'EMAIL', Email FROM sheet WHERE Email IS NOT NULL
-  UNION ALL SELECT contract_id, 3, 'PHONE', Phone FROM sheet WHERE Phone IS NOT NULL
-  UNION ALL SELECT contract_id, 4, 'ADDRESS', AddressLine1 FROM sheet WHERE AddressLine1 IS NOT NULL
-  UNION ALL SELECT contract_id, 5, 'ZIP', Zip FROM sheet WHERE Zip IS NOT NULL),
-tok AS (SELECT contract_id, col_idx, '<' || entity || '_' || CAST(dense_rank() OVER (PARTITION BY contract_id, entity
-  ORDER BY lower(trim(regexp_replace(v, '\\s+', ' ', 'g')))) AS VARCHAR) || '>' AS token FROM cells)
-SELECT s.contract_id,
-  (SELECT token FROM tok WHERE tok.contract_id = s.contract_id AND col_idx = 1) AS CustomerName,
-  (SELECT token FROM tok WHERE tok.contract_id = s.contract_id AND col_idx = 2) AS Email,
-  (SELECT token FROM tok WHERE tok.contract_id = s.contract_id AND col_idx = 3) AS Phone,
-  (SELECT token FROM tok WHERE tok.contract_id = s.contract_id AND col_idx = 4) AS AddressLine1,
-  (SELECT token FROM tok WHERE tok.contract_id = s.contract_id AND col_idx = 5) AS Zip,
-  s.CustomerType
-FROM sheet s"""
-
-
 _SHEET_CTES = [
     ("cs", _SCOPE_SQL["customers"]),
     ("sheet", "SELECT contract_id, FirstName || ' ' || LastName AS CustomerName, Email, Phone, AddressLine1, Zip, "
@@ -306,7 +318,7 @@ SELECT ContractId, DueDate, Balance, row_number, n > 200 AS truncated FROM (
 def q_row_cap(spark, d):
     """Overdue receivables capped at 200 rows per contract (earliest due first), with a truncation flag."""
     t = T(spark, d)
-    return X.cap_rows(K.overdue_receivables(t["receivables"], t["receivabledetails"]), ["ContractId"], ["DueDate"], 200)
+    return X.cap_rows(K.overdue_receivables(t["receivables"], t["receivabledetails"]), ["ContractId"], ["DueDate"], n=200)
 
 
 # --- F1, F2, F3, F5, F7 ---------------------------------------------------------------------------
@@ -344,9 +356,16 @@ def q_fn_money(spark, d):
                       F.date_format("NextDueDate", "yyyy-MM-dd").alias("next_due"))
 
 
-@query("fn_rows_json", None)
+@query("fn_rows_json", """
+SELECT ContractId, row_number() OVER (PARTITION BY ContractId ORDER BY DueDate) AS row_number,
+       '{"DueDate":"' || CAST(DueDate AS VARCHAR) || '","Balance":"' || Balance || '"}' AS row_json
+FROM (SELECT r.EntityId AS ContractId, r.DueDate, CAST(SUM(rd.Balance) AS DECIMAL(18,2)) AS Balance
+      FROM receivables r JOIN receivabledetails rd ON rd.ReceivableId = r.Id
+      WHERE r.EntityType = 'CT' AND r.IsActive AND r.DueDate <= DATE '1998-10-01'
+        AND rd.BillingStatus NOT IN ('Paid', 'Suppressed', 'Suspended') AND rd.Balance > 0
+      GROUP BY r.EntityId, r.DueDate) o""")
 def q_fn_rows_json(spark, d):
-    """F8: each contract's overdue rows as one JSON array (sorted)."""
+    """F8: each contract's overdue rows as JSON objects, in order."""
     t = T(spark, d)
     od = K.overdue_receivables(t["receivables"], t["receivabledetails"])
     return X.rows_json(od, ["ContractId"], ["DueDate", "Balance"])
@@ -398,7 +417,7 @@ REGISTRY["visible_check"] = (q_visible_check, with_views(
     + _SCOPE_SQL["customers"] + ") s"))
 
 
-# --- oracles for E1 and M1/M2 ---------------------------------------------------------------------
+# --- oracle for E1 ---------------------------------------------------------------------
 from ledgerguard.plans.catalog import PORTFOLIO_SQL as _PORTFOLIO_SQL, _NEXT_DUE_SQL, _OUTSTANDING_SQL  # noqa: E402
 
 _GOLDEN_FIELDS = ("Status", "NextDueDate", "NextDueTotal", "InvoiceCount", "InvoiceAmount", "OutstandingTotal")
@@ -421,19 +440,3 @@ _GOLDEN_SQL = "SELECT SequenceNumber, Field, Expected, Actual FROM (\n" + "\nUNI
     f"FROM act a FULL OUTER JOIN rep r ON r.SequenceNumber = a.SequenceNumber" for f in _GOLDEN_FIELDS) + "\n) d WHERE diff"
 
 REGISTRY["golden_diff"] = (REGISTRY["golden_diff"][0], with_views(_GOLDEN_SQL, *_GOLDEN_CTES))
-
-_LINEAGE_EXPECTED = [
-    ("plain", "FirstName", "PERSON", "FirstName"), ("plain", "Email", "EMAIL", "Email"),
-    ("concat_alias", "CustomerName", "PERSON", "FirstName || ' ' || LastName"),
-    ("upper_phone", "p", "PHONE", "Phone"), ("cte_alias", "Addr", "ADDRESS", "AddressLine1"),
-]
-_RESTRICTED_EXPECTED = [("restricted_mix", "x", "SSN", "FirstName || SSN"), ("restricted_mix", "Zip", "ZIP", "Zip")]
-
-
-def _lineage_sql(rows):
-    return "\nUNION ALL ".join(f"SELECT '{c}' AS \"case\", '{col}' AS \"column\", '{e}' AS entity, COUNT({x}) AS cells "
-                               f"FROM customers" for c, col, e, x in rows)
-
-
-REGISTRY["lineage_classify"] = (REGISTRY["lineage_classify"][0], with_views(_lineage_sql(_LINEAGE_EXPECTED)))
-REGISTRY["lineage_restricted_wins"] = (REGISTRY["lineage_restricted_wins"][0], with_views(_lineage_sql(_RESTRICTED_EXPECTED)))

@@ -16,6 +16,7 @@ from ledgerguard.operators import masking as M
 from ledgerguard.operators import vault as V
 from ledgerguard.plans.catalog import REGISTRY, T, query
 from ledgerguard.plans.oracle_views import with_views
+from ledgerguard.sources.policy import DEFAULT, from_mapping
 
 
 def _q(s: str) -> str:
@@ -141,10 +142,12 @@ def sql_chosen(src: str, with_known: bool) -> list[tuple[str, str]]:
                f"CASE WHEN value LIKE '%''s' OR value LIKE '%’s' THEN substr(value, 1, length(value) - 2) ELSE value END AS value, "
                f"entity, rank FROM sp_raw"),
         ("sp_ok", f"SELECT * FROM sp WHERE NOT {ALLOW_SQL}"),
-        ("chosen", """SELECT s.* FROM sp_ok s WHERE NOT EXISTS (SELECT 1 FROM sp_ok o WHERE o.id = s.id
-  AND (o."start" < s."start" OR (o."start" = s."start" AND (o."end" - o."start" > s."end" - s."start"
-       OR (o."end" - o."start" = s."end" - s."start" AND o.rank < s.rank))))
-  AND o."start" < s."end" AND s."start" < o."end")"""),
+        # greedy: from each chosen span on to the first one in order that starts at or after its end
+        ("chosen", """SELECT * EXCLUDE (k) FROM (
+  WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "start", "end" DESC, rank, entity) AS k FROM sp_ok),
+  g AS (SELECT id, k, "end" AS e FROM o WHERE k = 1
+        UNION ALL SELECT o.id, min(o.k), arg_min(o."end", o.k) FROM g JOIN o ON o.id = g.id AND o.k > g.k AND o."start" >= g.e GROUP BY o.id)
+  SELECT o.* FROM o JOIN g ON g.id = o.id AND g.k = o.k) z"""),
         ("occ", f"SELECT *, {DISP.format('value')} AS disp, {NORM.format('value')} AS norm FROM chosen"),
         ("firsts", """SELECT session_id, entity, norm, disp AS value, id AS first_id, "start" AS first_start FROM (
   SELECT *, row_number() OVER (PARTITION BY session_id, entity, norm ORDER BY id, "start" DESC) AS rn FROM occ) f WHERE rn = 1"""),
@@ -208,7 +211,19 @@ def _detect(entity):
     return fn
 
 
-for _name, _ent in (("detect_ssn", "SSN"), ("detect_card", "CREDIT_CARD"), ("detect_email", "EMAIL"),
+@query("detect_ssn", None)
+def q_detect_ssn(spark, d):
+    """D1 over the documents and the contract notes (documents hold no SSN of their own)."""
+    texts = _docs(spark, d).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(
+        _notes(spark, d).select(F.lit("note").alias("kind"), F.col("ContractId").alias("id"), F.col("note").alias("text")))
+    return _span_rows(texts, ["kind", "id"], "text", S.regex_spans(F.col("text"), "SSN")).drop("entity")
+
+
+REGISTRY["detect_ssn"] = (q_detect_ssn, with_views(
+    "SELECT 'document' AS kind, * FROM (" + f"SELECT id, \"start\", \"end\", value FROM ({sql_regex_spans(DOCS_SRC, 'id', 'SSN')}) z" + ") a "
+    "UNION ALL SELECT 'note', * FROM (" + f"SELECT id, \"start\", \"end\", value FROM ({sql_regex_spans(NOTES_SRC, 'id', 'SSN')}) y" + ") b"))
+
+for _name, _ent in (("detect_card", "CREDIT_CARD"), ("detect_email", "EMAIL"),
                     ("detect_phone", "PHONE")):
     REGISTRY[_name] = (_detect(_ent), with_views(
         f"SELECT id AS doc_id, \"start\", \"end\", value FROM ({sql_regex_spans(DOCS_SRC, 'id', _ent)}) z"))
@@ -266,7 +281,7 @@ def _notes_raw_spans(spark, d):
     notes = _notes(spark, d)
     kn = V.session_known(_known(spark, d))
     j = notes.join(kn, "session_id", "left")
-    known = F.coalesce(F.col("known"), F.array().cast("array<struct<value:string,entity:string,pattern:string>>"))
+    known = F.coalesce(F.col("known"), F.array().cast(M.KNOWN))
     return j.withColumn("raw", M.detected_spans(F.col("note"), known))
 
 
@@ -287,7 +302,7 @@ def q_allow_list_filter(spark, d):
     texts = t["conversations"].select("text").unionByName(t["contract_notes"].select(F.col("note").alias("text")))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"(?U)\S+"), F.lit(0))
     return (texts.select(F.explode(words).alias("word"))
-            .where(S.is_allowed(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+            .where(DEFAULT.allows(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
 REGISTRY["allow_list_filter"] = (q_allow_list_filter, with_views(f"""
@@ -306,16 +321,16 @@ def q_possessive_trim(spark, d):
     return _span_rows(j, ["ContractId"], "note", trimmed)
 
 
-@query("protected_spans", None)
+@query("protected_spans", "SELECT ContractId, CAST(0 AS INTEGER) AS kept_spans FROM contract_notes")
 def q_protected_spans(spark, d):
     """Re-masking masked notes finds nothing outside existing tokens (idempotence): spans that
-    survive protection, expected empty, plus the count of spans dropped per note."""
+    survive protection, expected none in any note."""
     m = _notes_masked(spark, d).cells
     j = m.join(V.session_known(_known(spark, d)), "session_id", "left")
-    known = F.coalesce(F.col("known"), F.array().cast("array<struct<value:string,entity:string,pattern:string>>"))
+    known = F.coalesce(F.col("known"), F.array().cast(M.KNOWN))
     raw = M.detected_spans(F.col("masked"), known)
     kept = S.drop_protected(F.col("masked"), raw)
-    return j.select("ContractId", F.size(raw).alias("raw_spans"), F.size(kept).alias("kept_spans"))
+    return j.select("ContractId", F.size(kept).alias("kept_spans"))
 
 
 # --- T2-T5, M4, A11, M6: tokens and masking on the notes ----------------------------------------
@@ -497,22 +512,57 @@ REGISTRY["leak_scan"] = (q_leak_scan, with_views(
     + ") o", *_LEAK_CTES))
 
 
-@query("leak_scan_masked", None)
+@query("leak_scan_masked", """SELECT CAST(NULL AS BIGINT) AS ContractId, '' AS entity, '' AS value WHERE FALSE""")
 def q_leak_scan_masked(spark, d):
     """G3 after masking: no customer value may survive in any masked note (expected: no rows)."""
     m = _notes_masked(spark, d).cells.select("ContractId", "masked")
     return M.leak_scan(m, "masked", ["ContractId"], _leak_values(spark, d)).distinct()
 
 
+_TOGGLES = {  # policy files with detectors switched on and off
+    "all": {},
+    "regex_only": {"detectors": {"known_values": {"enabled": False}}},
+    "known_only": {"detectors": {"regex": []}},
+    "long_known_email": {"detectors": {"regex": ["EMAIL"], "known_values": {"min_length": 8}}},
+}
+
+
 @query("detector_toggle", None)
 def q_detector_toggle(spark, d):
-    """Spans per detector set (regex only / known only / both) over the notes."""
-    j = _notes_raw_spans(spark, d)
-    both = F.size(S.resolve(F.col("note"), F.col("raw")))
-    regex_only = F.size(S.resolve(F.col("note"), F.filter("raw", lambda s: s["source"] == "regex")))
-    known_only = F.size(S.resolve(F.col("note"), F.filter("raw", lambda s: s["source"] == "known")))
-    return j.agg(F.sum(regex_only).alias("regex_only"), F.sum(known_only).alias("known_only"),
-                 F.sum(both).alias("both"))
+    """Spans found in the notes under policies with different detector sets."""
+    out = None
+    for name, doc in _TOGGLES.items():
+        policy = from_mapping(doc)
+        j = _notes(spark, d).join(V.session_known(_known(spark, d), policy), "session_id", "left")
+        raw = M.detected_spans(F.col("note"), F.coalesce(F.col("known"), F.array().cast(M.KNOWN)), policy=policy)
+        n = F.size(S.resolve(F.col("note"), F.col("raw"), policy))
+        part = j.withColumn("raw", raw).agg(F.sum(n).cast("long").alias("spans")).select(F.lit(name).alias("policy"), "spans")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _toggle_sql() -> str:
+    ctes = [("kv", KV_SQL)]
+    parts = []
+    for name, keep in (("all", "TRUE"), ("regex_only", f"rank < {P.entity_rank('PERSON', 'known')}"),
+                       ("known_only", f"rank >= {P.entity_rank('PERSON', 'known')}"),
+                       ("long_known_email", f"(entity = 'EMAIL' AND rank < {P.entity_rank('PERSON', 'known')}) OR "
+                                            f"(rank >= {P.entity_rank('PERSON', 'known')} AND length(value) >= 8)")):
+        chosen = [(f"{c}_{name}", sql) for c, sql in sql_chosen(NOTES_SRC, True)[:4]]
+        for c in ("sp_raw", "sp_ok", "sp"):
+            chosen = [(n, _word(c, f"{c}_{name}", sql)) for n, sql in chosen]
+        chosen[0] = (chosen[0][0], f"SELECT * FROM ({chosen[0][1]}) t WHERE {keep}")
+        ctes += chosen
+        parts.append(f"SELECT '{name}' AS policy, (SELECT count(*) FROM chosen_{name}) AS spans")
+    return with_ctes("\nUNION ALL ".join(parts), ctes)
+
+
+def _word(old: str, new: str, sql: str) -> str:
+    import re
+    return re.sub(rf"\b{old}\b", new, sql)
+
+
+REGISTRY["detector_toggle"] = (q_detector_toggle, _toggle_sql())
 
 
 # --- M4 on pages ------------------------------------------------------------------------------

@@ -3,18 +3,25 @@ and returns the sink read back, so the result can be compared with a batch formu
 
 from __future__ import annotations
 
-from ledgerguard.plans.catalog import REGISTRY, query
+from ledgerguard.plans.catalog import REGISTRY, T, query
 from ledgerguard.plans.catalog_pii import sql_chosen, sql_masked
 from ledgerguard.plans.oracle_views import with_views
 from ledgerguard.streaming import pipeline as SP
 
-CONV_SRC = "(SELECT conv_id * 100000 + turn AS id, conv_id AS session_id, text AS t FROM conversations)"
+# the turns of a user carry the note of their contract, so that there is something to mask
+CONV_SRC = """(SELECT conv_id * 100000 + turn AS id, conv_id AS session_id,
+  CASE WHEN role = 'user' AND note IS NOT NULL THEN text || ' | ' || note ELSE text END AS t
+  FROM conversations LEFT JOIN contract_notes ON ContractId = conv_id)"""
+
+
+def _notes(spark, d):
+    return T(spark, d)["contract_notes"].select("ContractId", "note")
 
 
 @query("stream_mask", None)
 def q_stream_mask(spark, d):
     """ST1: every arriving turn masked (batch masking per micro-batch, vault carried across batches)."""
-    return spark.read.parquet(SP.stream_mask(spark, d)).select("conv_id", "turn", "masked")
+    return spark.read.parquet(SP.stream_mask(spark, d, notes=_notes(spark, d))).select("conv_id", "turn", "masked")
 
 
 REGISTRY["stream_mask"] = (q_stream_mask, with_views(
@@ -25,17 +32,25 @@ REGISTRY["stream_mask"] = (q_stream_mask, with_views(
 @query("stream_audit", None)
 def q_stream_audit(spark, d):
     """ST3: one appended audit record per turn (length, digest, findings)."""
-    return spark.read.schema(SP.AUDIT_STREAM_SCHEMA).json(SP.stream_audit(spark, d))
+    return spark.read.schema(SP.AUDIT_STREAM_SCHEMA).json(SP.stream_audit(spark, d, notes=_notes(spark, d)))
 
 
 REGISTRY["stream_audit"] = (q_stream_audit, with_views(
-    """SELECT c.conv_id, c.turn, c.role, length(c.text) AS chars, substr(sha256(c.text), 1, 16) AS sha256,
+    f"""SELECT c.conv_id, c.turn, c.role, length(s.t) AS chars, substr(sha256(s.t), 1, 16) AS sha256,
   CAST(coalesce(f.n, 0) AS INTEGER) AS findings
-FROM conversations c LEFT JOIN (SELECT id, COUNT(*) AS n FROM chosen GROUP BY id) f
+FROM conversations c JOIN {CONV_SRC} s ON s.id = c.conv_id * 100000 + c.turn LEFT JOIN (SELECT id, COUNT(*) AS n FROM chosen GROUP BY id) f
   ON f.id = c.conv_id * 100000 + c.turn""", *sql_chosen(CONV_SRC, False)[:4]))
 
 
 @query("stream_vault", None)
 def q_stream_vault(spark, d):
     """ST2: session vault as keyed state with an event-time idle TTL; uses after expiry fail closed."""
-    return spark.read.parquet(SP.stream_vault(spark, d))
+    return spark.read.parquet(SP.stream_vault(spark, d, notes=_notes(spark, d)))
+
+
+# A session ends when two turns are more than an hour apart (turns are 25 * (1 + conv_id % 4) minutes apart).
+REGISTRY["stream_vault"] = (REGISTRY["stream_vault"][0], with_views(f"""
+SELECT c.conv_id, c.turn, CASE WHEN ok THEN m.masked END AS masked, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status
+FROM (SELECT conv_id, turn, coalesce(bool_and(gap <= 60) OVER (PARTITION BY conv_id ORDER BY turn), TRUE) AS ok FROM (
+  SELECT conv_id, turn, (turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) * 25 * (1 + conv_id % 4) AS gap FROM conversations) g) c
+JOIN ({sql_masked(CONV_SRC)}) m ON m.id = c.conv_id * 100000 + c.turn""", *sql_chosen(CONV_SRC, False)))

@@ -4,11 +4,5 @@ from __future__ import annotations
 
 
 def load_registry() -> dict:
-    from ledgerguard.plans import catalog
-    for mod in ("catalog_pii", "catalog_governance", "catalog_streaming"):
-        try:
-            __import__(f"ledgerguard.plans.{mod}")
-        except ModuleNotFoundError as err:
-            if err.name != f"ledgerguard.plans.{mod}":
-                raise
+    from ledgerguard.plans import catalog, catalog_governance, catalog_pii, catalog_streaming  # noqa: F401
     return dict(catalog.REGISTRY)

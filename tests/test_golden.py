@@ -78,7 +78,7 @@ def test_unknown_contract_and_resolution(spark, seed):
                                 "request_id long, seq string, intent string, as_of date")
     assert [r.request_id for r in K.resolve_contracts(req, seed["contracts"]).collect()] == [1]
     assert [r.seq for r in K.unknown_contracts(req, seed["contracts"]).collect()] == ["CT-9999"]
-    ans = {r.request_id: r for r in K.answer_requests(req, seed, AS_OF).collect()}
+    ans = {r.request_id: r for r in K.answer_requests(req, seed).collect()}
     assert ans[1].outcome == "answered" and '"Status":"Commenced"' in ans[1].rows_json
     assert ans[2].outcome == "not_found" and ans[2].row_count == 0
 
