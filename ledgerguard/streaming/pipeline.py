@@ -1,17 +1,19 @@
 """Structured Streaming: masked turns (ST1), the session vault with an idle TTL as keyed state (ST2) and an
 append-only audit sink (ST3), all reading ``conversations`` as a file stream.
 
-* ST1 ``stream_mask``: ``foreachBatch`` runs the batch masking job on each micro-batch and carries the vault
-  forward as parquet in the shared folder (new tokens continue the counters); outputs are written per
-  batch id, so a replayed batch overwrites instead of duplicating.
+* ST1 ``stream_mask``: ``foreachBatch`` runs the batch masking job on each micro-batch. The vault is carried as
+  one folder per batch in the shared folder; batch n reads the folders of batches before n only, so a replayed
+  batch sees what it saw the first time, gives the same tokens, and overwrites its own outputs.
 * ST2 ``stream_vault``: ``transformWithStateInPandas`` keyed by session: token map and per-type counters in
   ``MapState``, last use in ``ValueState``, an event-time timer at last use + TTL wipes the vault; a use
-  after expiry fails closed (``status = 'error'``). Spans are detected JVM-side before the state step;
+  after expiry fails closed (``status = 'error'``). The mark of an expired session goes after ``FORGET_MS``; a
+  later use then starts a session without any old token. Spans are detected JVM-side before the state step;
   the processor only hands out tokens and splices them in.
 * ST3 ``stream_audit``: stateless per-turn records (length, digest, findings) to an append JSON sink.
 
-Event time for the turns is derived from the table: turn ``t`` of conversation ``c`` happens at
-``2024-01-01 + c days + t * 25 min * (1 + c % 4)``, so some sessions idle past the TTL between turns.
+A stream runs until all files present are done (``availableNow``); a caller that bounds the wait gets an error,
+never a part of the result. Event time for the turns is derived from the table: turn ``t`` of conversation
+``c`` happens at ``2024-01-01 + c days + t * 25 min * (1 + c % 4)``, so some sessions idle past the TTL.
 """
 
 from __future__ import annotations
@@ -27,19 +29,37 @@ from ledgerguard.functions import patterns as P
 from ledgerguard.functions import spans as S
 from ledgerguard.functions.text import payload_digest
 from ledgerguard.operators import masking as M
+from ledgerguard.plans.ranking import null_safe_join
 from ledgerguard.session import checkpoint_dir, scratch_path
+from ledgerguard.sources.policy import DEFAULT, Policy
 
 CONVERSATION_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
     T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
-STREAM_TIMEOUT_S = 600
+VAULT_SCHEMA = "session_id long, entity string, norm string, value string, n long, token string"
+
+
+class StreamNotFinished(RuntimeError):
+    """A bounded wait ended before the stream had read all its files."""
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str = "conversations",
-                schema: T.StructType = CONVERSATION_SCHEMA) -> DataFrame:
-    """File stream over the table's parquet file(s): the folder is watched, only ``<name>.parquet`` is read."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir.rstrip("/")))
+                schema: T.StructType = CONVERSATION_SCHEMA, files_per_batch: int | None = None) -> DataFrame:
+    """File stream over a table, stored as one Parquet file or as a folder of part files (written as a glob,
+    which Spark lists either way)."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{sf_dir.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
+
+
+def with_notes(turns: DataFrame, notes: DataFrame | None) -> DataFrame:
+    """Turns of the user with the note of the contract they talk about (``ContractId``, ``note``) behind the text."""
+    if notes is None:
+        return turns
+    notes = notes.select(F.col("ContractId").alias("_contract"), "note")
+    text = F.when((F.col("role") == "user") & F.col("note").isNotNull(), F.concat_ws(" | ", "text", "note")).otherwise(F.col("text"))
+    return turns.join(notes, F.col("conv_id") == F.col("_contract"), "left").withColumn("text", text).drop("_contract", "note")
 
 
 def with_event_time(df: DataFrame) -> DataFrame:
@@ -48,34 +68,46 @@ def with_event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", (base.cast("long") + F.col("conv_id") * 86400 + gap).cast("timestamp"))
 
 
-def _run(query, timeout_s: int = STREAM_TIMEOUT_S) -> None:
+def _run(query, wait_s: float | None = None) -> None:
+    """Wait for the stream to end by itself; its failure is raised here. After ``wait_s``, if given, it is
+    stopped and ``StreamNotFinished`` is raised."""
     try:
-        query.awaitTermination(timeout_s)
+        done = query.awaitTermination(wait_s) if wait_s else query.awaitTermination() or True
     finally:
         query.stop()
+    if not done:
+        raise StreamNotFinished(f"the stream was stopped after {wait_s} s with input left")
 
 
 # --- ST1 ----------------------------------------------------------------------------------------
-def stream_mask(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
+def earlier_vault(spark: SparkSession, vault_dir: str, batch_id: int, sessions: DataFrame) -> DataFrame | None:
+    """Tokens that batches before ``batch_id`` gave to the sessions of this one."""
+    if batch_id == 0:
+        return None
+    parts = [f"{vault_dir}/batch={i}" for i in range(batch_id)]
+    vault = spark.read.schema(VAULT_SCHEMA).parquet(*parts)  # a missing part is an error: its tokens are in use
+    return null_safe_join(vault, sessions.select("session_id").distinct(), ["session_id"], "left_semi")
+
+
+def mask_batch(batch: DataFrame, batch_id: int, out_dir: str, known_values: DataFrame | None = None, policy: Policy = DEFAULT) -> None:
+    turns = batch.withColumn("session_id", F.col("conv_id"))
+    vault = earlier_vault(batch.sparkSession, f"{out_dir}/vault", batch_id, turns)
+    m = M.mask_text(turns, "text", ["conv_id", "turn"], ["turn"], known_values=known_values, vault=vault, policy=policy)
+    new = m.vault if vault is None else null_safe_join(m.vault, vault.select("session_id", "entity", "norm"),
+                                                       ["session_id", "entity", "norm"], "left_anti")
+    new.write.mode("overwrite").parquet(f"{out_dir}/vault/batch={batch_id}")
+    m.cells.select("conv_id", "turn", "masked").write.mode("overwrite").parquet(f"{out_dir}/rows/batch={batch_id}")
+
+
+def stream_mask(spark: SparkSession, sf_dir: str, out_dir: str | None = None, notes: DataFrame | None = None,
+                known_values: DataFrame | None = None, policy: Policy = DEFAULT, files_per_batch: int | None = None,
+                wait_s: float | None = None) -> str:
     out_dir = out_dir or scratch_path(spark, "stream-mask")
-    vault_dir, rows_dir = f"{out_dir}/vault", f"{out_dir}/rows"
-
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        try:
-            vault = batch.sparkSession.read.parquet(vault_dir)
-        except Exception:        # first batch: no vault yet
-            vault = None
-        m = M.mask_text(batch.withColumn("session_id", F.col("conv_id")), "text", ["conv_id", "turn"], ["turn"],
-                        vault=vault)
-        m.cells.select("conv_id", "turn", "masked").write.mode("overwrite").parquet(f"{rows_dir}/batch={batch_id}")
-        new = m.vault if vault is None else m.vault.join(vault.select("session_id", "entity", "norm"),
-                                                         ["session_id", "entity", "norm"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{vault_dir}/batch={batch_id}")
-
-    q = (read_stream(spark, sf_dir).writeStream.foreachBatch(per_batch)
+    q = (with_notes(read_stream(spark, sf_dir, files_per_batch=files_per_batch), notes)
+         .writeStream.foreachBatch(lambda batch, i: mask_batch(batch, i, out_dir, known_values, policy.fast()))
          .option("checkpointLocation", f"{out_dir}/_checkpoint").trigger(availableNow=True).start())
-    _run(q)
-    return rows_dir
+    _run(q, wait_s)
+    return f"{out_dir}/rows"
 
 
 # --- ST3 ----------------------------------------------------------------------------------------
@@ -86,12 +118,14 @@ def audit_stream_records(stream: DataFrame) -> DataFrame:
     return raw.select("conv_id", "turn", "role", chars, sha, F.size(spans).alias("findings"))
 
 
-def stream_audit(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
+def stream_audit(spark: SparkSession, sf_dir: str, out_dir: str | None = None, notes: DataFrame | None = None,
+                 files_per_batch: int | None = None, wait_s: float | None = None) -> str:
     out_dir = out_dir or scratch_path(spark, "stream-audit")
-    q = (audit_stream_records(read_stream(spark, sf_dir)).writeStream.format("json").outputMode("append")
+    turns = with_notes(read_stream(spark, sf_dir, files_per_batch=files_per_batch), notes)
+    q = (audit_stream_records(turns).writeStream.format("json").outputMode("append")
          .option("path", f"{out_dir}/records").option("checkpointLocation", f"{out_dir}/_checkpoint")
          .trigger(availableNow=True).start())
-    _run(q)
+    _run(q, wait_s)
     return f"{out_dir}/records"
 
 
@@ -103,6 +137,7 @@ AUDIT_STREAM_SCHEMA = T.StructType([
 
 # --- ST2 ----------------------------------------------------------------------------------------
 _TTL_MS = P.VAULT_TTL_SECONDS * 1000
+FORGET_MS = 30 * 86_400_000
 
 VAULT_OUT = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
@@ -132,10 +167,18 @@ try:
             self.last_use = handle.getValueState("last_use", "ms long")
             self.expired = handle.getValueState("expired", "flag boolean")
 
-        def _wipe(self) -> None:
+        def _wipe(self, now_ms: int) -> None:
+            """Forget all tokens, remember that the session is over, and forget that too later on."""
             self.tokens.clear()
             self.counters.clear()
+            self.last_use.clear()
             self.expired.update((True,))
+            self._timer(now_ms + FORGET_MS)
+
+        def _timer(self, at_ms: int) -> None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
 
         def _token(self, entity: str, norm: str, value: str) -> str:
             k = f"{entity}\x1f{norm}"
@@ -158,7 +201,7 @@ try:
                     out.append((r.conv_id, r.turn, None, "error"))
                     continue
                 if last is not None and ts - last > ttl_ms:
-                    self._wipe()
+                    self._wipe(last + ttl_ms)
                     out.append((r.conv_id, r.turn, None, "error"))
                     continue
                 spans = sorted([(int(s["start"]), int(s["end"]), s["entity"], s["value"], s["norm"])
@@ -171,14 +214,15 @@ try:
                                                        [toks[s[0]] for s in spans]), "ok"))
                 last = ts
             if last is not None and not (self.expired.exists() and self.expired.get()[0]):
-                for t in self.handle.listTimers():
-                    self.handle.deleteTimer(t)
                 self.last_use.update((last,))
-                self.handle.registerTimer(last + ttl_ms)
+                self._timer(last + ttl_ms)
             yield pd.DataFrame(out, columns=["conv_id", "turn", "masked", "status"])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self._wipe()
+            if self.expired.exists():
+                self.expired.clear()
+            else:
+                self._wipe(expiredTimerInfo.getExpiryTimeInMs())
             yield pd.DataFrame([], columns=["conv_id", "turn", "masked", "status"])
 
         def close(self) -> None:
@@ -187,27 +231,38 @@ except ImportError:             # older PySpark: ST2 unavailable
     SessionVault = None
 
 
-def stream_vault(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
+def stream_vault(spark: SparkSession, sf_dir: str, out_dir: str | None = None, notes: DataFrame | None = None,
+                 lateness: str = "1 hour", files_per_batch: int | None = None, wait_s: float | None = None) -> str:
+    """``lateness``: how far a turn may lie behind the latest one seen, over all sessions; Spark counts turns
+    beyond it as late and leaves them out (``numRowsDroppedByWatermark`` of the query's progress), so set it to
+    the disorder of the source."""
     checkpoint_dir(spark)
     # The processor runs in Python workers that may not have this package on their path: pickle this
     # module's classes and functions by value (the processor only uses pandas and the constants below).
     import sys
     from pyspark import cloudpickle
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out_dir = out_dir or scratch_path(spark, "stream-vault")
     spans = S.resolve(F.col("text"), F.col("_raw"))
     with_vals = F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"),
         S.display_value(S.span_text(F.col("text"), s)).alias("value"),
         S.normalize_value(S.span_text(F.col("text"), s)).alias("norm")))
-    src = (with_event_time(read_stream(spark, sf_dir)).withWatermark("ts", "1 hour")
+    turns = with_notes(read_stream(spark, sf_dir, files_per_batch=files_per_batch), notes)
+    src = (with_event_time(turns).withWatermark("ts", lateness)
            .withColumn("_raw", S.all_regex_spans(F.col("text")))
            .select("conv_id", "turn", "text", "ts", with_vals.alias("spans")))
     out = src.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=SessionVault(), outputStructType=VAULT_OUT, outputMode="Append", timeMode="EventTime")
     q = (out.writeStream.format("parquet").outputMode("append").option("path", f"{out_dir}/rows")
-         .option("checkpointLocation", f"{out_dir}/_checkpoint").trigger(availableNow=True).start())
-    _run(q)
+         .option("checkpointLocation", f"{out_dir}/_checkpoint").trigger(availableNow=True))
+    # the state store is a setting of the session; it is put back once the query has started with its own
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        started = q.start()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    _run(started, wait_s)
     return f"{out_dir}/rows"

@@ -8,12 +8,16 @@ from tests.conftest import SF_SMALL
 def test_rank_within_hot_key_matches_row_number(spark):
     df = spark.range(0, 20000).select((F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50)).alias("k"),
                                       (F.col("id") * 7919 % 20011).alias("o"))
-    got = rank_within(df, ["k"], ["o"], out="r", partitions=16, hot_rows=5000)
+    got = rank_within(df, ["k"], ["o"], out="r", partitions=16)
     exp = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("o")))
     assert got.select("k", "o", "r").exceptAll(exp.select("k", "o", "r")).count() == 0
     assert got.count() == 20000
-    small = rank_within(df, ["k"], ["o"], out="r")          # no hot group: plain window path
-    assert small.select("k", "o", "r").exceptAll(exp.select("k", "o", "r")).count() == 0
+
+
+def test_rank_within_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 1)], "k string, o int")
+    assert sorted((str(r.k), r.o, r.r) for r in rank_within(df, ["k"], ["o"], out="r").collect()) == [
+        ("None", 1, 1), ("None", 3, 2), ("a", 1, 1), ("a", 2, 2)]
 
 
 def test_stream_vault_ttl_fails_closed(spark):
