@@ -201,7 +201,8 @@ def _light_pairs(light: DataFrame, lists: DataFrame, hot: DataFrame, percent: in
 
 
 def _heavy_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """Prefixes of whole sets by frequency: (h, cid, n, own), own = hashes of the class that no other has."""
+    """Prefixes of whole sets by frequency: (h, cid, n, own, at), own = hashes of the class that no other
+    has (the first in its order), at = the hash's place in that order."""
     postings = _postings(sets)
     df = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = postings.join(df, "h")
@@ -209,7 +210,7 @@ def _heavy_lists(sets: DataFrame, percent: int) -> DataFrame:
     whole = Window.partitionBy("cid")
     ranked = common.select("cid", "n", "h", F.row_number().over(rank).alias("r"), F.count(F.lit(1)).over(whole).alias("c"))
     own = F.col("n") - F.col("c")
-    return ranked.where(own + F.col("r") <= F.col("n") - _ceil_share(F.col("n"), percent) + 1).select("h", "cid", "n", own.alias("own"))
+    return ranked.where(own + F.col("r") <= F.col("n") - _ceil_share(F.col("n"), percent) + 1).select("h", "cid", "n", own.alias("own"), (own + F.col("r")).alias("at"))
 
 
 def _centre_pairs(lists: DataFrame) -> DataFrame:
@@ -219,16 +220,26 @@ def _centre_pairs(lists: DataFrame) -> DataFrame:
 
 
 def _open_pairs(lists: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list in different components that the counts of own hashes allow: of the hashes not
-    their own, at most the smaller number is common, and all own ones are in the union."""
-    rooted = lists.join(links.withColumnRenamed("node", "cid"), "cid", "left").select("h", "cid", "n", "own", F.coalesce("root", "cid").alias("root"))
+    """Pairs of a list in different components that counts still allow.
+
+    Hashes that one class alone has are in the union only. And where a pair's first common hash stands at
+    places i and j of the two orders, at most 1 + min(n_u - i, n_v - j) hashes are common. A pair is taken
+    from that first list alone."""
+    rooted = lists.join(links.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
     rooted = rooted.join(mixed, "h")
+    prefixes = rooted.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]).alias("p"))
+    rooted = rooted.join(prefixes, "cid")  # (a prefix is bounded by its set)
 
     def side(c: str) -> DataFrame:
-        return rooted.select("h", F.col("cid").alias(c), (F.col("n") - F.col("own")).alias(f"r{c}"), F.col("own").alias(f"o{c}"), F.col("root").alias(f"root{c}"))
-    possible = F.least("ru", "rv") * 100 >= (F.greatest("ru", "rv") + F.col("ou") + F.col("ov")) * percent
-    return side("u").join(side("v"), "h").where((F.col("u") < F.col("v")) & (F.col("rootu") != F.col("rootv")) & possible).select("u", "v").distinct()
+        return rooted.select("h", F.col("cid").alias(c), *[F.col(x).alias(x + c) for x in ("n", "own", "at", "root", "p")])
+    rest_u, rest_v = F.col("nu") - F.col("ownu"), F.col("nv") - F.col("ownv")
+    possible = F.least(rest_u, rest_v) * 100 >= (F.greatest(rest_u, rest_v) + F.col("ownu") + F.col("ownv")) * percent
+    common = 1 + F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv"))
+    possible = possible & (common * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent)
+    first = F.col("h") == F.get(F.array_intersect("pu", "pv"), 0)
+    return (side("u").join(side("v"), "h").where((F.col("u") < F.col("v")) & (F.col("rootu") != F.col("rootv")) & possible & first)
+            .select("u", "v"))
 
 
 def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text",
