@@ -10,26 +10,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerguard.functions.text import payload_digest
 from ledgerguard.operators import contracts as K
 from ledgerguard.operators import masking as M
 from ledgerguard.operators.vault import register_known
 from ledgerguard.plans.ranking import rank_within
+from ledgerguard.sources.policy import DEFAULT, Policy
 
-AUDIT_READ_SCHEMA = T.StructType([
-    T.StructField("ts", T.StringType()), T.StructField("session_id", T.LongType()),
-    T.StructField("turn", T.LongType()), T.StructField("sequence_number", T.StringType()),
-    T.StructField("question", T.StringType()), T.StructField("answer", T.StringType()),
-    T.StructField("outcome", T.StringType()),
-    T.StructField("pii_input", T.MapType(T.StringType(), T.IntegerType())),
-    T.StructField("pii_guard_masked", T.MapType(T.StringType(), T.IntegerType())),
-    T.StructField("llm_calls", T.ArrayType(T.StructType([
-        T.StructField("node", T.StringType()), T.StructField("chars", T.IntegerType()),
-        T.StructField("sha256", T.StringType()),
-        T.StructField("guard_masked", T.MapType(T.StringType(), T.IntegerType()))]))),
-])
+COUNTS = "map<string,int>"
+CALL = f"struct<node:string,chars:int,sha256:string,guard_masked:{COUNTS},payload:string>"
+AUDIT_READ_SCHEMA = (
+    "ts string, session_id long, turn long, sequence_number string, question string, answer string, outcome string, "
+    f"intent string, sql string, sql_attempts int, sql_errors array<string>, row_count long, pii_input {COUNTS}, "
+    f"pii_columns map<string,string>, pii_masked_output {COUNTS}, pii_guard_masked {COUNTS}, llm_calls array<{CALL}>, latency_ms long")
 
 
 def conversation_turns(conv: DataFrame) -> DataFrame:
@@ -55,10 +49,28 @@ def history_last(turns: DataFrame, k: int = 3) -> DataFrame:
     return sent.groupBy("conv_id", "turn_number").agg(own, *cols).where("_own").drop("_own")
 
 
-def audit_records(spark: SparkSession, t: dict) -> DataFrame:
-    """L1: one record per question turn: masked question (with the conversation's contract note appended,
-    known values = that contract's customer), masked answer re-scanned by the egress guard, counts per
-    layer, outcome, and one call record (node, chars, sha prefix, guard findings). No raw PII."""
+def _merge(*maps):
+    """Counts added up over maps."""
+    out = F.create_map().cast(COUNTS)
+    for m in maps:
+        out = F.map_zip_with(out, F.coalesce(m, F.create_map().cast(COUNTS)), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return out
+
+
+def _call(node: str, payload, found, policy: Policy):
+    """One outgoing payload: size, digest, what the guard found; the (masked) payload only if the policy keeps it."""
+    chars, sha = payload_digest(F.coalesce(payload, F.lit("")))
+    kept = payload if policy.exit.keep_payloads else F.lit(None).cast("string")
+    return F.struct(F.lit(node).alias("node"), chars.alias("chars"), sha.alias("sha256"), found.alias("guard_masked"), kept.alias("payload"))
+
+
+def audit_records(spark: SparkSession, t: dict, policy: Policy = DEFAULT) -> DataFrame:
+    """L1: one record per question turn. The question (with the conversation's contract note behind it) is
+    masked with the known values of that contract's customer; the reply is masked as outgoing rows are, and
+    the guard looks over both again with what masking left. Intent, rows and outcome come from the request of
+    the conversation (R2); a conversation without a contract is an ``error``. There is no SQL generator here, so
+    ``sql`` is null, an ad-hoc question has one attempt with one error, and the columns of the core answers hold
+    no personal data. ``latency_ms`` is not in the data. No raw PII leaves this function."""
     turns = conversation_turns(t["conversations"])
     notes = t["contract_notes"].select(F.col("ContractId").alias("conv_id"), "note")
     q = (turns.join(notes, "conv_id", "left")
@@ -67,23 +79,35 @@ def audit_records(spark: SparkSession, t: dict) -> DataFrame:
         .withColumn("session_id", F.col("ContractId"))
     kv = register_known(profiles)
     mq = M.mask_text(q, "question", ["conv_id", "turn"], ["turn"], session_col="conv_id", known_values=kv,
-                     out_col="masked_question")
+                     out_col="masked_question", policy=policy)
     cells = mq.cells.withColumnRenamed("pii_counts", "pii_input")
     ma = M.mask_text(cells, "answer", ["conv_id", "turn"], ["turn"], session_col="conv_id", known_values=kv,
-                     vault=mq.vault, out_col="masked_answer")
-    rec = ma.cells.withColumnRenamed("pii_counts", "pii_guard_masked")
-    payload = F.coalesce(F.col("masked_answer"), F.lit(""))
-    chars, sha = payload_digest(payload)
-    call = F.struct(F.lit("compose_answer").alias("node"), chars.alias("chars"), sha.alias("sha256"),
-                    F.col("pii_guard_masked").alias("guard_masked"))
+                     vault=mq.vault, out_col="masked_answer", policy=policy.fast())
+    rec = ma.cells.withColumnRenamed("pii_counts", "pii_masked_output")
+    for text in ("question", "answer"):
+        again, _ = M.guard(rec, f"masked_{text}", ["conv_id", "turn"], session_col="conv_id", known_values=kv, policy=policy, mode="mask")
+        rec = again.drop(f"masked_{text}").withColumnRenamed("guarded", f"masked_{text}").withColumnRenamed("findings", f"found_{text}")
+    asked = K.answer_requests(t["requests"], t).select(F.col("request_id").alias("_request"), "intent", F.col("outcome").alias("_o"), "row_count")
+    rec = rec.join(asked, F.col("conv_id") == F.col("_request"), "left")
+    found = _merge(F.col("found_question"), F.col("found_answer"))
+    calls = F.filter(F.array(
+        _call("classify_intent", F.col("masked_question"), F.col("found_question"), policy),
+        F.when(F.col("intent") == "adhoc", _call("generate_sql", F.col("masked_question"), F.col("found_question"), policy)),
+        F.when(F.col("answer").isNotNull(), _call("compose_answer", F.col("masked_answer"), F.col("found_answer"), policy))), lambda c: c.isNotNull())
+    adhoc = F.col("_o") == "gave_up"
+    outcome = (F.when(F.col("_o").isNull() | (F.col("_o") == "not_found"), "error")
+               .when(adhoc | F.col("answer").isNull(), "gave_up").otherwise("answered"))
     return rec.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts"),
         F.col("conv_id").alias("session_id"), F.col("turn_number").alias("turn"),
         F.concat(F.lit("CT-"), F.col("conv_id").cast("string")).alias("sequence_number"),
-        F.col("masked_question").alias("question"),
-        F.when(F.col("answer").isNull(), F.lit(None)).otherwise(F.col("masked_answer")).alias("answer"),
-        F.when(F.col("answer").isNull(), F.lit("gave_up")).otherwise(F.lit("answered")).alias("outcome"),
-        "pii_input", "pii_guard_masked", F.array(call).alias("llm_calls"))
+        F.col("masked_question").alias("question"), F.when(F.col("answer").isNotNull(), F.col("masked_answer")).alias("answer"),
+        outcome.alias("outcome"), "intent", F.lit(None).cast("string").alias("sql"),
+        F.when(adhoc, 1).otherwise(0).cast("int").alias("sql_attempts"),
+        F.when(adhoc, F.array(F.lit("no generator"))).otherwise(F.array().cast("array<string>")).alias("sql_errors"),
+        F.coalesce("row_count", F.lit(0)).alias("row_count"), "pii_input",
+        F.create_map().cast("map<string,string>").alias("pii_columns"), "pii_masked_output",
+        found.alias("pii_guard_masked"), calls.alias("llm_calls"), F.lit(None).cast("long").alias("latency_ms"))
 
 
 def guard_totals(audit: DataFrame) -> DataFrame:
@@ -96,21 +120,22 @@ def guard_totals(audit: DataFrame) -> DataFrame:
 def call_metadata(audit: DataFrame) -> DataFrame:
     """L3: one row per outgoing payload."""
     return (audit.select("session_id", "turn", F.explode("llm_calls").alias("c"))
-            .select("session_id", "turn", "c.node", "c.chars", "c.sha256",
-                    F.size("c.guard_masked").alias("guard_types")))
+            .select("session_id", "turn", "c.node", "c.chars", "c.sha256", F.size("c.guard_masked").alias("guard_types"),
+                    F.col("c.payload").isNotNull().alias("payload_kept")))
 
 
-def write_audit(audit: DataFrame, path: str) -> None:
-    """Append JSON lines (one per turn)."""
-    audit.write.mode("append").json(path)
+def write_audit(audit: DataFrame, path: str, run: str) -> None:
+    """JSON lines, one per turn, in the folder of this run: writing a run again replaces it, other runs stay."""
+    audit.write.mode("overwrite").json(f"{path.rstrip('/')}/run={run}")
 
 
 def audit_rollup(audit: DataFrame) -> DataFrame:
-    """L4: outcomes and PII counts per session."""
-    pii = F.aggregate(F.map_values(F.coalesce("pii_input", F.create_map().cast("map<string,int>"))),
-                      F.lit(0), lambda a, b: a + b)
-    return (audit.groupBy("session_id")
-            .agg(F.count(F.lit(1)).alias("turns"),
-                 F.sum((F.col("outcome") == "answered").cast("int")).alias("answered"),
-                 F.sum((F.col("outcome") == "gave_up").cast("int")).alias("gave_up"),
-                 F.sum(pii).cast("long").alias("pii_input_values")))
+    """L4: outcomes, attempts and PII values by type, per day and session."""
+    day = F.substring("ts", 1, 10).alias("day")
+    per = audit.groupBy(day, "session_id").agg(
+        F.count(F.lit(1)).alias("turns"), *[F.sum((F.col("outcome") == o).cast("int")).alias(o) for o in ("answered", "gave_up", "error")],
+        F.sum("sql_attempts").alias("attempts"))
+    typed = (audit.select(day, "session_id", F.explode("pii_input").alias("entity", "n"))
+             .groupBy("day", "session_id", "entity").agg(F.sum("n").cast("long").alias("n"))
+             .groupBy("day", "session_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "entity", "n"))), ",").alias("pii_input")))
+    return per.join(typed, ["day", "session_id"], "left").withColumn("pii_input", F.coalesce("pii_input", F.lit("")))

@@ -4,8 +4,8 @@ Interface: a DataFrame of entity spans ``(row keys, start, end, label, score)``;
 entity types (LOCATION -> ADDRESS, ...) and spans under the minimum score are dropped. The default
 implementation is a gazetteer join (no model in the container): gazetteer words are matched against each
 text's distinct words by an equi-join, and only matching (text, name) pairs are located with the
-name's word-bounded pattern. A model-backed detector can produce the same DataFrame from an iterator
-pandas UDF (model loaded once per worker) and reuse ``finalize_names``.
+name's word-bounded pattern. Any other detector that gives the same DataFrame can take its place in front of ``finalize_names``;
+``with_name_spans`` hands the spans to masking (``extra_spans_col``), where they rank behind known values.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerguard.functions import patterns as P
 from ledgerguard.functions import spans as S
+from ledgerguard.sources.policy import DEFAULT, Policy
 
 # Gazetteer labels and scores of the default plug-in
 GAZETTEER_COLUMNS = (("FirstName", "PERSON", 0.85), ("LastName", "PERSON", 0.85), ("AddressLine1", "LOCATION", 0.7),
@@ -35,14 +36,17 @@ def gazetteer_from_customers(customers: DataFrame) -> DataFrame:
 def finalize_names(spans: DataFrame, min_score: float = P.NER_MIN_SCORE) -> DataFrame:
     mapping = F.create_map(*[x for k, v in P.NER_TYPE_MAP.items() for x in (F.lit(k), F.lit(v))])
     return (spans.where(F.col("score") >= min_score)
-            .withColumn("entity", F.coalesce(mapping[F.col("label")], F.col("label"))).drop("label"))
+            .withColumn("entity", F.coalesce(F.try_element_at(mapping, F.col("label")), F.col("label"))).drop("label"))
 
 
 def detect_names(texts: DataFrame, text_col: str, keys: list[str], gazetteer: DataFrame,
                  min_score: float = P.NER_MIN_SCORE) -> DataFrame:
     tw = texts.select(*keys, F.explode(F.array_distinct(S.words(F.col(text_col)))).alias("word"))
     gw = gazetteer.select("name", "label", "score", F.explode(F.array_distinct(S.words(F.col("name")))).alias("word"))
-    first = gw.groupBy("name", "label", "score").agg(F.min("word").alias("word"))
+    often = gw.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    # a name is looked up by the word that fewest names have, so that common words are no join keys
+    first = (gw.join(often, "word").groupBy("name", "label", "score")
+             .agg(F.min(F.struct("_n", "word")).alias("k")).select("name", "label", "score", F.col("k.word").alias("word")))
     cand = tw.join(first, "word").groupBy(*keys).agg(
         F.collect_set(F.struct("name", "label", "score", S.known_value_pattern(F.col("name")).alias("pattern"))).alias("_c"))
     j = texts.select(*keys, text_col).join(cand, keys)
@@ -51,3 +55,14 @@ def detect_names(texts: DataFrame, text_col: str, keys: list[str], gazetteer: Da
     out = spans.select(*keys, F.col("o.start").alias("start"), F.col("o.end").alias("end"),
                        S.span_text(F.col(text_col), F.col("o")).alias("value"), "label", "score")
     return finalize_names(out, min_score)
+
+
+def with_name_spans(texts: DataFrame, text_col: str, keys: list[str], gazetteer: DataFrame, policy: Policy = DEFAULT,
+                    out_col: str = "name_spans") -> DataFrame:
+    """``texts`` with the policy's name entities found in them as an array of spans (unique, non-null keys)."""
+    found = detect_names(texts, text_col, keys, gazetteer, policy.detectors.name_score)
+    found = found.where(F.col("entity").isin(*policy.detectors.name_entities))
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "entity",
+                    F.lit("ner").alias("source"), F.lit(P.entity_rank("PERSON", "ner")).cast("int").alias("rank"))
+    per_text = found.groupBy(*keys).agg(F.collect_set(span).alias(out_col))
+    return texts.join(per_text, keys, "left")
