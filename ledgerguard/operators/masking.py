@@ -126,6 +126,14 @@ def mask_text(df: DataFrame, text_col: str, keys: list[str], order: list[str] |
                       vault=vault, out_col=out_col or "masked", extra_spans_col=extra_spans_col, policy=policy)
 
 
+def mask_errors(df: DataFrame, text_col: str, keys: list[str], limit: int, session_col: str = "session_id",
+                policy: Policy = DEFAULT) -> Masked:
+    """M5: error lines masked with the fast detector set: ``masked`` in full, and ``error_text``, its first ``limit``
+    characters (masked first, then cut, so a cut value cannot survive)."""
+    m = mask_text(df, text_col, keys, session_col=session_col, policy=policy.fast())
+    return Masked(m.cells.withColumn("error_text", F.substring("masked", 1, limit)), m.vault)
+
+
 def mask_rows(df: DataFrame, column_types: dict[str, str], keys: list[str], order: list[str] | None = None,
               session_col: str = "session_id", known_values: DataFrame | None = None,
               vault: DataFrame | None = None, policy: Policy = DEFAULT) -> Masked:

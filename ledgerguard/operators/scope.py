@@ -69,7 +69,9 @@ def contract_scope(tables: dict, contract_ids: DataFrame | None = None) -> dict[
         for (a, acol), (b, bcol) in FK_EDGES:
             for (src, scol), (dst, dcol) in (((a, acol), (b, bcol)), ((b, bcol), (a, acol))):
                 if src in frontier and dst not in scoped:
-                    keys = scoped[src].select("contract_id", F.col(scol).alias("_k")).distinct()
+                    keys = scoped[src].select("contract_id", F.col(scol).alias("_k"))
+                    if not (scol == "Id" and src in CONTRACT_KEYS):  # a primary key of a table with its own contract key is distinct
+                        keys = keys.distinct()
                     part = tables[dst].join(keys, F.col(dcol) == F.col("_k")).drop("_k")
                     reached.setdefault(dst, []).append(part)
         for dst, parts in reached.items():

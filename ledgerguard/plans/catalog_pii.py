@@ -440,12 +440,13 @@ REGISTRY["mask_text_documents"] = (q_mask_text_documents, with_ctes(
     f"SELECT id AS doc_id, masked FROM ({sql_masked(DOCS_SRC)}) m", _DOC_CTES))
 
 
+ERROR_CHARS = 300  # fixed value: characters of an error line that are shown
+
+
 @query("mask_error_text", None)
 def q_mask_error_text(spark, d):
-    """M5: free-text error/log lines masked with the fast detector set, then cut to 300 characters
-    (mask first, then cut, so a cut value cannot survive)."""
-    m = _docs_masked(spark, d).cells
-    return m.select("doc_id", F.substring("masked", 1, 300).alias("error_text"))
+    """M5: error lines (documents) masked, then cut to what is shown."""
+    return M.mask_errors(_docs(spark, d), "text", ["doc_id"], limit=ERROR_CHARS, session_col="source").cells.select("doc_id", "error_text")
 
 
 REGISTRY["mask_error_text"] = (q_mask_error_text, with_ctes(
