@@ -9,7 +9,7 @@ text costs a split and a lookup for each word. The cuts are chosen from the toke
 * SentencePiece with no piece that has the space mark after another character: every run of spaces
   starts a new part, and a line feed (in no piece) is a part of its own.
 
-Any other tokenizer gets whole texts. The cache is bounded; a full one is emptied.
+Any other tokenizer gets whole texts. The cache is bounded.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000  # words of one generation of the cache
 PART_CHARS = 400_000  # texts are worked on in runs of about so many characters
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TWO_SPACES = re.compile(r"\s\s")
 _SPACE = re.compile(r"\s")
 _PARTS = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
+# a line feed or nothing, letters whose class no Unicode version changes, punctuation that starts no contraction
+_SIMPLE = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _MARK = "\x01"
 _loaded: dict[str, object] = {}
 
@@ -60,9 +62,13 @@ def runs(texts: Iterable[str]) -> Iterator[list[str]]:
         yield part
 
 
-class _Cached:
+class WordCache:
+    """Words met lately. Words of the generation before that come up again move to the current one; the
+    others go when it is full, so frequent words stay however many rare ones pass."""
+
     def __init__(self) -> None:
         self.known: dict = {}
+        self.before: dict = {}
 
     def _learn(self, words: set[str]) -> None:
         raise NotImplementedError
@@ -70,14 +76,18 @@ class _Cached:
     def _know(self, texts: list[list[str]]) -> dict:
         """The cache, holding all words of ``texts``."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         need = set().union(*texts).difference(self.known) if texts else set()
+        again = [w for w in need if w in self.before]
+        for w in again:
+            self.known[w] = self.before[w]
+        need.difference_update(again)
         if need:
             self._learn(need)
         return self.known
 
 
-class WordEncoder(_Cached):
+class WordEncoder(WordCache):
     """Ids of whole texts, as arrays, equal to ``encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str) -> None:
@@ -88,43 +98,70 @@ class WordEncoder(_Cached):
         with open(path, encoding="utf-8") as f:
             self.kind = _kind(json.load(f))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.parts: dict[str, bytes] = {}
+        self.parts_before: dict[str, bytes] = {}
         self.break_id = None
         if self.kind:
             ids = self._whole("\n" if self.kind == "byte" else _MARK)
             self.break_id = ids[0] if len(ids) == 1 else None
 
     def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _bytes(self, text: str) -> bytes:
         return np.array(self._whole(text), self.dtype).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        plain, texts = [], []
+        """Words of Latin letters with punctuation behind them are put together from ids of both, which the
+        tokenizer never joins; there are far fewer of these than of words. Others are encoded as they are."""
+        if len(self.parts) > CACHE_WORDS:
+            self.parts, self.parts_before = {}, self.parts
+        spaced = "" if self.kind == "word" else " "
+        whole, made = [], []
         for w in words:
-            if self.kind == "byte":
-                text = w[1:] if w[:1] == "\n" else " " + w
-                odd = _SPACE.search(w.lstrip("\n")) is not None or not w.strip("\n")
+            m = _SIMPLE.fullmatch(w)
+            if m is None:
+                whole.append(w)
             else:
-                text, odd = w, _MARK in w or not w
-            if odd or self.break_id is None:
-                self.known[w] = self._bytes(w if w[:1] == "\n" or self.kind == "word" else " " + w)
+                line, core, tail = m.groups()
+                core = core.lower() if self.kind == "word" else core if line else " " + core
+                made.append((w, line, core, tail))
+        need = {p for _, _, core, tail in made for p in (core, tail)}.difference(self.parts)
+        need.discard("")
+        again = [p for p in need if p in self.parts_before]
+        for p in again:
+            self.parts[p] = self.parts_before[p]
+        need.difference_update(again)
+        self._encode_each(list(need), self.parts, list(need))
+        parts = self.parts
+        lead = np.array([self.break_id or 0], self.dtype).tobytes() if self.kind == "byte" else b""
+        for w, line, core, tail in made:
+            ids = parts[core] + parts[tail] if tail else parts[core]
+            self.known[w] = lead + ids if line else ids
+        self._encode_each(whole, self.known, [w if w[:1] == "\n" else spaced + w for w in whole])
+
+    def _encode_each(self, keys: list[str], into: dict, texts: list[str]) -> None:
+        """into[key] = ids of its text, many texts to one call of the library with a break between them."""
+        some: list[int] = []
+        for i, text in enumerate(texts):
+            bare = text[1:] if self.kind == "byte" and text[:1] == " " else text
+            if self.break_id is None or not bare or _MARK in bare or _SPACE.search(bare):
+                into[keys[i]] = self._bytes(text)
             else:
-                plain.append(w)
-                texts.append(text)
+                some.append(i)
         glue = "\n" if self.kind == "byte" else f" {_MARK} "
-        for at in range(0, len(plain), 5000):
-            some = plain[at:at + 5000]
-            ids = np.array(self._whole(glue.join(texts[at:at + 5000])), self.dtype)
+        for at in range(0, len(some), 5000):
+            part = some[at:at + 5000]
+            ids = np.array(self._whole(glue.join([texts[i] for i in part])), self.dtype)
             cuts = np.flatnonzero(ids == self.break_id)
-            if len(cuts) != len(some) - 1:  # a word that holds the break itself
-                for w in some:
-                    self.known[w] = self._bytes(w if w[:1] == "\n" or self.kind == "word" else " " + w)
+            if len(cuts) != len(part) - 1:  # a text that holds the break itself
+                for i in part:
+                    into[keys[i]] = self._bytes(texts[i])
                 continue
-            lead = np.array([self.break_id], self.dtype).tobytes()
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            for w, a, b in zip(some, starts, ends):
-                self.known[w] = (lead if w[:1] == "\n" and self.kind == "byte" else b"") + ids[a:b].tobytes()
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
+            for i, a, b in zip(part, starts, ends):
+                into[keys[i]] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.kind:
@@ -171,7 +208,7 @@ def splits_by_space(pieces: Iterable[str]) -> bool:
     return not any("▁" in p.lstrip("▁") or "\n" in p or " " in p for p in pieces)
 
 
-class PieceCounter(_Cached):
+class PieceCounter(WordCache):
     """Number of pieces of whole texts, equal to ``len(encode(text))``."""
 
     def __init__(self, path: str) -> None:

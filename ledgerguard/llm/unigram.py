@@ -88,7 +88,7 @@ class DoubleArray:
         self.base, self.check, self.value = laid_out(base, 0), laid_out(check, -1), laid_out(value, -1)
 
 
-class Unigram:
+class Unigram(tokens.WordCache):
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int]) -> None:
         """kinds as in the model file: 1 normal, 4 user-defined, 6 byte; others never match text."""
         self.pieces = pieces
@@ -101,7 +101,7 @@ class Unigram:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 6}
         self.raw = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace("▁", " ").encode() if k in (1, 4) else b"" for p, k in zip(pieces, kinds)]
         self.by_part = tokens.splits_by_space(pieces[i] for i in normal)
-        self.known: dict[str, bytes] = {}
+        super().__init__()
 
     @classmethod
     def load(cls, path: str) -> Unigram:
@@ -195,14 +195,15 @@ class Unigram:
             whole = [(" " + t).replace(" ", "▁").encode() if t else b"" for t in texts]
             return [np.array(x, dtype) for x in self.segment(whole)]
         parts = [tokens.parts_of(t) if t else [] for t in texts]
-        if len(self.known) > tokens.CACHE_WORDS:
-            self.known.clear()
-        need = list(set().union(*parts).difference(self.known))
+        known = self._know(parts)
+        return [np.frombuffer(b"".join([known[p] for p in ps]), dtype) for ps in parts]
+
+    def _learn(self, words: set[str]) -> None:
+        dtype = np.dtype("<u2" if len(self.pieces) <= 65536 else "<u4")
+        need = list(words)
         marked = [(p if p[:1] == "\n" else " " + p).replace(" ", "▁").encode() for p in need]
         for p, ids in zip(need, self.segment(marked)):
             self.known[p] = np.array(ids, dtype).tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in ps]), dtype) for ps in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
