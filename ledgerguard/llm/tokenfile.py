@@ -154,11 +154,11 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col:
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments with ``start``: tokens of all segments before them. The running sum is over one row for
-    each part."""
+    each part, and so is the table that is broadcast."""
     segments = spark.read.schema(SEGMENT).parquet(path)
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("t"))
     before = parts.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
-    return segments.join(before, "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
+    return segments.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
 
 
 def segment_documents(row: dict) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
