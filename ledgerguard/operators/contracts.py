@@ -203,11 +203,12 @@ def blocked_line_count(c: DataFrame, r: DataFrame, rd: DataFrame) -> DataFrame:
     return _per_contract(c, agg, {"BlockedLines": 0})
 
 
-def overdue_receivables(r: DataFrame, rd: DataFrame, as_of=None) -> DataFrame:
-    """Per (contract, receivable due date) open balance."""
+def overdue_receivables(r: DataFrame, rd: DataFrame, as_of=None, ordered: bool = True) -> DataFrame:
+    """Per (contract, receivable due date) open balance, sorted for presentation unless it feeds another step."""
     j = receivable_details(r.where(is_due(as_of)), open_balance(rd))
-    return (j.groupBy("ContractId", F.col("ReceivableDueDate").alias("DueDate"))
-            .agg(_money(F.sum("Balance")).alias("Balance")))
+    out = (j.groupBy("ContractId", F.col("ReceivableDueDate").alias("DueDate"))
+           .agg(_money(F.sum("Balance")).alias("Balance")))
+    return out.orderBy("ContractId", "DueDate") if ordered else out
 
 
 def invoice_max_final_due(c: DataFrame, r: DataFrame, lf: DataFrame, lfu: DataFrame, pi: DataFrame) -> DataFrame:
