@@ -127,9 +127,9 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` (same columns) that pass the base rules and whose host passes. The rows are
-    written once with their verdict, since both the host step and the filter need it."""
-    flagged = materialize(docs.withColumn("__failed", base_failed(base_stats(F.col(text_col)))), "flagged")
+    """The rows of ``docs`` (same columns) that pass the base rules and whose host passes. The rules are
+    worked out twice, for the host step and for the filter, so that no text is written in between."""
+    flagged = docs.withColumn("__failed", base_failed(base_stats(F.col(text_col))))
     rates = host_rates(flagged, host_col, "__failed").select(F.col("host").alias(host_col), F.col("shrunk").alias("__rate"))
     judged = heavy_light_join(flagged, host_col, rates, "__rate")
     good = judged.where(~F.col("__failed") & (F.coalesce("__rate", F.lit(0.0)) <= MAX_HOST_RATE))
