@@ -1,7 +1,8 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
 1. Seeds: of the hashes of all runs of ``K`` words, the least of every ``WINDOW`` neighbours (minimisers).
-   Any run of K + WINDOW - 1 words that two documents share gives them a common seed.
+   Any run of K + WINDOW - 1 words that two documents share gives them a common seed (where words repeat with
+   a short period, one in twice that).
 2. Each seed has one owner, the least doc_id that holds it (its first place there). Every other occurrence
    is matched with the owner's only, so a passage of n documents gives n - 1 rows for each seed, not n^2.
 3. Matches of a document with one owner are chained: places must ascend in both, a match is worth K, and the
@@ -47,7 +48,12 @@ def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
     if len(hashes) <= window:
         return np.array([int(hashes.argmin())]) if len(hashes) else np.zeros(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    # Where words repeat with a short period the same hash is least again and again. Of such a run one place in
+    # each stretch of ``window`` words stays, so that a repeated word pair does not make a seed for every word.
+    run = np.concatenate([[True], (hashes[at[1:]] != hashes[at[:-1]]) | (at[1:] - at[:-1] >= window)])
+    stretch = (at - at[run][np.cumsum(run) - 1]) // window
+    return at[run | np.concatenate([[False], stretch[1:] != stretch[:-1]])]
 
 
 def _seeder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +244,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     led = F.when(F.col("lead"), F.col("doc"))
     owners = (seeds.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("pos", led).alias("opos"))
               .where("owner <> last").drop("last"))
+    owners = materialize(owners, "owners")  # so that both sides of the join are dealt anew and a hot seed's partition can be split
     matches = seeds.select("h", "doc", "pos").join(owners, "h").where("doc <> owner").select("doc", "owner", "pos", "opos")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = matches.repartition(parts, "doc").sortWithinPartitions("doc", "owner", "pos", "opos")
