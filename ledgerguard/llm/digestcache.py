@@ -60,7 +60,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int, id_col
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
     keyed = rows.withColumn("key", F.unhex(F.sha2(F.col("text"), 256)))
     keys = materialize(keyed.select("doc_id", "n_bytes", "key"), "keys")
-    misses = keyed.join(stored_counts(spark, cache, version), "key", "left_anti").groupBy("key").agg(F.first("text").alias("text"))
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))  # copies are put together before they are dealt by key
+    misses = texts.join(stored_counts(spark, cache, version), "key", "left_anti")
     new = map_arrow(misses.select("key", "text"), _counter(tokenizer), "key binary, n_tokens long")
     new.select(F.lit(version).alias("version"), "key", "n_tokens").write.mode("append").parquet(cache)
     counted = heavy_light_join(keys, "key", stored_counts(spark, cache, version), "n_tokens")
