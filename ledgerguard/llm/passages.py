@@ -10,7 +10,8 @@
    chain so far, so a chain over n matches takes n log n steps. Chains start anew where going on would not pay.
 4. Chains are aligned on the words themselves: between matches by longest common subsequence, at both ends
    by extension until mismatches outweigh. A passage counts if it has ``MIN_WORDS`` words in both documents
-   and ``MIN_IDENTITY`` of the longer side is matched.
+   and ``MIN_IDENTITY`` of the longer side is matched. Of a chain that falls below that as a whole (it may join
+   two passages across unlike words) the longest stretches that reach it are passages of their own.
 
 The first document that holds a passage keeps it; later ones are reported with (and, in the pipeline, cut at)
 their spans. Words are compared in lower case.
@@ -201,23 +202,61 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return bin(row).count("1")
 
 
-def align(anchors: np.ndarray, doc: np.ndarray, owner: np.ndarray, a: int, oa: int) -> tuple[int, int, int, int, int]:
-    """(start, end, owner start, owner end, matched words) of a chain's passage; ``doc`` and ``owner`` hold the
-    words from place ``a`` and ``oa`` on."""
-    x, y = anchors[0] - a, anchors[1] - oa
-    matched, at, oat = K, int(x[0]) + K, int(y[0]) + K
-    for i, j in zip(x[1:].tolist(), y[1:].tolist()):
+def _windows(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> list[tuple[int, int]]:
+    """Disjoint runs [i, j] of anchors with MIN_IDENTITY, those of most anchors first (the first of equal ones).
+    ``total`` is the running sum of words matched since the anchor before."""
+    free = np.zeros(len(x) + 1, np.int64)  # running count of anchors in earlier runs
+    out = []
+    for n in range(len(x), MIN_SEEDS - 1, -1):
+        matched = total[n - 1:] - total[:len(x) - n + 1] + K
+        dx, dy = x[n - 1:] - x[:len(x) - n + 1] + K, y[n - 1:] - y[:len(x) - n + 1] + K
+        fits = (matched >= MIN_IDENTITY * np.maximum(dx, dy)) & (np.minimum(dx, dy) >= MIN_WORDS - 2 * (K + WINDOW)) & (free[n:] == free[:len(x) - n + 1])
+        last = -1
+        for i in np.flatnonzero(fits).tolist():
+            if i > last:
+                last = i + n - 1
+                out.append((i, last))
+                free[i + 1:] += np.minimum(np.arange(1, len(x) - i + 1), n)
+    return out
+
+
+def align(anchors: np.ndarray, doc: np.ndarray, owner: np.ndarray, a: int, oa: int) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, owner start, owner end, matched words) of a chain's passages; ``doc`` and ``owner`` hold the
+    words from place ``a`` and ``oa`` on. A chain that spans too many unlike words as a whole is split."""
+    x, y, matched = [int(anchors[0][0]) - a], [int(anchors[1][0]) - oa], [0]
+    for i, j in zip((anchors[0][1:] - a).tolist(), (anchors[1][1:] - oa).tolist()):
+        at, oat = x[-1] + K, y[-1] + K
         step = max(0, at - i, oat - j)  # words of the k-mer that are counted already
         if step >= K:
             continue
-        matched += common_words(doc[at:i + step], owner[oat:j + step]) + K - step
-        at, oat = i + K, j + K
-    room = min(len(doc) - at, len(owner) - oat)
-    right, more = _extension(doc[at:at + room] == owner[oat:oat + room])
-    s, o = int(x[0]), int(y[0])
-    room = min(s, o)
-    left, before = _extension((doc[s - room:s] == owner[o - room:o])[::-1])
-    return s - left + a, at + right + a, o - left + oa, oat + right + oa, matched + more + before
+        matched.append(common_words(doc[at:i + step], owner[oat:j + step]) + K - step)
+        x.append(i)
+        y.append(j)
+    total = np.cumsum(matched)
+
+    def passage(i: int, j: int, grow: bool) -> tuple[int, int, int, int, int]:
+        s, o, at, oat = x[i], y[i], x[j] + K, y[j] + K
+        words = int(total[j] - total[i]) + K
+        if grow:
+            room = min(len(doc) - at, len(owner) - oat)
+            right, more = _extension(doc[at:at + room] == owner[oat:oat + room])
+            room = min(s, o)
+            left, before = _extension((doc[s - room:s] == owner[o - room:o])[::-1])
+            s, o, at, oat, words = s - left, o - left, at + right, oat + right, words + more + before
+        return s + a, at + a, o + oa, oat + oa, words
+
+    def alike(found: tuple[int, int, int, int, int]) -> bool:
+        return found[4] >= MIN_IDENTITY * max(found[1] - found[0], found[3] - found[2])
+
+    whole = passage(0, len(x) - 1, True)
+    if alike(whole):
+        out = [whole]
+    elif min(whole[1] - whole[0], whole[3] - whole[2]) < MIN_WORDS:
+        out = []
+    else:
+        grown = [(i, j, passage(i, j, True)) for i, j in _windows(np.array(x), np.array(y), total)]
+        out = [found if alike(found) else passage(i, j, False) for i, j, found in grown]
+    return [found for found in out if min(found[1] - found[0], found[3] - found[2]) >= MIN_WORDS]
 
 
 PASSAGES = "doc_id long, start_word int, end_word int, source_doc_id long, source_start int, source_end int, n_matched int"
@@ -228,9 +267,7 @@ def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, owner, anchors, a, oa, words, owords in zip(*(batch.column(c).to_pylist() for c in ("doc", "owner", "anchors", "a", "oa", "words", "owords"))):
             found = align(np.frombuffer(anchors, "<i4").reshape(2, -1).astype(np.int64), np.frombuffer(words, "<u4"), np.frombuffer(owords, "<u4"), a, oa)
-            s, e, os_, oe, matched = found
-            if min(e - s, oe - os_) >= MIN_WORDS and matched >= MIN_IDENTITY * max(e - s, oe - os_):
-                rows.append((doc, s, e, owner, os_, oe, matched))
+            rows.extend((doc, s, e, owner, os_, oe, matched) for s, e, os_, oe, matched in found)
         cols = list(zip(*rows)) or [()] * 7
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],

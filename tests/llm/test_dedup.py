@@ -173,6 +173,30 @@ def test_passages(docs, no_docs, rows):
     assert passages.repeated_passages(no_docs).count() == 0
 
 
+def covered_words(spark, texts):
+    """The words of each document that repeated_passages finds in earlier ones."""
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    out = {i: set() for i in texts}
+    for p in passages.repeated_passages(frame).collect():
+        assert p.n_matched >= 0.8 * max(p.end_word - p.start_word, p.source_end - p.source_start)
+        out[p.doc_id].update(range(p.start_word, p.end_word))
+    return out
+
+
+def test_two_passages_of_one_pair(spark):
+    """Both are found, whatever unlike words stand between them in the two documents."""
+    r = random.Random(11)
+    texts, inside = {}, {}
+    gaps = [(n, gap) for n in (60, 100, 200) for gap in (30, 40, 60, 80, 100, 150, 300)]
+    for i, (n, gap) in enumerate(gaps):
+        first, second = prose(r, n, 10**6), prose(r, n, 10**6)
+        for doc in (2 * i, 2 * i + 1):
+            texts[doc] = prose(r, 40, 10**6) + first + prose(r, gap, 10**6) + second + prose(r, 40, 10**6)
+        inside[2 * i + 1] = {*range(40, 40 + n), *range(40 + n + gap, 40 + 2 * n + gap)}
+    found = covered_words(spark, texts)
+    assert {i: len(w - found[i]) for i, w in inside.items()} == {i: 0 for i in inside}
+
+
 def test_cutting(docs, rows):
     assert passages.cut(b"a b  c\nd e", np.array([0, 2, 5, 7, 9]), np.array([1, 3, 6, 8, 10]), [(1, 3), (2, 4), (9, 12)]) == b"a  e"
     kept = passages.drop_repeats(docs)
