@@ -5,6 +5,9 @@
    a short period, one in twice that).
 2. Each seed has one owner, the least doc_id that holds it (its first place there). Every other occurrence
    is matched with the owner's only, so a passage of n documents gives n - 1 rows for each seed, not n^2.
+   So has each run of ``RUN`` successive seeds at the same distances, and its match counts for all its seeds.
+   Where earlier documents hold the parts of a passage one by one, the runs across the parts' ends still belong
+   to the first document that holds them together.
 3. Matches of a document with one owner are chained: places must ascend in both, a match is worth K, and the
    words skipped on either side cost ``GAP`` each. A Fenwick tree over the owner's places holds the best
    chain so far, so a chain over n matches takes n log n steps. Chains start anew where going on would not pay.
@@ -37,6 +40,8 @@ K = 5
 WINDOW = 10
 GAP = 0.2
 MIN_SEEDS = 3
+RUN = 4  # successive seeds that are matched as one besides
+STEP_BITS = 10  # of the distance between two seeds, in a run's key
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
 MARGIN = 48  # words read on both sides of a chain, for its extension
@@ -57,13 +62,27 @@ def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
     return at[run | np.concatenate([[False], stretch[1:] != stretch[:-1]])]
 
 
+def seed_runs(own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, packed distances) of each run of RUN successive seeds (hashes ``own``, places ``at``)."""
+    n = len(at) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    apart = np.diff(at)
+    steps = np.zeros(n, np.int64)
+    for i in range(RUN - 1):
+        steps = steps << STEP_BITS | apart[i:n + i]
+    near = (np.lib.stride_tricks.sliding_window_view(apart, RUN - 1) < 1 << STEP_BITS).all(axis=1)
+    h = wordhash.mix(wordhash.shingles(own, RUN) + steps.astype(np.uint64) * wordhash._MULT[RUN])
+    return h[near], at[:n][near], steps[near]
+
+
 def _seeder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
         for row, rows, data, bounds in wordhash.text_runs(batch.column(1)):
             words, _, _, first = wordhash.words(data, bounds, lower=True)
             runs = wordhash.shingles(words, K)
-            h, doc, pos, lead = [], [], [], []
+            h, doc, pos, steps, lead = [], [], [], [], []
             for i in range(rows):
                 a, b = first[i], first[i + 1]
                 if b - a < MIN_WORDS:
@@ -71,16 +90,19 @@ def _seeder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = runs[a:b - K + 1]
                 at = minimisers(own, WINDOW)
                 own = own[at]
+                run, run_at, run_steps = seed_runs(own, at)
+                own, at = np.concatenate([own, run]), np.concatenate([at, run_at])
                 is_first = np.zeros(len(at), bool)
                 is_first[np.unique(own, return_index=True)[1]] = True
                 h.append(own)
                 pos.append(at)
+                steps.append(np.concatenate([np.zeros(len(at) - len(run), np.int64), run_steps]))
                 lead.append(is_first)
                 doc.append(np.full(len(at), doc_ids[row + i], np.int64))
             if h:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos).astype(np.int32)),
-                     pa.array(np.concatenate(lead))], ["h", "doc", "pos", "lead"])
+                     pa.array(np.concatenate(steps).astype(np.int32)), pa.array(np.concatenate(lead))], ["h", "doc", "pos", "steps", "lead"])
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -123,12 +145,29 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 _CHAIN = "doc long, owner long, anchors binary, a int, b int, oa int, ob int"
 
 
+def every_seed(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """(doc, owner, pos, opos) of all seeds of the matches, sorted by document and owner."""
+    doc, owner, pos, opos, steps = cols
+    is_run = np.flatnonzero(steps)
+    if not len(is_run):
+        return [doc, owner, pos, opos]
+    at, parts, far = np.arange(len(doc)), [], np.zeros(len(is_run), np.int32)
+    for i in range(RUN - 2, -1, -1):
+        far = far + (steps[is_run] >> i * STEP_BITS & (1 << STEP_BITS) - 1)
+        parts.append(far)
+    at = np.concatenate([at, *[is_run] * len(parts)])
+    far = np.concatenate([np.zeros(len(doc), np.int32), *parts])
+    order = np.lexsort((owner[at], doc[at]))
+    at, far = at[order], far[order]
+    return [doc[at], owner[at], pos[at] + far, opos[at] + far]
+
+
 def _chainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches sorted by (doc, owner) -> chains long enough to be extended to a passage."""
     held: list[np.ndarray] | None = None
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        doc, owner, pos, opos = cols
+        doc, owner, pos, opos = every_seed(cols)
         cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]])
         rows = []
@@ -147,7 +186,7 @@ def _chainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols_, kinds)], ["doc", "owner", "anchors", "a", "b", "oa", "ob"])
 
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         if held is not None:
             cols = [np.concatenate(c) for c in zip(held, cols)]
         if not len(cols[0]):
@@ -277,12 +316,12 @@ def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each passage of a document that an earlier one (the source) holds: PASSAGES."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
-    seeds = map_arrow(rows, _seeder, "h long, doc long, pos int, lead boolean")
+    seeds = map_arrow(rows, _seeder, "h long, doc long, pos int, steps int, lead boolean")
     led = F.when(F.col("lead"), F.col("doc"))
     owners = (seeds.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("pos", led).alias("opos"))
               .where("owner <> last").drop("last"))
     owners = materialize(owners, "owners")  # so that both sides of the join are dealt anew and a hot seed's partition can be split
-    matches = seeds.select("h", "doc", "pos").join(owners, "h").where("doc <> owner").select("doc", "owner", "pos", "opos")
+    matches = seeds.select("h", "doc", "pos", "steps").join(owners, "h").where("doc <> owner").select("doc", "owner", "pos", "opos", "steps")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = matches.repartition(parts, "doc").sortWithinPartitions("doc", "owner", "pos", "opos")
     found = materialize(map_arrow(dealt, _chainer, _CHAIN), "chains")

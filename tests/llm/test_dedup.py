@@ -197,6 +197,24 @@ def test_two_passages_of_one_pair(spark):
     assert {i: len(w - found[i]) for i, w in inside.items()} == {i: 0 for i in inside}
 
 
+def test_mosaic_of_lines(spark):
+    """A passage that a document holds whole is found though earlier ones hold each of its lines."""
+    r = random.Random(12)
+    texts, inside = {}, {}
+    for case, sizes in enumerate([(30, 30, 30), (25, 40, 25), (20, 20, 20, 20), (49, 49), (12,) * 8, (30, 30, 30, 30, 30)] * 3):
+        at, lines = 100 * case, [prose(r, n, 10**6) for n in sizes]
+        for i, line in enumerate(lines):
+            texts[at + i] = prose(r, 30, 10**6) + line + prose(r, 30, 10**6)
+        block = [w for line in lines for w in line]
+        for i in (20, 60):  # others that hold one line stand between the two that hold all
+            texts[at + i] = prose(r, 40, 10**6) + block + prose(r, 40, 10**6)
+        for i in range(30, 40):
+            texts[at + i] = prose(r, 40, 10**6) + lines[i % len(lines)] + prose(r, 40, 10**6)
+        inside[at + 60] = set(range(40, 40 + len(block)))
+    found = covered_words(spark, texts)
+    assert {i: len(w - found[i]) for i, w in inside.items()} == {i: 0 for i in inside}
+
+
 def test_cutting(docs, rows):
     assert passages.cut(b"a b  c\nd e", np.array([0, 2, 5, 7, 9]), np.array([1, 3, 6, 8, 10]), [(1, 3), (2, 4), (9, 12)]) == b"a  e"
     kept = passages.drop_repeats(docs)
