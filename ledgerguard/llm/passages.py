@@ -7,7 +7,8 @@
    is matched with the owner's only, so a passage of n documents gives n - 1 rows for each seed, not n^2.
    So has each run of ``RUN`` successive seeds at the same distances, and its match counts for all its seeds.
    Where earlier documents hold the parts of a passage one by one, the runs across the parts' ends still belong
-   to the first document that holds them together.
+   to the first document that holds them together. (A passage of one repeated line has few distinct seeds; its
+   runs give it the MIN_SEEDS places in the owner.)
 3. Matches of a document with one owner are chained: places must ascend in both, a match is worth K, and the
    words skipped on either side cost ``GAP`` each. A Fenwick tree over the owner's places holds the best
    chain so far, so a chain over n matches takes n log n steps. Chains start anew where going on would not pay.

@@ -215,6 +215,21 @@ def test_mosaic_of_lines(spark):
     assert {i: len(w - found[i]) for i, w in inside.items()} == {i: 0 for i in inside}
 
 
+def test_repeated_line(spark):
+    """A passage that repeats one line is found in a second document, also where the line stands alone before it."""
+    r = random.Random(13)
+    texts, inside = {}, {}
+    for case, (n, words, alone) in enumerate([(n, words, alone) for n in (1, 2, 3, 4, 6, 8, 12, 15, 20, 30) for words in (52, 72, 200) for alone in (0, 1)]):
+        line = prose(r, n, 10**6)
+        block = (line * words)[:words]
+        for doc in (2 * case, 2 * case + 1):
+            before = line + prose(r, 70, 10**6) if alone and doc % 2 == 0 else []
+            texts[doc] = before + prose(r, 40, 10**6) + block + prose(r, 40, 10**6)
+        inside[2 * case + 1] = set(range(40, 40 + len(block)))
+    found = covered_words(spark, texts)
+    assert {i: len(w - found[i]) for i, w in inside.items()} == {i: 0 for i in inside}
+
+
 def test_cutting(docs, rows):
     assert passages.cut(b"a b  c\nd e", np.array([0, 2, 5, 7, 9]), np.array([1, 3, 6, 8, 10]), [(1, 3), (2, 4), (9, 12)]) == b"a  e"
     kept = passages.drop_repeats(docs)
