@@ -8,7 +8,8 @@
    So has each run of ``RUN`` successive seeds at the same distances, and its match counts for all its seeds.
    Where earlier documents hold the parts of a passage one by one, the runs across the parts' ends still belong
    to the first document that holds them together. (A passage of one repeated line has few distinct seeds; its
-   runs give it the MIN_SEEDS places in the owner.)
+   runs give it the MIN_SEEDS places in the owner.) A seed that stands again within ``MIN_WORDS`` words is also
+   matched by how often it stood there before, as changed words in such a passage break the runs.
 3. Matches of a document with one owner are chained: places must ascend in both, a match is worth K, and the
    words skipped on either side cost ``GAP`` each. A Fenwick tree over the owner's places holds the best
    chain so far, so a chain over n matches takes n log n steps. Chains start anew where going on would not pay.
@@ -77,6 +78,28 @@ def seed_runs(own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[near], at[:n][near], steps[near]
 
 
+def repeats(own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of seeds that stand again within MIN_WORDS words, told apart by how many times they stood
+    there before. A seed's count starts anew at the first place beyond those words."""
+    order = np.lexsort((at, own))
+    same = np.flatnonzero(own[order][1:] == own[order][:-1]) + 1
+    seeds, places = [], []
+    last = -1
+    for i in same.tolist():
+        if i - 1 != last:
+            start, n = int(at[order[i - 1]]), 0
+        last = i
+        place = int(at[order[i]])
+        if place - start >= MIN_WORDS:
+            start, n = place, 0
+            continue
+        n += 1
+        seeds.append(order[i])
+        places.append(n)
+    which = np.array(seeds, np.int64)
+    return wordhash.mix(own[which] + np.array(places, np.uint64) * wordhash._MULT[RUN + 1]), at[which]
+
+
 def _seeder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -92,7 +115,8 @@ def _seeder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = minimisers(own, WINDOW)
                 own = own[at]
                 run, run_at, run_steps = seed_runs(own, at)
-                own, at = np.concatenate([own, run]), np.concatenate([at, run_at])
+                again, again_at = repeats(own, at)
+                own, at = np.concatenate([own, again, run]), np.concatenate([at, again_at, run_at])
                 is_first = np.zeros(len(at), bool)
                 is_first[np.unique(own, return_index=True)[1]] = True
                 h.append(own)
