@@ -80,4 +80,62 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
 WHERE rank <= 20
 """
 
-ORACLES = {"op2_revisit_resolution": REVISITS, "op7_int8_tile_neighbours": NEAREST, "op5_ngram_jaccard_join": jaccard_sql(4, 85), "op4_host_quality_rules": HOST_QUALITY}
+CONVERSATIONS = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) x(i)),
+e AS (
+  SELECT *, length('### ') + length(replace(replace(role, '\', '\s'), chr(10), '\n')) + 1
+       + length(regexp_replace(text, '(^|[\n\\])(### |</turn>)', '\1\\\2', 'g')) + length('</turn>') + 2 AS n
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+def _manifest() -> str:
+    def row(n_chars: str) -> str:
+        texts = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+        return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in texts) + ")"
+
+    def tree(name: str, of: str, group: str, leaf: str) -> str:
+        return f"""
+{name} AS (
+  SELECT {group} AS g, 0 AS level, pos, {leaf} AS h, count(*) OVER (PARTITION BY {group}) AS n FROM {of}
+  UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY g, level, pos // 2, n)"""
+
+    def fold(name: str, start: str, nodes: str) -> str:
+        return f"""
+{name} AS (
+  {start}
+  UNION ALL
+  SELECT f.id, f.g, f.level + 1, f.pos // 2, CASE WHEN s.h IS NULL THEN sha256(f.h) WHEN f.pos % 2 = 0 THEN sha256(f.h || s.h) ELSE sha256(s.h || f.h) END,
+         f.proof || coalesce(s.h, '')
+  FROM {name} f JOIN {nodes} own ON own.g IS NOT DISTINCT FROM f.g AND own.level = f.level AND own.pos = f.pos AND own.n > 1
+  LEFT JOIN {nodes} s ON s.g IS NOT DISTINCT FROM f.g AND s.level = f.level AND s.pos = xor(f.pos, 1))"""
+
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                        lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)),
+                        4294967295) AS crc
+  FROM documents),
+l AS (SELECT doc_id, lang, {row("n_chars")} AS leaf, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN {row("(n_chars + 1)")} END AS changed FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS id FROM l),
+{tree("lv", "p", "lang", "leaf")},
+sub AS (SELECT g AS lang, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos FROM lv WHERE n = 1),
+{tree("top", "sub", "1", "subroot")},
+{fold("a", "SELECT id, lang AS g, 0 AS level, pos, coalesce(changed, leaf) AS h, '' AS proof FROM p", "lv")},
+done AS (SELECT a.* FROM a JOIN lv ON lv.g IS NOT DISTINCT FROM a.g AND lv.level = a.level AND lv.n = 1),
+{fold("b", "SELECT done.id, 1 AS g, 0 AS level, sub.pos, done.h, done.proof FROM done JOIN sub ON sub.lang IS NOT DISTINCT FROM done.g", "top")},
+r AS (SELECT h AS root, level FROM top WHERE n = 1)
+SELECT p.doc_id, p.leaf, sub.subroot, r.root, sha256(b.proof) AS proof_sha256, b.h AS folded_root, b.h = r.root AS verified
+FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN b ON b.id = p.id JOIN r ON r.level = b.level"""
+
+
+ORACLES = {"op2_revisit_resolution": REVISITS, "op7_int8_tile_neighbours": NEAREST, "op5_ngram_jaccard_join": jaccard_sql(4, 85), "op4_host_quality_rules": HOST_QUALITY,
+           "op11_grammar_round_trip": CONVERSATIONS, "op12_path_copying_manifest": _manifest()}

@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerguard.llm import digestcache, jaccard, knn, packing, passages, pii, quality, revisits, tokenfile, unigram
-from ledgerguard.llm.common import scratch, table
+from ledgerguard.llm import chat, digestcache, jaccard, knn, merkle, packing, passages, pii, quality, revisits, tokenfile, unigram
+from ledgerguard.llm.common import materialize, scratch, table
 from ledgerguard.llm.oracles import ORACLES
 
 
@@ -60,6 +60,18 @@ def op10_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode_documents(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op11_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.read_conversations(materialize(chat.format_conversations(turns.unionByName(planted)), "chat"))
+
+
+def op12_path_copying_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.Manifest(table(spark, sf_dir, "documents")).verify()
+
+
 QUERIES = {f.__name__: f for f in (
     op1_elias_fano_token_file,
     op2_revisit_resolution,
@@ -70,7 +82,9 @@ QUERIES = {f.__name__: f for f in (
     op7_int8_tile_neighbours,
     op8_minimum_bin_slack,
     op9_semi_markov_pii,
-    op10_unigram_viterbi)}
+    op10_unigram_viterbi,
+    op11_grammar_round_trip,
+    op12_path_copying_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 
