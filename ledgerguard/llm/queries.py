@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerguard.llm import chat, digestcache, jaccard, knn, merkle, packing, passages, pii, quality, revisits, tokenfile, unigram
+from ledgerguard.llm import alignment, chat, digestcache, jaccard, knn, merkle, packing, passages, pii, quality, revisits, tokenfile, unigram
 from ledgerguard.llm.common import materialize, scratch, table
 from ledgerguard.llm.oracles import ORACLES
 
@@ -72,6 +72,10 @@ def op12_path_copying_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.Manifest(table(spark, sf_dir, "documents")).verify()
 
 
+def op13_inverted_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_elias_fano_token_file,
     op2_revisit_resolution,
@@ -84,7 +88,8 @@ QUERIES = {f.__name__: f for f in (
     op9_semi_markov_pii,
     op10_unigram_viterbi,
     op11_grammar_round_trip,
-    op12_path_copying_manifest)}
+    op12_path_copying_manifest,
+    op13_inverted_pair_bitmaps)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 
