@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerguard.functions import patterns as P
 from ledgerguard.functions import spans as S
-from ledgerguard.operators.vault import assign_tokens, session_known
+from ledgerguard.operators.vault import VAULT_COLUMNS, assign_tokens, session_known
 from ledgerguard.plans.ranking import null_safe_join
 from ledgerguard.session import written
 from ledgerguard.sources.policy import DEFAULT, Policy
@@ -144,6 +144,9 @@ def mask_rows(df: DataFrame, column_types: dict[str, str], keys: list[str], orde
     order = order or keys
     dtypes = dict(df.dtypes)
     targets = [c for c in df.columns if c != session_col and (c in column_types or dtypes[c] == "string")]
+    if not targets:  # nothing to mask: numbers and dates only
+        none = df.select(F.lit(None).cast("long").alias("session_id"), *[F.lit(None).cast("long" if c == "n" else "string").alias(c) for c in VAULT_COLUMNS[1:]])
+        return Masked(df.withColumn("pii_counts", F.create_map().cast("map<string,int>")), none.where(F.lit(False)) if vault is None else vault)
     marked = df.withColumn("_row", row_id(*[F.col(f"`{c}`") for c in df.columns]))
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"),
                                          F.col(c).cast("string").alias("text"),
