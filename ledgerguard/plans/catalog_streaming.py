@@ -3,9 +3,14 @@ and returns the sink read back, so the result can be compared with a batch formu
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import functions as F
+
 from ledgerguard.plans.catalog import REGISTRY, T, query
 from ledgerguard.plans.catalog_pii import sql_chosen, sql_masked
 from ledgerguard.plans.oracle_views import with_views
+from ledgerguard.session import scratch_path
 from ledgerguard.streaming import pipeline as SP
 
 # the turns of a user carry the note of their contract, so that there is something to mask
@@ -42,15 +47,39 @@ FROM conversations c JOIN {CONV_SRC} s ON s.id = c.conv_id * 100000 + c.turn LEF
   ON f.id = c.conv_id * 100000 + c.turn""", *sql_chosen(CONV_SRC, False)[:4]))
 
 
+CLOSING = (F.col("conv_id") % 5 == 0) & (F.col("turn") == 2) & (F.col("role") != "assistant")  # turns after which a session is closed
+
+
 @query("stream_vault", None)
 def q_stream_vault(spark, d):
-    """ST2: session vault as keyed state with an event-time idle TTL; uses after expiry fail closed."""
-    return spark.read.parquet(SP.stream_vault(spark, d, notes=_notes(spark, d)))
+    """ST2: session vault as keyed state with an event-time idle TTL and a close event; uses after either fail closed."""
+    decided = spark.read.schema(SP.DECISION_SCHEMA).parquet(SP.stream_vault(spark, d, notes=_notes(spark, d), closes=CLOSING))
+    return SP.masked_turns(SP.with_notes(T(spark, d)["conversations"], _notes(spark, d)), decided)
 
 
-# A session ends when two turns are more than an hour apart (turns are 25 * (1 + conv_id % 4) minutes apart).
+# A session ends when two turns are more than an hour apart (turns are 25 * (1 + conv_id % 4) minutes apart), or with a closing turn.
 REGISTRY["stream_vault"] = (REGISTRY["stream_vault"][0], with_views(f"""
 SELECT c.conv_id, c.turn, CASE WHEN ok THEN m.masked END AS masked, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status
-FROM (SELECT conv_id, turn, coalesce(bool_and(gap <= 60) OVER (PARTITION BY conv_id ORDER BY turn), TRUE) AS ok FROM (
-  SELECT conv_id, turn, (turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) * 25 * (1 + conv_id % 4) AS gap FROM conversations) g) c
+FROM (SELECT conv_id, turn, coalesce(bool_and(gap <= 60) OVER (PARTITION BY conv_id ORDER BY turn), TRUE)
+             AND NOT coalesce(bool_or(closing) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS ok FROM (
+  SELECT conv_id, turn, conv_id % 5 = 0 AND turn = 2 AND role <> 'assistant' AS closing,
+         (turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) * 25 * (1 + conv_id % 4) AS gap FROM conversations) g) c
 JOIN ({sql_masked(CONV_SRC)}) m ON m.id = c.conv_id * 100000 + c.turn""", *sql_chosen(CONV_SRC, False)))
+
+
+@query("stream_vault_values", None)
+def q_stream_vault_values(spark, d):
+    """ST2 + T3: the values of all tokens the stream gave, opened by the keys in its state: none for a session that is closed."""
+    out, secret = scratch_path(spark, "stream-vault"), os.urandom(32)
+    decided = spark.read.schema(SP.DECISION_SCHEMA).parquet(SP.stream_vault(spark, d, out, notes=_notes(spark, d), secret=secret, closes=CLOSING))
+    closed = SP.with_notes(T(spark, d)["conversations"], _notes(spark, d)).where(CLOSING).select(F.col("conv_id").alias("session_id")).distinct()
+    return SP.reveal(decided, SP.live_keys(spark, out, secret)).join(closed, "session_id", "left_semi")
+
+
+REGISTRY["stream_vault_values"] = (q_stream_vault_values, with_views("""
+SELECT DISTINCT o.session_id, t.token, t.entity, CAST(NULL AS VARCHAR) AS value
+FROM tk t JOIN occ o ON o.id = t.id AND o."start" = t."start"
+JOIN (SELECT conv_id FROM conversations WHERE conv_id % 5 = 0 AND turn = 2 AND role <> 'assistant') c ON c.conv_id = o.session_id
+WHERE t.id % 100000 <= 2 AND (SELECT coalesce(max(gap), 0) <= 60 FROM (
+  SELECT conv_id, turn, (turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) * 25 * (1 + conv_id % 4) AS gap FROM conversations) g
+  WHERE g.conv_id = o.session_id AND g.turn <= t.id % 100000)""", *sql_chosen(CONV_SRC, False)))

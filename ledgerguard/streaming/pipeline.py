@@ -4,11 +4,14 @@ append-only audit sink (ST3), all reading ``conversations`` as a file stream.
 * ST1 ``stream_mask``: ``foreachBatch`` runs the batch masking job on each micro-batch. The vault is carried as
   one folder per batch in the shared folder; batch n reads the folders of batches before n only, so a replayed
   batch sees what it saw the first time, gives the same tokens, and overwrites its own outputs.
-* ST2 ``stream_vault``: ``transformWithStateInPandas`` keyed by session: token map and per-type counters in
-  ``MapState``, last use in ``ValueState``, an event-time timer at last use + TTL wipes the vault; a use
-  after expiry fails closed (``status = 'error'``). The mark of an expired session goes after ``FORGET_MS``; a
-  later use then starts a session without any old token. Spans are detected JVM-side before the state step;
-  the processor only hands out tokens and splices them in.
+* ST2 ``stream_vault``: ``transformWithStateInPandas`` keyed by session. Spans are detected JVM-side before the state
+  step, which gets numbers and spans only and hands out tokens; texts stay where they are, and ``masked_turns`` joins
+  them with the decisions. A session ends by an idle TTL (event-time timer) or by an event of role ``close``; a use
+  after that fails closed (``error``), a turn that the watermark left out comes as ``late``. The mark of an ended
+  session goes after ``FORGET_MS``; a later use then starts a session without any old token.
+  No value is stored in clear: tokens are looked up by keyed digest, values are written encrypted (AES-GCM) by a key
+  made of the deployment's secret and a nonce in the session's state. The end of a session destroys the nonce, and
+  with it all that was encrypted; versions of the state older than ``KEEP_VERSIONS`` are cleared by Spark's maintenance.
 * ST3 ``stream_audit``: stateless per-turn records (length, digest, findings) to an append JSON sink.
 
 A stream runs until all files present are done (``availableNow``); a caller that bounds the wait gets an error,
@@ -18,10 +21,13 @@ never a part of the result. Event time for the turns is derived from the table:
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+import os
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,41 +144,51 @@ AUDIT_STREAM_SCHEMA = T.StructType([
 # --- ST2 ----------------------------------------------------------------------------------------
 _TTL_MS = P.VAULT_TTL_SECONDS * 1000
 FORGET_MS = 30 * 86_400_000
+CLOSE = "close"  # the role of an event that ends a session
+KEEP_VERSIONS = 2  # versions of the state that are kept, so that a key is gone soon after its session
 
-VAULT_OUT = T.StructType([
-    T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
-    T.StructField("masked", T.StringType()), T.StructField("status", T.StringType())])
+_TOKENS = "array<struct<start:int,end:int,token:string>>"
+_NEW = "array<struct<token:string,entity:string,value:string>>"
+DECISION_SCHEMA = (f"conv_id long, turn long, row long, status string, reason string, tokens {_TOKENS}, "
+                   "vault array<struct<token:string,entity:string,sealed:binary>>")
+VAULT_OUT = f"conv_id long, turn long, row long, status string, reason string, tokens {_TOKENS}, new {_NEW}, key binary"
+_OUT = ["conv_id", "turn", "row", "status", "reason", "tokens", "new", "key"]
+
+OK, ERROR, LATE = "ok", "error", "late"
+EXPIRED, CLOSED = "expired", "closed"
 
 
-def _splice(text: str, spans: list, tokens: list) -> str:
-    out, pos = [], 0
-    for (start, end), tok in zip(spans, tokens):
-        out.append(text[pos:start])
-        out.append(tok)
-        pos = end
-    out.append(text[pos:])
-    return "".join(out)
+def session_key(secret: bytes, nonce: bytes) -> bytes:
+    """The data key of a session. Without the nonce, which lives in the session's state only, nobody has it again."""
+    return hmac.new(secret, nonce, hashlib.sha256).digest()
 
 
 try:
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
     class SessionVault(StatefulProcessor):
-        """Per-session vault with idle TTL (event time). Fails closed after expiry."""
+        """Per-session vault with idle TTL (event time) and a close event; uses after either fail closed.
+
+        State: a random nonce that makes the session's data key, the session's tokens by keyed digest of what they
+        stand for, a counter for each type, and the time of the last use. Values are in no state: a token's value goes
+        out with the row that made it, to be encrypted before it is written. Texts never come in here."""
+
+        def __init__(self, secret: bytes, ttl_ms: int = _TTL_MS) -> None:
+            self.secret, self.ttl_ms = secret, ttl_ms
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.tokens = handle.getMapState("tokens", "k string", "token string, value string")
+            self.nonce = handle.getValueState("nonce", "nonce binary")
+            self.tokens = handle.getMapState("tokens", "digest binary", "token string")
             self.counters = handle.getMapState("counters", "entity string", "n long")
             self.last_use = handle.getValueState("last_use", "ms long")
-            self.expired = handle.getValueState("expired", "flag boolean")
-
-        def _wipe(self, now_ms: int) -> None:
-            """Forget all tokens, remember that the session is over, and forget that too later on."""
-            self.tokens.clear()
-            self.counters.clear()
-            self.last_use.clear()
-            self.expired.update((True,))
+            self.ended = handle.getValueState("ended", "reason string")
+
+        def _end(self, reason: str, now_ms: int) -> None:
+            """Destroy the key and forget all tokens; remember that the session is over, and forget that too later on."""
+            for state in (self.nonce, self.tokens, self.counters, self.last_use):
+                state.clear()
+            self.ended.update((reason,))
             self._timer(now_ms + FORGET_MS)
 
         def _timer(self, at_ms: int) -> None:
@@ -180,50 +196,61 @@ try:
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(at_ms)
 
-        def _token(self, entity: str, norm: str, value: str) -> str:
-            k = f"{entity}\x1f{norm}"
-            if self.tokens.containsKey((k,)):
-                return self.tokens.getValue((k,))[0]
+        def _key(self) -> bytes:
+            if not self.nonce.exists():
+                self.nonce.update((os.urandom(32),))
+            return session_key(self.secret, bytes(self.nonce.get()[0]))
+
+        def _token(self, key: bytes, span, new: list) -> str:
+            digest = hmac.new(key, f"{span['entity']}\x1f{span['norm']}".encode(), hashlib.sha256).digest()
+            if self.tokens.containsKey((digest,)):
+                return self.tokens.getValue((digest,))[0]
+            entity = span["entity"]
             n = (self.counters.getValue((entity,))[0] if self.counters.containsKey((entity,)) else 0) + 1
             self.counters.updateValue((entity,), (n,))
-            tok = f"<{entity}_{n}>"
-            self.tokens.updateValue((k,), (tok, value))
-            return tok
+            token = f"<{entity}_{n}>"
+            self.tokens.updateValue((digest,), (token,))
+            new.append({"token": token, "entity": entity, "value": span["value"]})
+            return token
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat(list(rows)).sort_values("turn")
-            ttl_ms = _TTL_MS
-            out = []
-            last = self.last_use.get()[0] if self.last_use.exists() else None
-            for r in pdf.itertuples(index=False):
-                ts = int(pd.Timestamp(r.ts).value // 1_000_000)
-                if self.expired.exists() and self.expired.get()[0]:
-                    out.append((r.conv_id, r.turn, None, "error"))
+            """A session's events of a batch in the order of their time: numbers and spans only, no texts."""
+            events = sorted(((int(r.ms), r.kind == CLOSE, int(r.turn), int(r.row), r.conv_id, r.spans) for part in rows for r in part.itertuples(index=False)),
+                            key=lambda e: e[:4])
+            out, last = [], self.last_use.get()[0] if self.last_use.exists() else None
+            for ms, closes, turn, row, conv_id, spans in events:
+                reason = self.ended.get()[0] if self.ended.exists() else None
+                if reason is None and last is not None and ms - last > self.ttl_ms:
+                    reason = EXPIRED
+                    self._end(reason, last + self.ttl_ms)
+                if closes:
+                    if reason is None:
+                        self._end(CLOSED, ms)
                     continue
-                if last is not None and ts - last > ttl_ms:
-                    self._wipe(last + ttl_ms)
-                    out.append((r.conv_id, r.turn, None, "error"))
+                if reason is not None:
+                    out.append((conv_id, turn, row, ERROR, reason, None, None, None))
                     continue
-                spans = sorted([(int(s["start"]), int(s["end"]), s["entity"], s["value"], s["norm"])
-                                for s in (r.spans if r.spans is not None else [])])
-                toks = {}
-                for s in sorted(spans, key=lambda x: -x[0]):          # right to left, as tokenized
-                    toks[s[0]] = self._token(s[2], s[4], s[3])
-                text = r.text or ""
-                out.append((r.conv_id, r.turn, _splice(text, [(s[0], s[1]) for s in spans],
-                                                       [toks[s[0]] for s in spans]), "ok"))
-                last = ts
-            if last is not None and not (self.expired.exists() and self.expired.get()[0]):
+                last = ms
                 self.last_use.update((last,))
-                self._timer(last + ttl_ms)
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "masked", "status"])
+                spans = [] if spans is None else list(spans)
+                if not spans:
+                    out.append((conv_id, turn, row, OK, None, [], [], None))
+                    continue
+                data_key, new = self._key(), []
+                right_to_left = sorted(spans, key=lambda s: -s["start"])  # the order in which tokens are given
+                done = [{"start": int(s["start"]), "end": int(s["end"]), "token": self._token(data_key, s, new)} for s in right_to_left]
+                out.append((conv_id, turn, row, OK, None, done[::-1], new, data_key if new else None))
+            if last is not None and not self.ended.exists():
+                self._timer(last + self.ttl_ms)
+            for at in range(0, len(out), 10_000):
+                yield pd.DataFrame(out[at:at + 10_000], columns=_OUT)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.expired.exists():
-                self.expired.clear()
+            if self.ended.exists():
+                self.ended.clear()
             else:
-                self._wipe(expiredTimerInfo.getExpiryTimeInMs())
-            yield pd.DataFrame([], columns=["conv_id", "turn", "masked", "status"])
+                self._end(EXPIRED, expiredTimerInfo.getExpiryTimeInMs())
+            yield pd.DataFrame([], columns=_OUT)
 
         def close(self) -> None:
             pass
@@ -231,38 +258,96 @@ except ImportError:             # older PySpark: ST2 unavailable
     SessionVault = None
 
 
+def turn_row(df: DataFrame) -> DataFrame:
+    """``row``: a digest that tells rows of one turn apart by their text."""
+    return df.withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
+
+
+def session_events(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, row, kind, ts, ms, spans) of turns (conv_id, turn, role, text, ts): what the vault needs to know."""
+    with_vals = F.transform(S.resolve(F.col("text"), F.col("_raw")), lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"),
+        S.display_value(S.span_text(F.col("text"), s)).alias("value"),
+        S.normalize_value(S.span_text(F.col("text"), s)).alias("norm")))
+    found = turn_row(turns).withColumn("_raw", F.when(F.col("role") == CLOSE, F.array().cast(S.SPANS)).otherwise(S.all_regex_spans(F.col("text"))))
+    kind = F.when(F.col("role") == CLOSE, F.lit(CLOSE)).otherwise(F.lit("turn"))
+    return found.select("conv_id", "turn", "row", kind.alias("kind"), "ts", F.unix_millis("ts").alias("ms"), with_vals.alias("spans"))
+
+
+def seal(decided: DataFrame) -> DataFrame:
+    """The new tokens' values encrypted by their session's key (AES-GCM); the key itself goes no further."""
+    sealed = F.transform(F.col("new"), lambda v: F.struct(v["token"].alias("token"), v["entity"].alias("entity"),
+                                                          F.aes_encrypt(v["value"].cast("binary"), F.col("key"), F.lit("GCM")).alias("sealed")))
+    return decided.select("conv_id", "turn", "row", "status", "reason", "tokens", sealed.alias("vault"))
+
+
 def stream_vault(spark: SparkSession, sf_dir: str, out_dir: str | None = None, notes: DataFrame | None = None,
-                 lateness: str = "1 hour", files_per_batch: int | None = None, wait_s: float | None = None) -> str:
-    """``lateness``: how far a turn may lie behind the latest one seen, over all sessions; Spark counts turns
-    beyond it as late and leaves them out (``numRowsDroppedByWatermark`` of the query's progress), so set it to
-    the disorder of the source."""
+                 lateness: str = "1 hour", files_per_batch: int | None = None, wait_s: float | None = None,
+                 secret: bytes | None = None, closes: Column | None = None) -> str:
+    """Run the keyed vault over the turns and give the folder of its decisions; ``masked_turns`` puts them to the
+    texts, ``reveal`` opens the values of sessions that still live.
+
+    ``secret``: the key of this deployment, kept outside of all folders; without one, a new secret is drawn and the
+    values can be opened by nobody. ``closes``: a condition on a turn after which its session is closed, for sources
+    whose turns carry no event of role ``close``. ``lateness``: how far a turn may lie behind the latest one seen, over
+    all sessions; the vault takes no part in later ones, which come out as ``late``."""
     checkpoint_dir(spark)
     # The processor runs in Python workers that may not have this package on their path: pickle this
-    # module's classes and functions by value (the processor only uses pandas and the constants below).
+    # module's classes and functions by value (the processor only uses pandas and the constants above).
     import sys
     from pyspark import cloudpickle
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     out_dir = out_dir or scratch_path(spark, "stream-vault")
-    spans = S.resolve(F.col("text"), F.col("_raw"))
-    with_vals = F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"),
-        S.display_value(S.span_text(F.col("text"), s)).alias("value"),
-        S.normalize_value(S.span_text(F.col("text"), s)).alias("norm")))
-    turns = with_notes(read_stream(spark, sf_dir, files_per_batch=files_per_batch), notes)
-    src = (with_event_time(turns).withWatermark("ts", lateness)
-           .withColumn("_raw", S.all_regex_spans(F.col("text")))
-           .select("conv_id", "turn", "text", "ts", with_vals.alias("spans")))
-    out = src.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=SessionVault(), outputStructType=VAULT_OUT, outputMode="Append", timeMode="EventTime")
-    q = (out.writeStream.format("parquet").outputMode("append").option("path", f"{out_dir}/rows")
+    turns = with_event_time(with_notes(read_stream(spark, sf_dir, files_per_batch=files_per_batch), notes))
+    if closes is not None:
+        at_once = F.struct(F.lit(CLOSE).alias("role"), F.lit(None).cast("string").alias("text"), F.col("ts"))
+        own = F.struct("role", "text", "ts")
+        turns = (turns.withColumn("_events", F.when(closes, F.array(own, at_once)).otherwise(F.array(own)))
+                 .select("conv_id", "turn", F.explode("_events").alias("_e")).select("conv_id", "turn", "_e.*"))
+    decided = session_events(turns.withWatermark("ts", lateness)).groupBy("conv_id").transformWithStateInPandas(
+        statefulProcessor=SessionVault(secret or os.urandom(32)), outputStructType=VAULT_OUT, outputMode="Append", timeMode="EventTime")
+    q = (seal(decided).writeStream.format("parquet").outputMode("append").option("path", f"{out_dir}/rows")
          .option("checkpointLocation", f"{out_dir}/_checkpoint").trigger(availableNow=True))
-    # the state store is a setting of the session; it is put back once the query has started with its own
-    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, provider)
+    # settings of the session; they are put back once the query has started with its own
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           "spark.sql.streaming.minBatchesToRetain": str(KEEP_VERSIONS)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         started = q.start()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     _run(started, wait_s)
     return f"{out_dir}/rows"
+
+
+def masked_turns(turns: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(conv_id, turn, masked, status): the turns with their tokens in place. A turn that the vault has not decided on
+    came too late (``late``); it is never shown, nor is one of an ended session (``error``)."""
+    best = F.max_by(F.struct("status", "tokens"), F.col("status") == OK).alias("_d")
+    known = decisions.groupBy(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("row").alias("_r")).agg(best)
+    rows = turn_row(turns)
+    same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")) & (F.col("row") == F.col("_r"))
+    status = F.coalesce(F.col("_d.status"), F.lit(LATE))
+    masked = F.when(status == OK, S.rebuild(F.col("text"), F.col("_d.tokens")))
+    return rows.join(known, same, "left").select("conv_id", "turn", masked.alias("masked"), status.alias("status"))
+
+
+def live_keys(spark: SparkSession, out_dir: str, secret: bytes) -> DataFrame:
+    """(session_id, key) of the sessions whose key has not been destroyed, from the newest version of the state."""
+    states = (spark.read.format("statestore").option("path", f"{out_dir}/_checkpoint").option("stateVarName", "nonce").load())
+    # HMAC-SHA256(secret, nonce) in functions of Spark: two hashes over the padded secret
+    block = hashlib.sha256(secret).digest() if len(secret) > 64 else secret
+    pads = [bytes(b ^ p for b in block.ljust(64, b"\0")) for p in (0x36, 0x5C)]
+    inner = F.unhex(F.sha2(F.concat(F.lit(pads[0]), F.col("value.nonce")), 256))
+    return states.select(F.col("key.conv_id").alias("session_id"), F.unhex(F.sha2(F.concat(F.lit(pads[1]), inner), 256)).alias("key"))
+
+
+def reveal(decisions: DataFrame, keys: DataFrame) -> DataFrame:
+    """(session_id, token, entity, value) of all tokens given; ``value`` is null where the session's key is gone."""
+    entries = decisions.select(F.col("conv_id").alias("_s"), F.explode("vault").alias("v"))
+    opened = F.try_aes_decrypt(F.col("v.sealed"), F.col("key"), F.lit("GCM")).cast("string")
+    return (entries.join(keys, F.col("_s") == F.col("session_id"), "left")
+            .select(F.col("_s").alias("session_id"), "v.token", "v.entity", F.when(F.col("key").isNotNull(), opened).alias("value")))
