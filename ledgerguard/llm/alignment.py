@@ -34,7 +34,7 @@ from ledgerguard.llm.common import map_arrow, materialize, ship
 from ledgerguard.llm.tokens import PieceCounter
 
 BLOCK_CHARS = 4_000_000
-KEPT_WORDS = 400_000  # words whose alignment a worker keeps
+KEPT_WORDS = 600_000  # words whose alignment a worker keeps
 KEPT_CHARS = 8_000_000  # characters of them
 PLAIN_CROSS = 4096  # links of a group that are listed before they are counted
 
@@ -44,6 +44,9 @@ _ODD = re.compile(rf"\A[ \n]|[ \n][ \n]|[{_OTHER}]")
 # white space and the word behind it; spaces beside other white space are no place to cut
 _WORD = re.compile(rf"[ \n]*[^ \n]+(?:(?:(?<=[{_OTHER}])[ \n]+|[ \n]+(?=[{_OTHER}]))[^ \n]*)*|[ \n]+")
 
+_SPACE = re.compile(r"\s")
+JOINED_WORDS = 500  # words encoded together
+
 _STATS = ("n_a", "n_b", "n_groups", "n_links")
 _SEGMENT = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), *[(c, pa.list_(pa.int64())) for c in _STATS],
                       ("groups", pa.list_(pa.string())), ("codes", pa.binary()), ("planes", pa.binary()), ("sizes", pa.binary()), ("bits", pa.binary())])
@@ -57,57 +60,116 @@ def cross(groups: np.ndarray, start_a: np.ndarray, n_a: np.ndarray, start_b: np.
     """(group, place of A, place of B) of all pairs of the given groups."""
     n = n_a[groups] * n_b[groups]
     owner = np.repeat(groups, n)
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    within = spread(np.zeros(len(n), np.int64), n)
     return owner, start_a[owner] + within // n_b[owner], start_b[owner] + within % n_b[owner]
 
 
+class TokenBytes:
+    """The bytes of a tokenizer's tokens in one array."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.size = np.array([len(x) for x in tokens], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
+        self.names = pa.array([str(i) for i in range(len(tokens))], pa.large_string())
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.pool[spread(self.first[ids], self.size[ids])]
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def joined_lists(texts: pa.Array, n: np.ndarray, glue: str) -> pa.Array:
+    """Consecutive runs of ``texts``, ``n`` long, each joined to one text."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), texts), _text(glue))
+
+
+def _text(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
+
+
 class WordAlignments:
-    """Alignments of words, kept by number: counts, linked pairs with multiplicities, and the groups as text."""
+    """Alignments of words, kept by number: counts, linked pairs with multiplicities, and the groups as text.
+    A word is written with the white space before it."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
         self.a = ByteBpe(path_a, plain=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a = self.a.token_bytes()
         self.n_b = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.size_a, self.size_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
+        self.of_a = TokenBytes(self.a.token_bytes())
+        self.of_b = TokenBytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.lone = self.b.piece_to_id("▁")
-        self.by_word = self.a.fast is not None and PieceCounter(path_b).by_part  # else each text is one word
+        feed = self.a.encode(["\n"])[0]
+        self.feed = int(feed[0]) if len(feed) == 1 else None
+        self.by_word = self.a.fast is not None and self.feed is not None and PieceCounter(path_b).by_part  # else each text is one word
         self._forget()
 
     def _forget(self) -> None:
-        self.plain: dict[str, int] = {}  # words behind one space, or that begin with a line feed
-        self.odd: dict[str, int] = {}  # words with other white space before them
+        self.words = pa.array([], pa.large_string())
         self.chars = 0
         self.stats = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
         self.good = np.zeros(0, bool)
         self.first = np.zeros(1, np.int64)  # where a word's pairs begin
         self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.groups: list[str] = []
-
-    def _pieces(self, words: list[str]) -> list[list[int]]:
-        """B's ids of words as they are inside a text: the mark that B puts before a text is the word's own space."""
+        self.groups = pa.array([], pa.large_string())
+
+    def _ids_a(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids). Words behind one space go to the tokenizer together, with line feeds between them."""
+        easy = [len(w) > 1 and w[0] == " " and w[1] not in " \n" and "\n" not in w and self.by_word for w in words]
+        if any(easy) and _ODD.search(" ".join(w[1:] for w, e in zip(words, easy) if e)):
+            easy = [e and not _SPACE.search(w, 1) for w, e in zip(words, easy)]
+        together = [i for i, e in enumerate(easy) if e]
+        size, found = np.zeros(len(words), np.int64), []
+        for at in range(0, len(together), JOINED_WORDS):
+            part = together[at:at + JOINED_WORDS]
+            ids = self.a.encode(["\n".join([words[i] for i in part])])[0]
+            cuts = np.flatnonzero(ids == self.feed)
+            size[part] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            found.append(np.delete(ids, cuts))
+        rest = [i for i, e in enumerate(easy) if not e]
+        each = self.a.encode([words[i] for i in rest])
+        size[rest] = [len(x) for x in each]
+        order = np.array(together + rest, np.int64)
+        first = np.zeros(len(words), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return size, np.concatenate([np.zeros(0, np.int64), *found, *each])[spread(first, size)].astype(np.int64)
+
+    def _ids_b(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids) of words as they are inside a text: the mark that B puts before a text is the word's own space."""
         ids = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        return [(x or [self.lone]) if w[0] == " " else x[1:] for w, x in zip(words, ids)]
+        ids = [(x or [self.lone]) if w[0] == " " else x[1:] for w, x in zip(words, ids)]
+        return np.array([len(x) for x in ids], np.int64), np.fromiter((i for x in ids for i in x), np.int64)
+
+    def _same(self, words: list[str], of: TokenBytes, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which words their tokens give back byte for byte."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.array([len(x) for x in raw], np.int64)
+        owner = np.repeat(np.arange(len(words)), n)
+        got = np.bincount(owner, of.size[ids], len(words)).astype(np.int64)
+        good = got == size
+        want, first = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size
+        fits = good[owner]
+        differs = of.joined(ids[fits]) != want[spread(first[good], size[good])]
+        good[np.repeat(np.flatnonzero(good), size[good])[differs]] = False
+        return good
 
     def _learn(self, words: list[str]) -> None:
-        ids_a, ids_b = self.a.encode(words), self._pieces(words)
-        good = np.array([w.encode() == b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b])
-                         for w, a, b in zip(words, ids_a, ids_b)])
-        ids_a = [a if g else a[:0] for a, g in zip(ids_a, good)]
-        ids_b = [b if g else [] for b, g in zip(ids_b, good)]
-        flat_a = np.concatenate(ids_a).astype(np.int64)
-        flat_b = np.fromiter((i for b in ids_b for i in b), np.int64)
-        end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        (len_a, flat_a), (len_b, flat_b) = self._ids_a(words), self._ids_b(words)
+        good = self._same(words, self.of_a, len_a, flat_a) & self._same(words, self.of_b, len_b, flat_b)
+        flat_a, flat_b = flat_a[np.repeat(good, len_a)], flat_b[np.repeat(good, len_b)]
+        len_a, len_b = len_a * good, len_b * good
+        end_a, end_b = np.cumsum(self.of_a.size[flat_a]), np.cumsum(self.of_b.size[flat_b])
         ends = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
         n_a, n_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
         start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        len_a, len_b = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
-        word_of_a = np.repeat(np.arange(len(words)), len_a)
-        word = word_of_a[start_a] if len(ends) else np.zeros(0, np.int64)  # of each group
+        word = np.repeat(np.arange(len(words)), len_a)[start_a]  # of each group
         links = n_a * n_b
         owner, at_a, at_b = cross(np.flatnonzero(links <= PLAIN_CROSS), start_a, n_a, start_b, n_b)
         owners, codes, counts = [word[owner]], [flat_a[at_a] * self.n_b + flat_b[at_b]], [np.ones(len(owner), np.int64)]
@@ -119,47 +181,45 @@ class WordAlignments:
             owners.append(np.full(len(xs) * len(ys), word[g]))
         owners, codes, counts = np.concatenate(owners), np.concatenate(codes), np.concatenate(counts)
         order = np.argsort(owners, kind="stable")
-        pairs = np.bincount(owners, minlength=len(words))
-        stats = np.stack([len_a, len_b, np.bincount(word, minlength=len(words)), np.zeros(len(words), np.int64)], axis=1)
-        np.add.at(stats[:, 3], word, links)
-        self.stats, self.good = np.concatenate([self.stats, stats]), np.concatenate([self.good, good])
+        pairs, n_groups = np.bincount(owners, minlength=len(words)), np.bincount(word, minlength=len(words))
+        n_links = np.zeros(len(words), np.int64)
+        np.add.at(n_links, word, links)
+        self.stats = np.concatenate([self.stats, np.stack([len_a, len_b, n_groups, n_links], axis=1)])
+        self.good = np.concatenate([self.good, good])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(pairs)])
         self.codes, self.counts = np.concatenate([self.codes, codes[order]]), np.concatenate([self.counts, counts[order]])
-        names_a, names_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        texts = [f"{','.join(names_a[i:j])}|{','.join(names_b[k:m])}" for i, j, k, m in
-                 zip(start_a.tolist(), (start_a + n_a).tolist(), start_b.tolist(), (start_b + n_b).tolist())]
-        n_groups = stats[:, 2]
-        at = (np.cumsum(n_groups) - n_groups).tolist()
-        self.groups += [";".join(texts[i:i + n]) for i, n in zip(at, n_groups.tolist())]
-
-    def _numbers(self, kept: dict[str, int], words: list[str], texts: list[str]) -> np.ndarray:
-        """Numbers of distinct ``words``, the new ones learnt; ``texts``: with the white space before them."""
-        new = [i for i, w in enumerate(words) if w not in kept]
-        if new:
-            base = len(self.groups)
-            self._learn([texts[i] for i in new])
-            kept.update((words[i], base + n) for n, i in enumerate(new))
-            self.chars += sum(len(texts[i]) for i in new)
-        return np.array([kept[w] for w in words], np.int64)
+        sides = [joined_lists(of.names.take(pa.array(flat)), n, ",") for of, flat, n in ((self.of_a, flat_a, n_a), (self.of_b, flat_b, n_b))]
+        groups = joined_lists(pc.binary_join_element_wise(*sides, _text("|")), n_groups, ";")
+        self.groups = pa.concat_arrays([self.groups, groups])
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words, the new ones learnt."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        if len(new):
+            self._learn(new.to_pylist())
+            self.words = pa.concat_arrays([self.words, new])
+            self.chars += pc.sum(pc.utf8_length(new)).as_py()
+            at = pc.index_in(words, value_set=self.words)
+        return at.to_numpy()
 
     def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the words of all texts, how many each text has)."""
-        if len(self.groups) > KEPT_WORDS or self.chars > KEPT_CHARS:
+        if len(self.words) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self._forget()
         odd = [not self.by_word or t == "" or _ODD.search(t) is not None for t in texts]
         plain = pc.split_pattern(pc.replace_substring(pa.array([t for t, o in zip(texts, odd) if not o], pa.large_string()), "\n", " \n"), " ")
         coded = plain.flatten().dictionary_encode()
-        found = coded.dictionary.to_pylist()
-        of_plain = self._numbers(self.plain, found, [w if w[:1] == "\n" else " " + w for w in found])[coded.indices.to_numpy()] if found else np.zeros(0, np.int64)
+        bare = coded.dictionary
+        spaced = pc.if_else(pc.starts_with(bare, "\n"), bare, pc.binary_join_element_wise(_text(" "), bare, _text("")))
+        of_plain = self._numbers(spaced)[coded.indices.to_numpy()]
         lengths = pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = _WORD.findall if self.by_word else lambda t: [t]
         parts = [cut(" " + t) if t else [] for t, o in zip(texts, odd) if o]
-        distinct = list(dict.fromkeys(w for ws in parts for w in ws))
-        if distinct:
-            self._numbers(self.odd, distinct, distinct)
-        of_odd = [np.array([self.odd[w] for w in ws], np.int64) for ws in parts]
+        coded = pa.array([w for ws in parts for w in ws], pa.large_string()).dictionary_encode()
+        of_odd = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         by_plain = iter(np.split(of_plain, np.cumsum(lengths)[:-1]) if len(lengths) else [])
-        by_odd = iter(of_odd)
+        by_odd = iter(np.split(of_odd, np.cumsum([len(ws) for ws in parts])[:-1]) if parts else [])
         out = [next(by_odd) if o else next(by_plain) for o in odd]
         return np.concatenate([np.zeros(0, np.int64), *out]), np.array([len(x) for x in out], np.int64)
 
@@ -171,17 +231,14 @@ class WordAlignments:
         stats = np.zeros((len(texts), 4), np.int64)
         np.add.at(stats, doc, self.stats[words])
         stats[bad] = 0
-        digests, at = [], np.concatenate([[0], np.cumsum(lengths)]).tolist()
-        numbers, groups = words.tolist(), self.groups
-        for i, wrong in enumerate(bad.tolist()):
-            some = numbers[at[i]:at[i + 1]]
-            digests.append(hashlib.sha256(";".join([groups[n] for n in some]).encode()).hexdigest() if some and not wrong else "")
+        whole = joined_lists(self.groups.take(pa.array(words)), lengths, ";").to_pylist()
+        digests = [hashlib.sha256(t.encode()).hexdigest() if n and not wrong else "" for t, n, wrong in zip(whole, lengths.tolist(), bad.tolist())]
         keep = ~bad[doc]
-        n = max(len(self.groups), 1)
+        n = max(len(self.words), 1)
         seen, times = np.unique(doc[keep] * n + words[keep], return_counts=True)
         of_doc, word = seen // n, seen % n
         pairs = self.first[word + 1] - self.first[word]
-        at_pair = np.repeat(self.first[word], pairs) + np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        at_pair = spread(self.first[word], pairs)
         key = self.codes[at_pair] * BLOCK_DOCS + np.repeat(of_doc, pairs)
         key, where = np.unique(key, return_inverse=True)
         counts = np.zeros(len(key), np.int64)
@@ -277,7 +334,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     ship(docs.sparkSession)
     n_b = _pieces_of(path_b)
     segments = build_segments(docs, path_a, path_b)
-    in_blocks = pair_counts(segments).select("code", "block", "docs").repartition("code")
+    in_blocks = materialize(pair_counts(segments).select("code", "block", "docs"), "counts")
     totals = in_blocks.groupBy("code").agg(F.sum("docs").alias("n_docs")).withColumn("a", F.floor(F.col("code") / n_b))
     highest = totals.groupBy("a").agg(F.max("n_docs").alias("highest"))  # no more rows than A has tokens
     scored = totals.join(F.broadcast(highest), "a").select("code", "n_docs", (F.col("n_docs") == F.col("highest")).alias("best"))

@@ -49,8 +49,9 @@ def _cutter(path: str, end_id: int, capacity: int):
             at = 0
             for texts in tokens.runs(t or "" for t in batch.column(1).to_pylist()):
                 rows: list[tuple] = []
+                end = np.array([end_id], "<u4")
                 for ids in tokenizer.encode(texts):
-                    wide = np.append(ids.astype("<u4"), np.uint32(end_id)).astype("<u4")
+                    wide = np.concatenate([ids, end], dtype="<u4")
                     for i, (start, length) in enumerate(cuts(len(wide), capacity)):
                         rows.append((doc_ids[at], i, start, length, zlib.crc32(wide[start:start + length].tobytes()), part, seen[length]))
                         seen[length] += 1

@@ -1,15 +1,13 @@
-"""Tokenizer work by word: texts are cut where the tokenizer itself never joins, and ids of words are kept.
+"""Ids of whole texts, equal to the libraries', at less cost.
 
-The library encodes words, not whole texts, and each worker keeps the ids of the words it has met, so a
-text costs a split and a lookup for each word. The cuts are chosen from the tokenizer's own description:
-
-* white space dropped (``word``): any space or line feed is a boundary.
-* byte-level with the usual pattern (``byte``): where no two white-space characters meet, a space starts a
-  new piece with the word behind it, and a line feed is a piece of its own. Other texts go to the library whole.
+* byte-level BPE: ``bytebpe``, whole texts.
+* white space dropped and lower-cased (``word``): any space or line feed is a boundary, so texts are cut into words.
 * SentencePiece with no piece that has the space mark after another character: every run of spaces
   starts a new part, and a line feed (in no piece) is a part of its own.
 
-Any other tokenizer gets whole texts. The cache is bounded.
+By word, the distinct words of many texts are looked up once, those met for the first time are encoded by the
+library together, and the ids are put in their places by numpy. Any other tokenizer gets whole texts. The cache
+of words is bounded.
 """
 
 from __future__ import annotations
@@ -21,15 +19,21 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from ledgerguard.llm.bytebpe import ByteBpe, LatinWords
 
-CACHE_WORDS = 300_000  # words of one generation of the cache
-PART_CHARS = 400_000  # texts are worked on in runs of about so many characters
+CACHE_WORDS = 400_000  # words of a cache, or of one generation of it
+JOINED_WORDS = 500  # words encoded together
+PART_CHARS = 2_000_000  # texts are worked on in runs of about so many characters
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_TWO_SPACES = re.compile(r"\s\s")
 _SPACE = re.compile(r"\s")
+# no text, white space first, or white space that does not simply stand between two words
+_ODD = re.compile(r"\A(?:\s|\Z)|\s\s|[^\S \n]")
 _PARTS = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
-# a line feed or nothing, letters whose class no Unicode version changes, punctuation that starts no contraction
-_SIMPLE = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+# letters whose class no Unicode version changes, punctuation that starts no contraction
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _MARK = "\x01"
 _loaded: dict[str, object] = {}
 
@@ -87,19 +91,68 @@ class WordCache:
         return self.known
 
 
-class WordEncoder(WordCache):
+class IdTable:
+    """Ids of words met lately, found by Arrow. When it is full, only the words at hand stay."""
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+
+    def places(self, words: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``ids``, number of ids) of distinct words. ``learn(list of words)``
+        gives (place, number, ids) of them."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        if len(new):
+            if len(self.words) + len(new) > CACHE_WORDS:
+                old = at.drop_null().to_numpy()
+                size = self.size[old]
+                ends = np.cumsum(size)
+                self.ids = self.ids[np.repeat(self.first[old] - (ends - size), size) + np.arange(int(size.sum()))]
+                self.words, self.first, self.size = words.filter(pc.is_valid(at)), ends - size, size
+            first, size, ids = learn(new.to_pylist())
+            self.words = pa.concat_arrays([self.words, new])
+            self.first = np.concatenate([self.first, len(self.ids) + first])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+            at = pc.index_in(words, value_set=self.words)
+        at = at.to_numpy()
+        return self.first[at], self.size[at]
+
+    def encode(self, texts: list[str], learn) -> list[np.ndarray]:
+        """Ids of texts whose words stand between single spaces."""
+        if not texts:
+            return []
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        first, size = self.places(coded.dictionary, learn)
+        word = coded.indices.to_numpy()
+        n = size[word]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(first[word] - (ends - n), n) + np.arange(int(n.sum()))]
+        last = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))[:-1]  # (no text is without a word: "" is one)
+        return np.split(ids, ends[last - 1])
+
+
+def _cut(ids: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths of the runs between the ids ``at``, the other ids)."""
+    cuts = np.flatnonzero(ids == at)
+    return np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1, np.delete(ids, cuts)
+
+
+class WordEncoder:
     """Ids of whole texts, as arrays, equal to ``encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.kind = _kind(json.load(f))
+            config = json.load(f)
+        self.kind = _kind(config)
+        self.latin = LatinWords(config) if self.kind == "word" else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.parts: dict[str, bytes] = {}
-        self.parts_before: dict[str, bytes] = {}
+        self.whole = ByteBpe(path) if self.kind == "byte" else None
+        self.table = IdTable(self.dtype)
         self.break_id = None
         if self.kind:
             ids = self._whole("\n" if self.kind == "byte" else _MARK)
@@ -108,78 +161,74 @@ class WordEncoder(WordCache):
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._whole(text), self.dtype).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return self.whole.encode(texts) if self.whole else [np.array(self._whole(t), self.dtype) for t in texts]
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the ids, number of ids, ids) of distinct words; many words go to one call with a break between them."""
+        glue, before = ("\n ", " ") if self.kind == "byte" else (f" {_MARK} ", "")
+        blob = " ".join(words)
+        other = _SPACE.search(blob.replace(" ", "").replace("\n", "")) is not None  # white space but space and line feed
+        easy = [w != "" and "\n" not in w and not (other and _SPACE.search(w)) for w in words]
+        if self.break_id is None or _MARK in blob:
+            easy = [False] * len(words)
+        joined = [i for i, e in enumerate(easy) if e]
+        size, ids = np.zeros(len(words), np.int64), []
+        for at in range(0, len(joined), JOINED_WORDS):
+            part = joined[at:at + JOINED_WORDS]
+            n, found = _cut(self._each([before + glue.join([words[i] for i in part])])[0], self.break_id)
+            if len(n) != len(part):  # a word that holds the break itself
+                each = self._each([before + words[i] for i in part])
+                n, found = np.array([len(x) for x in each]), np.concatenate(each)
+            size[part] = n
+            ids.append(found)
+        rest = [i for i, e in enumerate(easy) if not e]
+        each = self._each([words[i] if words[i][:1] == "\n" and self.kind == "byte" else before + words[i] for i in rest])
+        size[rest] = [len(x) for x in each]
+        order = np.array(joined + rest, np.int64)
+        first = np.zeros(len(words), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return first, size, np.concatenate([np.zeros(0, self.dtype), *ids, *each])
+
+    def _learn_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of Latin letters with punctuation behind them are put together from ids of both, which the
         tokenizer never joins; there are far fewer of these than of words. Others are encoded as they are."""
-        if len(self.parts) > CACHE_WORDS:
-            self.parts, self.parts_before = {}, self.parts
-        spaced = "" if self.kind == "word" else " "
-        whole, made = [], []
+        if self.latin.encoding is None:
+            return self._learn(words)
+        cores: dict[str, int] = {}
+        others: dict[str, int] = {"": 0}
+        pairs = []  # (number of the core or -1, number of what else there is)
         for w in words:
             m = _SIMPLE.fullmatch(w)
-            if m is None:
-                whole.append(w)
-            else:
-                line, core, tail = m.groups()
-                core = core.lower() if self.kind == "word" else core if line else " " + core
-                made.append((w, line, core, tail))
-        need = {p for _, _, core, tail in made for p in (core, tail)}.difference(self.parts)
-        need.discard("")
-        again = [p for p in need if p in self.parts_before]
-        for p in again:
-            self.parts[p] = self.parts_before[p]
-        need.difference_update(again)
-        self._encode_each(list(need), self.parts, list(need))
-        parts = self.parts
-        lead = np.array([self.break_id or 0], self.dtype).tobytes() if self.kind == "byte" else b""
-        for w, line, core, tail in made:
-            ids = parts[core] + parts[tail] if tail else parts[core]
-            self.known[w] = lead + ids if line else ids
-        self._encode_each(whole, self.known, [w if w[:1] == "\n" else spaced + w for w in whole])
-
-    def _encode_each(self, keys: list[str], into: dict, texts: list[str]) -> None:
-        """into[key] = ids of its text, many texts to one call of the library with a break between them."""
-        some: list[int] = []
-        for i, text in enumerate(texts):
-            bare = text[1:] if self.kind == "byte" and text[:1] == " " else text
-            if self.break_id is None or not bare or _MARK in bare or _SPACE.search(bare):
-                into[keys[i]] = self._bytes(text)
-            else:
-                some.append(i)
-        glue = "\n" if self.kind == "byte" else f" {_MARK} "
-        for at in range(0, len(some), 5000):
-            part = some[at:at + 5000]
-            ids = np.array(self._whole(glue.join([texts[i] for i in part])), self.dtype)
-            cuts = np.flatnonzero(ids == self.break_id)
-            if len(cuts) != len(part) - 1:  # a text that holds the break itself
-                for i in part:
-                    into[keys[i]] = self._bytes(texts[i])
-                continue
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
-            for i, a, b in zip(part, starts, ends):
-                into[keys[i]] = raw[a:b]
+            pairs.append((cores.setdefault(m[1].lower(), len(cores)), others.setdefault(m[2], len(others))) if m
+                         else (-1, others.setdefault(w, len(others))))
+        size, ids = _cut(self.latin.encode(list(cores)), self.latin.gap) if cores else (np.zeros(0, np.int64), np.zeros(0, "<u4"))
+        core_first = np.cumsum(size) - size
+        other_first, other_size, other_ids = self._learn(list(others))
+        # numbers of cores come after those of the others; the number behind them all has no ids
+        first = np.concatenate([len(ids) + other_first, core_first, [0]])
+        size = np.concatenate([other_size, size, [0]])
+        ids = np.concatenate([ids.astype(self.dtype), other_ids])
+        core, other = np.array(pairs, np.int64).T
+        both = np.stack([np.where(core < 0, len(size) - 1, core + len(others)), other], axis=1).ravel()
+        n = size[both]
+        ids = ids[np.repeat(first[both] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        whole = n.reshape(-1, 2).sum(axis=1)
+        return np.cumsum(whole) - whole, whole, ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.kind:
-            return [np.array(self._whole(t), self.dtype) for t in texts]
+            return self._each(texts)
         if self.kind == "word":
-            words = [t.replace("\n", " ").split(" ") for t in texts]
-            known = self._know(words)
-            return [np.frombuffer(b"".join([known[w] for w in ws]), self.dtype) for ws in words]
-        words = [t.replace("\n", " \n").split(" ") if not _TWO_SPACES.search(t) else [] for t in texts]
-        known = self._know([ws[1:] for ws in words])
-        out = []
-        for t, ws in zip(texts, words):
-            if not ws:
-                out.append(np.array(self._whole(t), self.dtype))
-            else:
-                rest = b"".join([known[w] for w in ws[1:]])
-                out.append(np.frombuffer((self._bytes(ws[0]) if ws[0] else b"") + rest, self.dtype))
-        return out
+            return self.table.encode([t.replace("\n", " ") for t in texts], self._learn_words)
+        if not self.whole.fast or self.break_id is None:
+            return self._each(texts)
+        # a space starts a piece with the word behind it, a line feed is a piece of its own; a line feed before the
+        # text gives two ids of its own, which go again
+        odd = [_ODD.search(t) is not None for t in texts]
+        plain = iter(self.table.encode([f"\n{t}".replace("\n", " \n") for t, o in zip(texts, odd) if not o], self._learn))
+        whole = iter(self._each([t for t, o in zip(texts, odd) if o]))
+        return [next(whole) if o else next(plain)[2:] for o in odd]
 
 
 def _kind(config: dict) -> str | None:
@@ -187,7 +236,8 @@ def _kind(config: dict) -> str | None:
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
         return "byte"
     steps = pre.get("pretokenizers") or [{}]
-    if steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" \
+    lower = {"type": "Lowercase"} in [norm, *((norm or {}).get("normalizers") or [])]
+    if lower and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" \
             and steps[0].get("pattern", {}).get("Regex") == _WORD_PATTERN:
         return "word"
     return None
