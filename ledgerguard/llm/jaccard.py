@@ -40,6 +40,7 @@ from pyspark.sql.window import Window
 from ledgerguard.llm import wordhash
 from ledgerguard.llm.common import map_arrow, materialize
 from ledgerguard.llm.graph import components
+from ledgerguard.plans.ranking import null_safe_join
 
 LIGHT = 16  # longest inverted list that is searched pair by pair
 
@@ -104,8 +105,8 @@ def _sketcher(k: int, percent: int, whole: bool, lower: bool):
                         size_ = np.int64(size)
                         members = members[:min(size, int(size_ - need_of(size_, percent) + matches_of(size_)))]
                     kept.append(members.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _binary(kept)],
-                                                 ["doc_id", "n", "cid", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _binary(kept), part.column(2)],
+                                                 ["doc_id", "n", "cid", "hashes", "t"])
     return run
 
 
@@ -242,11 +243,15 @@ def _open_pairs(lists: DataFrame, links: DataFrame, percent: int) -> DataFrame:
             .select("u", "v"))
 
 
-def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text",
-                       lower: bool = True) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kind = "doc_id long, n long, cid long, hashes binary"
+def _text_key(text: Column) -> Column:
+    """With its id, what tells a row from others: rows alike in both are copies of one another."""
+    return F.xxhash64(text)
+
+
+def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, lower: bool) -> tuple[DataFrame, DataFrame]:
+    """(sketch, roots): a row (doc_id, n, cid, t) for each document, and (cid, root) for each class of equal sets."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("t", _text_key(F.col("text")))
+    kind = "doc_id long, n long, cid long, hashes binary, t long"
     sketch = materialize(map_arrow(rows, _sketcher(k, percent, False, lower), kind), "sketch")
     classes = sketch.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
     postings = _postings(classes)
@@ -263,9 +268,9 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     candidates = materialize(_light_pairs(light, lists, status.select("cid", "q", "heavy"), percent), "candidates")
     heavy = status.where("heavy").select("cid")
     wanted = candidates.select(F.col("u").alias("cid")).union(candidates.select(F.col("v").alias("cid"))).union(heavy).distinct()
-    # one document of each wanted class; its whole set is read from its text
-    wanted_docs = sketch.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = (map_arrow(rows.join(wanted_docs, "doc_id", "left_semi"), _sketcher(k, percent, True, lower), kind)
+    # one document of each wanted class, with or without an id; its whole set is read from its text
+    wanted_docs = sketch.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "t")).alias("d")).select("d.doc_id", "d.t").distinct()
+    sets = (map_arrow(null_safe_join(rows, wanted_docs, ["doc_id", "t"], "left_semi").select("doc_id", "text", "t"), _sketcher(k, percent, True, lower), kind)
             .groupBy("cid").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
     sets = materialize(sets, "sets")
     heavy_lists = materialize(_heavy_lists(sets.join(heavy, "cid", "left_semi"), percent), "heavy")
@@ -273,8 +278,16 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     roots = materialize(components(links), "roots")
     rest = _verified(_open_pairs(heavy_lists, roots, percent), sets, percent)
     roots = materialize(components(links.union(rest)), "roots")
-    named = (sketch.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
-             .join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root")))
+    named = (sketch.where("n > 0").select("cid").distinct()
+             .join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")))
+    return sketch.select("doc_id", "n", "cid", "t"), named
+
+
+def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text",
+                       lower: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+    sketch, roots = _classes(docs, k, percent, id_col, text_col, lower)
+    named = sketch.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least")).join(roots, "cid")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(names, "root").select("cid", "component_id")
     full = sketch.where("n > 0").select("doc_id", "n", "cid").join(of_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -283,9 +296,15 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents (same columns) that have the least id of their component. Rows that share an id count
-    as one document, of which one row stays."""
-    found = jaccard_components(docs, k, percent, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One row (same columns) of each component: that of the least id, ids that are null coming last, and of rows with
+    that id the one of the least text digest. Of rows alike in id and text one stays. Rows without words are linked
+    with nothing and stay. Unlike texts are never taken for each other because their ids are null or the same."""
+    sketch, roots = _classes(docs, k, percent, id_col, text_col, True)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    stays = (sketch.where("n > 0").join(roots, "cid").groupBy("root").agg(F.min(order).alias("d"))
+             .select(F.col("d.doc_id").alias("__doc"), F.col("d.t").alias("__t")).distinct())
+    keyed = docs.withColumn("__key", _text_key(F.col(text_col)))
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__t"))
+    kept = keyed.where(worded).join(stays, same, "left_semi").dropDuplicates([id_col, "__key"])
+    return kept.union(keyed.where(~worded)).drop("__key")

@@ -73,12 +73,62 @@ def test_heavy_groups_equal_brute_force(spark, monkeypatch):
     assert as_rows(jaccard.jaccard_components(docs, 4, 85)) == sorted(brute_components(rows, 4, 85))
 
 
+def plain_one_of_each(rows, k, percent):
+    """(id, text) of the rows that stay, by brute force over rows."""
+    sets = [plain_set(r[1], k) for r in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    out = [(r[0], r[1]) for r, x in zip(rows, sets) if not x]
+    for g in set(group):
+        members = [rows[i] for i in range(len(rows)) if group[i] == g and sets[i]]
+        if members:
+            least = min(members, key=lambda r: (r[0] is None, r[0] or 0))[0]
+            out.append((least, {r[1] for r in members if r[0] == least}))
+    return out
+
+
+def check_one_of_each(kept, want):
+    """One row for each group, of the least id; among texts of one id any, but the same one however often it stands."""
+    got, fixed = [(r.doc_id, r.text) for r in kept.collect()], [w for w in want if not isinstance(w[1], set)]
+    for w in fixed:
+        got.remove(w)
+    for doc_id, texts in (w for w in want if isinstance(w[1], set)):
+        (hit,) = {x for x in got if x[0] == doc_id and x[1] in texts}
+        got.remove(hit)
+    assert got == []
+
+
 def test_empty_table_and_stage(docs, no_docs, rows):
     assert jaccard.jaccard_components(no_docs, 4, 85).count() == 0
+    assert jaccard.one_of_each(no_docs, 5, 80).count() == 0
     kept = jaccard.one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns
-    least = {r[0]: r[2] for r in brute_components(rows, 5, 80)}
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({i for i, c in least.items() if i == c})
+    check_one_of_each(kept, plain_one_of_each(rows, 5, 80))
+
+
+def test_null_and_repeated_ids_lose_no_text_and_no_link(spark):
+    r = random.Random(9)
+    base, other, third = prose(r, 120), prose(r, 90), prose(r, 90)
+    near, far = list(base), list(base)
+    for at in (10, 11):
+        near[at] = f"n{at}"
+    for at in (10, 11, 60, 61, 100):  # linked with ``near`` only
+        far[at] = f"n{at}" if at < 60 else f"f{at}"
+    near[60] = "f60"
+    texts = [(5, base), (None, near), (9, far), (None, other), (None, third), (1, prose(r, 70)), (1, prose(r, 70)), (None, []), (None, []), (None, other)]
+    rows = [(i, " ".join(t), "en", "s", 0) + ("x",) * 9 for i, t in texts]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for k, percent in ((4, 85), (5, 80)):
+        assert as_rows(jaccard.jaccard_components(df, k, percent)) == sorted(brute_components(rows, k, percent))
+    linked = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, 4, 85).collect()}
+    assert linked[9] == 5 == linked[5]  # by way of a document without an id
+    kept = jaccard.one_of_each(df, 5, 80)
+    check_one_of_each(kept, plain_one_of_each(rows, 5, 80))
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(["5", "None", "None", "None", "None", "1", "1"])
 
 
 @given(st.lists(st.text(alphabet=st.sampled_from(list("aAbZ é\t\n\x0b.")), max_size=15), min_size=1, max_size=6))
