@@ -10,10 +10,10 @@ also sharpens the bound, and the heaps of all tasks are merged at the end.
 A task holds one query block and one candidate block at a time. The result is exact: scores are those of
 the original vectors, ties go to the smaller id.
 
-Defined results: vectors that are null, zero, of another length than most of their block, or hold a null or
-non-finite component take no part, nor do rows with a null id; fewer than k candidates give fewer rows; a
-row is no candidate of its own id; repeated rows with an id count as one vector each, told apart by nothing,
-so each may appear.
+Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows
+with a null id; vectors meet those of their own length only; fewer than k candidates give fewer rows; a row is no
+candidate of its own id. Rows that share an id are vectors of their own: each may appear among the nearest of others,
+and each that is a query has its own k nearest.
 """
 
 from __future__ import annotations
@@ -89,17 +89,17 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _joiner(k: int):
-    def survivors(q, qn, c, cn, floor):
+    def survivors(q, qn, c, cn, floor, own):
         q8, qs, qe = q
         c8, cs, ce = c
         near = tile_products(q8, c8) * qs[:, None] * cs[None, :]
         size8 = np.sqrt((c8.astype(np.float64) ** 2).sum(axis=1)) * cs
         error = qn[:, None] * ce[None, :] + qe[:, None] * size8[None, :]
         error += _SLACK * (qn[:, None] * cn[None, :])
-        low = near - error
-        if low.shape[1] > k:
-            floor = np.maximum(floor, np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1])  # k+1-th: one may be the query
-        return np.nonzero(near + error >= floor[:, None])
+        low = np.where(own, -np.inf, near - error)  # rows of the query's own id are no candidates, however many there are
+        if low.shape[1] >= k:
+            floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
+        return np.nonzero((near + error >= floor[:, None]) & ~own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heaps = None, None
@@ -109,7 +109,7 @@ def _joiner(k: int):
                 key = at["block"].as_py()
                 if key != now:
                     if heaps is not None:
-                        yield _heap_rows(ids, heaps)
+                        yield _heap_rows(now, ids, heaps)
                     now, dim = key, at["dim"].as_py()
                     ids = np.frombuffer(at["q_ids"].as_buffer(), np.int64)
                     q = np.frombuffer(at["q_vectors"].as_buffer(), "<f8").reshape(-1, dim)
@@ -118,9 +118,7 @@ def _joiner(k: int):
                 c_ids = np.frombuffer(at["c_ids"].as_buffer(), np.int64)
                 c = np.frombuffer(at["c_vectors"].as_buffer(), "<f8").reshape(-1, dim)
                 floor = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
-                i, j = survivors(qq, qn, quantise(c), np.sqrt((c ** 2).sum(axis=1)), floor)
-                other = ids[i] != c_ids[j]
-                i, j = i[other], j[other]
+                i, j = survivors(qq, qn, quantise(c), np.sqrt((c ** 2).sum(axis=1)), floor, ids[:, None] == c_ids[None, :])
                 scores = exact_products(q[i], c[j])
                 for a, s, b in zip(i.tolist(), scores.tolist(), c_ids[j].tolist()):
                     heap = heaps[a]
@@ -129,15 +127,15 @@ def _joiner(k: int):
                     elif (s, -b) > heap[0]:
                         heapq.heapreplace(heap, (s, -b))
         if heaps is not None:
-            yield _heap_rows(ids, heaps)
+            yield _heap_rows(now, ids, heaps)
     return run
 
 
-def _heap_rows(ids: np.ndarray, heaps: list[list[tuple[float, int]]]) -> pa.RecordBatch:
-    rows = [(int(q), -b, s) for q, heap in zip(ids, heaps) for s, b in heap]
-    cols = list(zip(*rows)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())],
-                                      ["query_id", "vec_id", "score"])
+def _heap_rows(block: int, ids: np.ndarray, heaps: list[list[tuple[float, int]]]) -> pa.RecordBatch:
+    rows = [(block, i, int(q), -b, s) for i, (q, heap) in enumerate(zip(ids, heaps)) for s, b in heap]
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()))],
+                                      ["block", "row", "query_id", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -154,8 +152,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
     parts = queries.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))).alias("part"))
     count = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = candidates.join(parts, ["block", "part"]).repartition(count, "block", "part").sortWithinPartitions("block", "part")
-    best = map_arrow(tiles, _joiner(k), "query_id long, vec_id long, score double")
-    merged = best.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("vec_id"), F.col("score"))).alias("all"))
-    # at most k rows from each of a query's GROUPS tasks, so the list is bounded
+    best = map_arrow(tiles, _joiner(k), "block long, row int, query_id long, vec_id long, score double")
+    merged = best.groupBy("block", "row", "query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("vec_id"), F.col("score"))).alias("all"))
+    # (a query is a row: rows that share an id are queries each); at most k rows from each of a query's GROUPS tasks, so the list is bounded
     ranked = merged.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("rank", "x"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -189,6 +189,25 @@ def test_neighbours(spark, monkeypatch, block, groups):
     assert knn.nearest(vectors.where("false"), F.lit(True), k=3).count() == 0
 
 
+def test_neighbours_with_repeated_ids(spark):
+    """One id that stands many times, some of its vectors far longer than all others; each query row has its own nearest."""
+    r = np.random.default_rng(6)
+    vectors = [(0, v) for v in (r.normal(size=(7, 8)) * np.array([1, 3, 3, 3, 3, 3, 3])[:, None]).tolist()]
+    vectors += [(i, v) for i, v in enumerate(r.normal(size=(299, 8)).tolist(), 1)] + [(20, r.normal(size=8).tolist()), (33, [9.0] * 8), (33, [9.0] * 8)]
+    got = knn.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    want = []
+    for q, v in vectors:
+        if q % 20 == 0:
+            scores = []
+            for c, w in vectors:
+                total = 0.0
+                for a, b in zip(v, w):
+                    total += a * b
+                scores.append((-total, c))
+            want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(sorted(x for x in scores if x[1] != q)[:5])]
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == sorted(want) and len(got) == 5 * (7 + 14 + 1 + 1 - 1)
+
+
 def test_error_bounds_hold():
     r = np.random.default_rng(1)
     q, c = r.normal(size=(50, 70)) * 10, r.normal(size=(60, 70))
