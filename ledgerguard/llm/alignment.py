@@ -31,16 +31,14 @@ from pyspark.sql import functions as F
 from ledgerguard.llm.bitmaps import BLOCK_DOCS, PairBitmaps
 from ledgerguard.llm.bytebpe import ByteBpe
 from ledgerguard.llm.common import map_arrow, materialize, ship
-from ledgerguard.llm.tokens import PieceCounter
+from ledgerguard.llm.tokens import PieceCounter, loose
 
 BLOCK_CHARS = 4_000_000
-KEPT_WORDS = 600_000  # words whose alignment a worker keeps
+KEPT_WORDS = 500_000  # words whose alignment a worker keeps
 KEPT_CHARS = 8_000_000  # characters of them
 PLAIN_CROSS = 4096  # links of a group that are listed before they are counted
 
 _OTHER = r"\t\x0b-\x0d\x1c-\x1f\x85\xa0 ᠎ -     　"  # white space but space and line feed
-# a text that does not simply fall apart at single spaces and line feeds
-_ODD = re.compile(rf"\A[ \n]|[ \n][ \n]|[{_OTHER}]")
 # white space and the word behind it; spaces beside other white space are no place to cut
 _WORD = re.compile(rf"[ \n]*[^ \n]+(?:(?:(?<=[{_OTHER}])[ \n]+|[ \n]+(?=[{_OTHER}]))[^ \n]*)*|[ \n]+")
 
@@ -122,7 +120,7 @@ class WordAlignments:
     def _ids_a(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of ids, ids). Words behind one space go to the tokenizer together, with line feeds between them."""
         easy = [len(w) > 1 and w[0] == " " and w[1] not in " \n" and "\n" not in w and self.by_word for w in words]
-        if any(easy) and _ODD.search(" ".join(w[1:] for w, e in zip(words, easy) if e)):
+        if any(easy) and loose(" ".join([w[1:] for w, e in zip(words, easy) if e])):
             easy = [e and not _SPACE.search(w, 1) for w, e in zip(words, easy)]
         together = [i for i, e in enumerate(easy) if e]
         size, found = np.zeros(len(words), np.int64), []
@@ -207,7 +205,7 @@ class WordAlignments:
         """(numbers of the words of all texts, how many each text has)."""
         if len(self.words) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self._forget()
-        odd = [not self.by_word or t == "" or _ODD.search(t) is not None for t in texts]
+        odd = [not self.by_word or loose(t) for t in texts]
         plain = pc.split_pattern(pc.replace_substring(pa.array([t for t, o in zip(texts, odd) if not o], pa.large_string()), "\n", " \n"), " ")
         coded = plain.flatten().dictionary_encode()
         bare = coded.dictionary

@@ -47,7 +47,7 @@ def _cutter(path: str, end_id: int, capacity: int):
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             at = 0
-            for texts in tokens.runs(t or "" for t in batch.column(1).to_pylist()):
+            for texts in tokens.runs((t or "" for t in batch.column(1).to_pylist()), tokens.TABLE_CHARS):
                 rows: list[tuple] = []
                 end = np.array([end_id], "<u4")
                 for ids in tokenizer.encode(texts):

@@ -128,7 +128,7 @@ def _encoder(path: str, end_id: int):
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             at = 0
-            for texts in tokens.runs(t or "" for t in batch.column(1).to_pylist()):
+            for texts in tokens.runs((t or "" for t in batch.column(1).to_pylist()), tokens.TABLE_CHARS):
                 for got in tokenizer.encode(texts):
                     ids.append(doc_ids[at])
                     arrays.append(np.concatenate([got, end]))

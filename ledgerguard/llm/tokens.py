@@ -24,14 +24,23 @@ import pyarrow.compute as pc
 
 from ledgerguard.llm.bytebpe import ByteBpe, LatinWords
 
-CACHE_WORDS = 400_000  # words of a cache, or of one generation of it
+CACHE_WORDS = 300_000  # words of one generation of a cache
+TABLE_WORDS = 1_000_000  # words of a table
 JOINED_WORDS = 500  # words encoded together
-PART_CHARS = 2_000_000  # texts are worked on in runs of about so many characters
+PART_CHARS = 400_000  # texts are worked on in runs of about so many characters
+TABLE_CHARS = 4_000_000  # the same where words are looked up in a table
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = re.compile(r"\s")
-# no text, white space first, or white space that does not simply stand between two words
-_ODD = re.compile(r"\A(?:\s|\Z)|\s\s|[^\S \n]")
 _PARTS = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
+_OTHER_SPACE = re.compile(r"[\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def loose(text: str) -> bool:
+    """Whether there is no text, white space first, or white space that does not simply stand between two words."""
+    return (text[:1] in ("", " ", "\n") or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+            or _OTHER_SPACE.search(text) is not None)
+
+
 # letters whose class no Unicode version changes, punctuation that starts no contraction
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _MARK = "\x01"
@@ -53,13 +62,13 @@ def version(path: str) -> str:
         return hashlib.sha256(f.read() + f"{library} {importlib.metadata.version(library)}".encode()).hexdigest()
 
 
-def runs(texts: Iterable[str]) -> Iterator[list[str]]:
+def runs(texts: Iterable[str], chars: int = PART_CHARS) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
     for text in texts:
         part.append(text)
         size += len(text)
-        if size >= PART_CHARS:
+        if size >= chars:
             yield part
             part, size = [], 0
     if part:
@@ -104,7 +113,7 @@ class IdTable:
         at = pc.index_in(words, value_set=self.words)
         new = words.filter(pc.is_null(at))
         if len(new):
-            if len(self.words) + len(new) > CACHE_WORDS:
+            if len(self.words) + len(new) > TABLE_WORDS:
                 old = at.drop_null().to_numpy()
                 size = self.size[old]
                 ends = np.cumsum(size)
@@ -173,18 +182,26 @@ class WordEncoder:
         if self.break_id is None or _MARK in blob:
             easy = [False] * len(words)
         joined = [i for i, e in enumerate(easy) if e]
+        # words behind a line feed: without it they stand at the beginning of a line, as between breaks
+        lines = [i for i, w in enumerate(words) if self.kind == "byte" and self.break_id is not None and w[:1] == "\n" and w[1:] and not _SPACE.search(w, 1)]
         size, ids = np.zeros(len(words), np.int64), []
-        for at in range(0, len(joined), JOINED_WORDS):
-            part = joined[at:at + JOINED_WORDS]
-            n, found = _cut(self._each([before + glue.join([words[i] for i in part])])[0], self.break_id)
-            if len(n) != len(part):  # a word that holds the break itself
-                each = self._each([before + words[i] for i in part])
-                n, found = np.array([len(x) for x in each]), np.concatenate(each)
-            size[part] = n
-            ids.append(found)
-        rest = [i for i, e in enumerate(easy) if not e]
+        for places, skip in ((joined, 0), (lines, 1)):
+            for at in range(0, len(places), JOINED_WORDS):
+                part = places[at:at + JOINED_WORDS]
+                texts = [words[i][skip:] for i in part]
+                n, found = _cut(self._each(["\n".join(texts) if skip else before + glue.join(texts)])[0], self.break_id)
+                if len(n) != len(part):  # a word that holds the break itself
+                    each = self._each([("" if skip else before) + t for t in texts])
+                    n, found = np.array([len(x) for x in each]), np.concatenate(each)
+                if skip:
+                    found, n = np.insert(found, np.cumsum(n) - n, self.break_id), n + 1
+                size[part] = n
+                ids.append(found)
+        done = set(lines)
+        rest = [i for i, e in enumerate(easy) if not e and i not in done]
         each = self._each([words[i] if words[i][:1] == "\n" and self.kind == "byte" else before + words[i] for i in rest])
         size[rest] = [len(x) for x in each]
+        joined = joined + lines
         order = np.array(joined + rest, np.int64)
         first = np.zeros(len(words), np.int64)
         first[order] = np.cumsum(size[order]) - size[order]
@@ -225,7 +242,7 @@ class WordEncoder:
             return self._each(texts)
         # a space starts a piece with the word behind it, a line feed is a piece of its own; a line feed before the
         # text gives two ids of its own, which go again
-        odd = [_ODD.search(t) is not None for t in texts]
+        odd = [loose(t) for t in texts]
         plain = iter(self.table.encode([f"\n{t}".replace("\n", " \n") for t, o in zip(texts, odd) if not o], self._learn))
         whole = iter(self._each([t for t, o in zip(texts, odd) if o]))
         return [next(whole) if o else next(plain)[2:] for o in odd]

@@ -1,4 +1,5 @@
 """Token files, token counts, packing and unigram segmentation against the libraries themselves."""
+import random
 import zlib
 
 import numpy as np
@@ -50,6 +51,7 @@ def test_odd_texts_equal_the_library(path):
 def test_counts_equal_the_library_with_a_small_cache(monkeypatch):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tokens, "TABLE_WORDS", 3)
     ours = tokens.PieceCounter(PIECE)
     for _ in range(3):
         assert [ours.count([t])[0] for t in ODD] == [len(library.encode(t)) for t in ODD]
@@ -176,3 +178,15 @@ def test_double_array():
             state = to
         return int(trie.value[state])
     assert [find(k) for k in keys] == list(range(6)) and find(b"ac") == find(b"") == find(b"\xff") == -1
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_many_odd_texts_encode_as_the_library_does(name):
+    r, library = random.Random(21), Tokenizer.from_file(public_tokenizers.path(name))
+    white = [" ", " ", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\xa0", "\x85", " \n", "\r\n", " ", "\x1c", "　"]
+    words = ["the", "The", "don't", "It's", "é", "É", "naïve,", "日本語", "🎉", "<s>", "<|endoftext|>", "<|startoftext|>x", "x", "123", "a1b2", "...", "\x01", "ß!", "ſ", "İ", "K",
+             "क्षि", "é", "(why?)", "Ab-cd", "'s", "\x00"]
+    texts = ["".join(r.choice(white if r.random() < 0.45 else words) for _ in range(r.randrange(16))) for _ in range(10_000)]
+    texts += ["paragraph one.\n\nparagraph two is here.\n\n\n  indented"] * 2 + ["w" * 3000, "日" * 2000, "\n" * 500, " " * 500 + "x"]
+    got = tokens.load(public_tokenizers.path(name)).encode(texts)
+    assert [x.tolist() for x in got] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
