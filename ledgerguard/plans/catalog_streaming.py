@@ -47,13 +47,15 @@ FROM conversations c JOIN {CONV_SRC} s ON s.id = c.conv_id * 100000 + c.turn LEF
   ON f.id = c.conv_id * 100000 + c.turn""", *sql_chosen(CONV_SRC, False)[:4]))
 
 
-CLOSING = (F.col("conv_id") % 5 == 0) & (F.col("turn") == 2) & (F.col("role") != "assistant")  # turns after which a session is closed
+def _closing():
+    """Turns after which a session is closed."""
+    return (F.col("conv_id") % 5 == 0) & (F.col("turn") == 2) & (F.col("role") != "assistant")
 
 
 @query("stream_vault", None)
 def q_stream_vault(spark, d):
     """ST2: session vault as keyed state with an event-time idle TTL and a close event; uses after either fail closed."""
-    decided = spark.read.schema(SP.DECISION_SCHEMA).parquet(SP.stream_vault(spark, d, notes=_notes(spark, d), closes=CLOSING))
+    decided = spark.read.schema(SP.DECISION_SCHEMA).parquet(SP.stream_vault(spark, d, notes=_notes(spark, d), closes=_closing()))
     return SP.masked_turns(SP.with_notes(T(spark, d)["conversations"], _notes(spark, d)), decided)
 
 
@@ -71,8 +73,8 @@ JOIN ({sql_masked(CONV_SRC)}) m ON m.id = c.conv_id * 100000 + c.turn""", *sql_c
 def q_stream_vault_values(spark, d):
     """ST2 + T3: the values of all tokens the stream gave, opened by the keys in its state: none for a session that is closed."""
     out, secret = scratch_path(spark, "stream-vault"), os.urandom(32)
-    decided = spark.read.schema(SP.DECISION_SCHEMA).parquet(SP.stream_vault(spark, d, out, notes=_notes(spark, d), secret=secret, closes=CLOSING))
-    closed = SP.with_notes(T(spark, d)["conversations"], _notes(spark, d)).where(CLOSING).select(F.col("conv_id").alias("session_id")).distinct()
+    decided = spark.read.schema(SP.DECISION_SCHEMA).parquet(SP.stream_vault(spark, d, out, notes=_notes(spark, d), secret=secret, closes=_closing()))
+    closed = SP.with_notes(T(spark, d)["conversations"], _notes(spark, d)).where(_closing()).select(F.col("conv_id").alias("session_id")).distinct()
     return SP.reveal(decided, SP.live_keys(spark, out, secret)).join(closed, "session_id", "left_semi")
 
 
