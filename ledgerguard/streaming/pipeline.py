@@ -1,9 +1,10 @@
 """Structured Streaming: masked turns (ST1), the session vault with an idle TTL as keyed state (ST2) and an
 append-only audit sink (ST3), all reading ``conversations`` as a file stream.
 
-* ST1 ``stream_mask``: ``foreachBatch`` runs the batch masking job on each micro-batch. The vault is carried as
-  one folder per batch in the shared folder; batch n reads the folders of batches before n only, so a replayed
-  batch sees what it saw the first time, gives the same tokens, and overwrites its own outputs.
+* ST1 ``stream_mask``: ``foreachBatch`` runs the batch masking job on each micro-batch. Each batch writes the tokens it
+  gave to the shared folder; neighbouring folders are merged level by level, so batch n reads one folder for each bit
+  of n. It reads batches before n only, so a replayed batch sees what it saw the first time, gives the same tokens,
+  and overwrites its own outputs.
 * ST2 ``stream_vault``: ``transformWithStateInPandas`` keyed by session. Spans are detected JVM-side before the state
   step, which gets numbers and spans only and hands out tokens; texts stay where they are, and ``masked_turns`` joins
   them with the decisions. A session ends by an idle TTL (event-time timer) or by an event of role ``close``; a use
@@ -86,23 +87,89 @@ def _run(query, wait_s: float | None = None) -> None:
 
 
 # --- ST1 ----------------------------------------------------------------------------------------
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    fs, where = _file_system(spark, f"{folder}/_SUCCESS")
+    return fs.exists(where)
+
+
+def level_folder(vault_dir: str, start: int, level: int) -> str:
+    """The tokens of the batches start .. start + 2**level - 1."""
+    return f"{vault_dir}/level={level}/from={start}"
+
+
+def cover(n: int) -> list[tuple[int, int]]:
+    """(start, level) of the fewest aligned folders that hold batches 0 .. n-1: one for each bit of n."""
+    out, start = [], 0
+    for level in range(n.bit_length() - 1, -1, -1):
+        if n >> level & 1:
+            out.append((start, level))
+            start += 1 << level
+    return out
+
+
+def held_folders(vault_dir: str, start: int, level: int, complete) -> list[str]:
+    """The folder of these batches; one that was not merged to the end (its writer was lost) is read by its halves. A
+    missing batch is an error when it is read, since its tokens are in use."""
+    folder = level_folder(vault_dir, start, level)
+    if level == 0 or complete(folder):
+        return [folder]
+    return [f for at in (start, start + (1 << (level - 1))) for f in held_folders(vault_dir, at, level - 1, complete)]
+
+
+def write_level(df: DataFrame, folder: str) -> None:
+    """Tokens, sorted by session so that a read for some sessions skips most of them."""
+    df.repartitionByRange(F.col("session_id")).sortWithinPartitions("session_id").write.mode("overwrite").parquet(folder)
+
+
+def merge_levels(spark: SparkSession, vault_dir: str, batch_id: int) -> None:
+    """After a batch: two neighbouring folders of a level become one of the next, as in adding one to a binary
+    number. Each token is written once for each level, so log2(batches) times. Doing it again gives the same."""
+    end, level = batch_id + 1, 1
+    while end % (1 << level) == 0:
+        start = end - (1 << level)
+        halves = [f for at in (start, start + (1 << (level - 1))) for f in held_folders(vault_dir, at, level - 1, lambda f: _complete(spark, f))]
+        write_level(spark.read.schema(VAULT_SCHEMA).parquet(*halves), level_folder(vault_dir, start, level))
+        level += 1
+
+
+def drop_merged(spark: SparkSession, vault_dir: str, batch_id: int) -> None:
+    """When a batch begins, the one before it is committed and never comes again: the halves of the folders that it
+    completed are read by nobody from now on."""
+    level = 1
+    while batch_id and batch_id % (1 << level) == 0:
+        start = batch_id - (1 << level)
+        if _complete(spark, level_folder(vault_dir, start, level)):
+            for at in (start, start + (1 << (level - 1))):
+                fs, where = _file_system(spark, level_folder(vault_dir, at, level - 1))
+                fs.delete(where, True)
+        level += 1
+
+
 def earlier_vault(spark: SparkSession, vault_dir: str, batch_id: int, sessions: DataFrame) -> DataFrame | None:
     """Tokens that batches before ``batch_id`` gave to the sessions of this one."""
     if batch_id == 0:
         return None
-    parts = [f"{vault_dir}/batch={i}" for i in range(batch_id)]
-    vault = spark.read.schema(VAULT_SCHEMA).parquet(*parts)  # a missing part is an error: its tokens are in use
+    folders = [f for start, level in cover(batch_id) for f in held_folders(vault_dir, start, level, lambda f: _complete(spark, f))]
+    vault = spark.read.schema(VAULT_SCHEMA).parquet(*folders)
     return null_safe_join(vault, sessions.select("session_id").distinct(), ["session_id"], "left_semi")
 
 
 def mask_batch(batch: DataFrame, batch_id: int, out_dir: str, known_values: DataFrame | None = None, policy: Policy = DEFAULT) -> None:
+    spark, vault_dir = batch.sparkSession, f"{out_dir}/vault"
+    drop_merged(spark, vault_dir, batch_id)
     turns = batch.withColumn("session_id", F.col("conv_id"))
-    vault = earlier_vault(batch.sparkSession, f"{out_dir}/vault", batch_id, turns)
+    vault = earlier_vault(spark, vault_dir, batch_id, turns)
     m = M.mask_text(turns, "text", ["conv_id", "turn"], ["turn"], known_values=known_values, vault=vault, policy=policy)
     new = m.vault if vault is None else null_safe_join(m.vault, vault.select("session_id", "entity", "norm"),
                                                        ["session_id", "entity", "norm"], "left_anti")
-    new.write.mode("overwrite").parquet(f"{out_dir}/vault/batch={batch_id}")
+    write_level(new, level_folder(vault_dir, batch_id, 0))
     m.cells.select("conv_id", "turn", "masked").write.mode("overwrite").parquet(f"{out_dir}/rows/batch={batch_id}")
+    merge_levels(spark, vault_dir, batch_id)
 
 
 def stream_mask(spark: SparkSession, sf_dir: str, out_dir: str | None = None, notes: DataFrame | None = None,
