@@ -49,6 +49,30 @@ def history_last(turns: DataFrame, k: int = 3) -> DataFrame:
     return sent.groupBy("conv_id", "turn_number").agg(own, *cols).where("_own").drop("_own")
 
 
+def with_notes(turns: DataFrame, notes: DataFrame | None) -> DataFrame:
+    """Turns of the user with the note of the contract they talk about (``ContractId``, ``note``) behind the text."""
+    if notes is None:
+        return turns
+    notes = notes.select(F.col("ContractId").alias("_contract"), "note")
+    text = F.when((F.col("role") == "user") & F.col("note").isNotNull(), F.concat_ws(" | ", "text", "note")).otherwise(F.col("text"))
+    return turns.join(notes, F.col("conv_id") == F.col("_contract"), "left").withColumn("text", text).drop("_contract", "note")
+
+
+def with_event_time(df: DataFrame) -> DataFrame:
+    """The table has no times: turn ``t`` of conversation ``c`` happens at 2024-01-01 + c days + t * 25 min * (1 + c % 4)."""
+    gap = F.col("turn") * 25 * 60 * (1 + F.col("conv_id") % 4)
+    base = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return df.withColumn("ts", (base.cast("long") + F.col("conv_id") * 86400 + gap).cast("timestamp"))
+
+
+def masked_conversations(t: dict, policy: Policy = DEFAULT) -> M.Masked:
+    """Every turn (the user's with the conversation's contract note behind it) masked in one pass, by the order of
+    turns, with the known values of the contract's customer. One vault serves questions and answers."""
+    turns = with_notes(t["conversations"].select("conv_id", "turn", "role", "text"), t["contract_notes"])
+    profiles = K.contract_customer(t["leasefinances"], t["loanfinances"], t["customers"]).withColumn("session_id", F.col("ContractId"))
+    return M.mask_text(turns, "text", ["conv_id", "turn"], ["turn"], session_col="conv_id", known_values=register_known(profiles), policy=policy)
+
+
 def _merge(*maps):
     """Counts added up over maps."""
     out = F.create_map().cast(COUNTS)
@@ -64,52 +88,60 @@ def _call(node: str, payload, found, policy: Policy):
     return F.struct(F.lit(node).alias("node"), chars.alias("chars"), sha.alias("sha256"), found.alias("guard_masked"), kept.alias("payload"))
 
 
-def audit_records(spark: SparkSession, t: dict, policy: Policy = DEFAULT) -> DataFrame:
-    """L1: one record per question turn. The question (with the conversation's contract note behind it) is
-    masked with the known values of that contract's customer; the reply is masked as outgoing rows are, and
-    the guard looks over both again with what masking left. Intent, rows and outcome come from the request of
-    the conversation (R2); a conversation without a contract is an ``error``. There is no SQL generator here, so
-    ``sql`` is null, an ad-hoc question has one attempt with one error, and the columns of the core answers hold
-    no personal data. ``latency_ms`` is not in the data. No raw PII leaves this function."""
-    turns = conversation_turns(t["conversations"])
-    notes = t["contract_notes"].select(F.col("ContractId").alias("conv_id"), "note")
-    q = (turns.join(notes, "conv_id", "left")
-         .withColumn("question", F.concat_ws(" | ", F.col("question"), F.col("note"))).drop("note"))
-    profiles = K.contract_customer(t["leasefinances"], t["loanfinances"], t["customers"]) \
-        .withColumn("session_id", F.col("ContractId"))
-    kv = register_known(profiles)
-    mq = M.mask_text(q, "question", ["conv_id", "turn"], ["turn"], session_col="conv_id", known_values=kv,
-                     out_col="masked_question", policy=policy)
-    cells = mq.cells.withColumnRenamed("pii_counts", "pii_input")
-    ma = M.mask_text(cells, "answer", ["conv_id", "turn"], ["turn"], session_col="conv_id", known_values=kv,
-                     vault=mq.vault, out_col="masked_answer", policy=policy.fast())
-    rec = ma.cells.withColumnRenamed("pii_counts", "pii_masked_output")
-    for text in ("question", "answer"):
-        again, _ = M.guard(rec, f"masked_{text}", ["conv_id", "turn"], session_col="conv_id", known_values=kv, policy=policy, mode="mask")
-        rec = again.drop(f"masked_{text}").withColumnRenamed("guarded", f"masked_{text}").withColumnRenamed("findings", f"found_{text}")
+def audit_records(spark: SparkSession, t: dict, policy: Policy = DEFAULT, guard_policy: Policy | None = None) -> DataFrame:
+    """L1: one record per question turn. Questions and answers are masked in one pass over all turns
+    (``masked_conversations``) and the guard looks over what that left, in one pass more. Intent, rows and outcome come
+    from the request of the conversation (R2); a conversation without a contract is an ``error``. ``ts`` is the time of
+    the turn. There is no SQL generator here, so ``sql`` is null, an ad-hoc question has one attempt with one error,
+    and the columns of the core answers hold no personal data. ``latency_ms`` is not in the data. No raw PII leaves
+    this function. ``guard_policy``: what the guard looks for, if not what the masking does."""
+    m = masked_conversations(t, policy)
+    profiles = K.contract_customer(t["leasefinances"], t["loanfinances"], t["customers"]).withColumn("session_id", F.col("ContractId"))
+    said = m.cells.select("conv_id", "turn", "role", F.col("text").isNull().alias("none"), "masked", F.col("pii_counts").alias("counts"))
+    said, _ = M.guard(said, "masked", ["conv_id", "turn"], session_col="conv_id", known_values=register_known(profiles),
+                      policy=guard_policy or policy, mode="mask")
+    parts = F.struct(F.when(~F.col("none"), F.col("guarded")).alias("text"), F.col("guarded").alias("sent"), "counts", "findings")
+    said = said.select("conv_id", "turn", "role", parts.alias("x"))
+    users = said.where(F.col("role") == "user").select("conv_id", "turn", F.col("x").alias("q"))
+    replies = said.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("a"))
+    rec = with_event_time(rank_within(users.join(replies, ["conv_id", "turn"], "left"), ["conv_id"], ["turn"], out="turn_number"))
     asked = K.answer_requests(t["requests"], t).select(F.col("request_id").alias("_request"), "intent", F.col("outcome").alias("_o"), "row_count")
     rec = rec.join(asked, F.col("conv_id") == F.col("_request"), "left")
-    found = _merge(F.col("found_question"), F.col("found_answer"))
+    found = _merge(F.col("q.findings"), F.col("a.findings"))
     calls = F.filter(F.array(
-        _call("classify_intent", F.col("masked_question"), F.col("found_question"), policy),
-        F.when(F.col("intent") == "adhoc", _call("generate_sql", F.col("masked_question"), F.col("found_question"), policy)),
-        F.when(F.col("answer").isNotNull(), _call("compose_answer", F.col("masked_answer"), F.col("found_answer"), policy))), lambda c: c.isNotNull())
+        _call("classify_intent", F.col("q.sent"), F.col("q.findings"), policy),
+        F.when(F.col("intent") == "adhoc", _call("generate_sql", F.col("q.sent"), F.col("q.findings"), policy)),
+        F.when(F.col("a.text").isNotNull(), _call("compose_answer", F.col("a.text"), F.col("a.findings"), policy))), lambda c: c.isNotNull())
     adhoc = F.col("_o") == "gave_up"
     outcome = (F.when(F.col("_o").isNull() | (F.col("_o") == "not_found"), "error")
-               .when(adhoc | F.col("answer").isNull(), "gave_up").otherwise("answered"))
+               .when(adhoc | F.col("a.text").isNull(), "gave_up").otherwise("answered"))
     return rec.select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts"),
         F.col("conv_id").alias("session_id"), F.col("turn_number").alias("turn"),
         F.concat(F.lit("CT-"), F.col("conv_id").cast("string")).alias("sequence_number"),
-        F.col("masked_question").alias("question"), F.when(F.col("answer").isNotNull(), F.col("masked_answer")).alias("answer"),
+        F.col("q.sent").alias("question"), F.col("a.text").alias("answer"),
         outcome.alias("outcome"), "intent", F.lit(None).cast("string").alias("sql"),
         F.when(adhoc, 1).otherwise(0).cast("int").alias("sql_attempts"),
         F.when(adhoc, F.array(F.lit("no generator"))).otherwise(F.array().cast("array<string>")).alias("sql_errors"),
-        F.coalesce("row_count", F.lit(0)).alias("row_count"), "pii_input",
-        F.create_map().cast("map<string,string>").alias("pii_columns"), "pii_masked_output",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"), F.col("q.counts").alias("pii_input"),
+        F.create_map().cast("map<string,string>").alias("pii_columns"), F.coalesce(F.col("a.counts"), F.create_map().cast(COUNTS)).alias("pii_masked_output"),
         found.alias("pii_guard_masked"), calls.alias("llm_calls"), F.lit(None).cast("long").alias("latency_ms"))
 
 
+def counts_text(counts) -> F.Column:
+    """``EMAIL=1,PHONE=2``"""
+    entries = F.transform(F.map_entries(counts), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return F.coalesce(F.array_join(F.array_sort(entries), ","), F.lit(""))
+
+
+def flat_records(audit: DataFrame) -> DataFrame:
+    """The records with their counts and calls as text, one column each."""
+    maps = ("pii_input", "pii_masked_output", "pii_guard_masked")
+    return audit.select("ts", "session_id", "turn", "sequence_number", "question", "answer", "outcome", "intent", "sql", "sql_attempts",
+                        F.array_join("sql_errors", ",").alias("sql_errors"), "row_count", *[counts_text(F.col(c)).alias(c) for c in maps],
+                        F.array_join(F.transform("llm_calls", lambda c: c["node"]), ",").alias("llm_calls"))
+
+
 def guard_totals(audit: DataFrame) -> DataFrame:
     """L2: guard findings merged over all calls of each turn (non-zero means an earlier layer missed)."""
     calls = audit.select("session_id", "turn", F.explode("llm_calls").alias("c"))

@@ -21,7 +21,8 @@ from ledgerguard.operators import masking as M
 from ledgerguard.operators import scope as SC
 from ledgerguard.operators import vault as V
 from ledgerguard.operators.lineage import classify_output
-from ledgerguard.plans.catalog import REGISTRY, T, query
+from ledgerguard.plans import catalog_pii as CP
+from ledgerguard.plans.catalog import ANSWERS_SQL, REGISTRY, T, query
 from ledgerguard.plans.oracle_views import with_views
 from ledgerguard.sources.policy import DEFAULT
 from ledgerguard.sources.tables import CONTRACT_TABLES, register_views
@@ -289,36 +290,86 @@ def q_turn_number(spark, d):
     return _turns(spark, d).select("conv_id", "turn", "turn_number")
 
 
-@query("history_last3", """
-WITH pairs AS (
-  SELECT u.conv_id, u.turn, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) AS turn_number,
-         u.text AS question, a.text AS answer
-  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-  WHERE u.role = 'user')
+# turns of a conversation, the user's with the note of the contract behind them; its customer's values are known
+TURNS_SRC = """(SELECT conv_id * 100000 + turn AS id, conv_id AS session_id, CustomerId AS customer_id,
+  CASE WHEN role = 'user' AND note IS NOT NULL THEN text || ' | ' || note ELSE text END AS t
+  FROM conversations LEFT JOIN contract_notes ON ContractId = conv_id)"""
+TURN_CTES = [("kv", CP.KV_SQL), *CP.sql_chosen(TURNS_SRC, True, "customer_id"), ("masked_turns", CP.sql_masked(TURNS_SRC)), ("said", """
+  SELECT c.conv_id, c.turn, c.role, CASE WHEN c.text IS NOT NULL OR c.role = 'user' THEN m.masked END AS text, m.masked AS sent
+  FROM conversations c JOIN masked_turns m ON m.id = c.conv_id * 100000 + c.turn"""), ("pairs", """
+  SELECT u.conv_id, u.turn, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) AS turn_number, u.text AS question, a.text AS answer
+  FROM said u LEFT JOIN said a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")]
+
+
+@query("history_last3", None)
+def q_history_last3(spark, d):
+    """W3 + M7: the last three questions and answers of each turn, masked over the whole conversation."""
+    cells = A.masked_conversations(T(spark, d)).cells
+    said = cells.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull() | (F.col("role") == "user"), F.col("masked")).alias("text"))
+    return A.history_last(A.conversation_turns(said).select("conv_id", "turn_number", "question", "answer"), 3)
+
+
+REGISTRY["history_last3"] = (q_history_last3, with_views("""
 SELECT p.conv_id, p.turn_number,
   h1.question AS prev1_question, h1.answer AS prev1_answer, h2.question AS prev2_question, h2.answer AS prev2_answer,
   h3.question AS prev3_question, h3.answer AS prev3_answer
 FROM pairs p
 LEFT JOIN pairs h1 ON h1.conv_id = p.conv_id AND h1.turn_number = p.turn_number - 1
 LEFT JOIN pairs h2 ON h2.conv_id = p.conv_id AND h2.turn_number = p.turn_number - 2
-LEFT JOIN pairs h3 ON h3.conv_id = p.conv_id AND h3.turn_number = p.turn_number - 3""")
-def q_history_last3(spark, d):
-    turns = _turns(spark, d)
-    m = M.mask_text(turns, "question", ["conv_id", "turn"], ["turn"], session_col="conv_id", out_col="mq").cells
-    m = M.mask_text(m, "answer", ["conv_id", "turn"], ["turn"], session_col="conv_id", out_col="ma").cells
-    return A.history_last(m.select("conv_id", "turn_number", F.col("mq").alias("question"),
-                                   F.when(F.col("answer").isNull(), F.lit(None)).otherwise(F.col("ma")).alias("answer")), 3)
+LEFT JOIN pairs h3 ON h3.conv_id = p.conv_id AND h3.turn_number = p.turn_number - 3""", *TURN_CTES))
 
 
 # --- L1-L4, S4 -----------------------------------------------------------------------------------
+_COUNTS = """SELECT id, string_agg(entity || '=' || n, ',' ORDER BY entity) AS counts FROM (SELECT id, entity, count(*) AS n FROM chosen GROUP BY id, entity) z GROUP BY id"""
+_AUDIT_CTES = [*TURN_CTES, ("counts", _COUNTS), ("asked", "SELECT request_id, intent, outcome AS o, row_count FROM (" + ANSWERS_SQL + ") z"), ("records", """
+  SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(p.conv_id * 86400 + p.turn * 25 * 60 * (1 + p.conv_id % 4)), '%Y-%m-%dT%H:%M:%S.000Z') AS ts,
+    p.conv_id AS session_id, p.turn_number AS turn, 'CT-' || p.conv_id AS sequence_number, p.question, p.answer,
+    CASE WHEN o IS NULL OR o = 'not_found' THEN 'error' WHEN o = 'gave_up' OR p.answer IS NULL THEN 'gave_up' ELSE 'answered' END AS outcome, intent,
+    CAST(NULL AS VARCHAR) AS sql, CAST(CASE WHEN o = 'gave_up' THEN 1 ELSE 0 END AS INTEGER) AS sql_attempts,
+    CASE WHEN o = 'gave_up' THEN 'no generator' ELSE '' END AS sql_errors, coalesce(row_count, 0) AS row_count,
+    coalesce(q.counts, '') AS pii_input, coalesce(a.counts, '') AS pii_masked_output, '' AS pii_guard_masked,
+    'classify_intent' || CASE WHEN intent = 'adhoc' THEN ',generate_sql' ELSE '' END || CASE WHEN p.answer IS NOT NULL THEN ',compose_answer' ELSE '' END AS llm_calls
+  FROM pairs p LEFT JOIN asked ON request_id = p.conv_id LEFT JOIN counts q ON q.id = p.conv_id * 100000 + p.turn
+  LEFT JOIN counts a ON p.answer IS NOT NULL AND a.id = p.conv_id * 100000 + p.turn + 1""")]
+_ROLLUP_SQL = """
+SELECT substr(r.ts, 1, 10) AS day, r.session_id, count(*) AS turns, sum((outcome = 'answered')::INT)::BIGINT AS answered, sum((outcome = 'gave_up')::INT)::BIGINT AS gave_up,
+  sum((outcome = 'error')::INT)::BIGINT AS error, sum(sql_attempts)::BIGINT AS attempts, coalesce(any_value(t.pii_input), '') AS pii_input
+FROM records r LEFT JOIN (
+  SELECT day, session_id, string_agg(entity || '=' || n, ',' ORDER BY entity) AS pii_input FROM (
+    SELECT day, session_id, split_part(x, '=', 1) AS entity, sum(CAST(split_part(x, '=', 2) AS BIGINT))::BIGINT AS n FROM (
+      SELECT substr(ts, 1, 10) AS day, session_id, unnest(string_split(pii_input, ',')) AS x FROM records WHERE pii_input <> '') z GROUP BY ALL) y
+  GROUP BY ALL) t ON t.day = substr(r.ts, 1, 10) AND t.session_id = r.session_id
+GROUP BY substr(r.ts, 1, 10), r.session_id"""
+
+
 @query("audit_records", None)
 def q_audit_records(spark, d):
-    return A.audit_records(spark, T(spark, d))
+    """L1, maps and calls as text."""
+    return A.flat_records(A.audit_records(spark, T(spark, d)))
+
+
+REGISTRY["audit_records"] = (q_audit_records, with_views("SELECT * FROM records", *_AUDIT_CTES))
+
+# A masking that misses phone numbers and known values, so that the guard has something to find
+MISSES_PHONES = replace(DEFAULT, detectors=replace(DEFAULT.detectors, regex=("SSN", "CREDIT_CARD", "EMAIL"), known_values=False))
+REGEX_GUARD = replace(DEFAULT, detectors=replace(DEFAULT.detectors, known_values=False))
 
 
 @query("audit_guard_totals", None)
 def q_audit_guard_totals(spark, d):
-    return A.guard_totals(A.audit_records(spark, T(spark, d)))
+    """L2 with a planted miss: what the guard finds after a masking without the phone detector."""
+    return A.guard_totals(A.audit_records(spark, T(spark, d), MISSES_PHONES, REGEX_GUARD))
+
+
+_MISSED_SRC = "(SELECT id, id // 100000 AS session_id, masked AS t FROM masked_turns)"
+REGISTRY["audit_guard_totals"] = (q_audit_guard_totals, with_views(
+    """SELECT p.conv_id AS session_id, p.turn_number AS turn, 'PHONE' AS entity,
+  CAST(sum(f.n * CASE WHEN f.id % 100000 = p.turn THEN 1 + coalesce((SELECT max((intent = 'adhoc')::INT) FROM requests WHERE request_id = p.conv_id), 0) ELSE 1 END) AS BIGINT) AS n
+FROM (SELECT u.conv_id, u.turn, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) AS turn_number, a.turn AS answered
+      FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' AND a.text IS NOT NULL WHERE u.role = 'user') p
+JOIN found f ON f.id IN (p.conv_id * 100000 + p.turn, p.conv_id * 100000 + p.answered) GROUP BY ALL""",
+    *CP.sql_chosen(TURNS_SRC, False, entities=("SSN", "CREDIT_CARD", "EMAIL")), ("masked_turns", CP.sql_masked(TURNS_SRC)),
+    ("found", f"SELECT id, count(*) AS n FROM ({CP.sql_regex_spans(_MISSED_SRC, 'id, session_id', 'PHONE')}) z GROUP BY id")))
 
 
 @query("audit_calls", None)
@@ -326,33 +377,46 @@ def q_audit_calls(spark, d):
     return A.call_metadata(A.audit_records(spark, T(spark, d)))
 
 
+REGISTRY["audit_calls"] = (q_audit_calls, with_views("""
+SELECT session_id, turn, node, CAST(length(payload) AS INTEGER) AS chars, substr(sha256(payload), 1, 16) AS sha256, CAST(0 AS INTEGER) AS guard_types, FALSE AS payload_kept
+FROM (SELECT session_id, turn, unnest(string_split(llm_calls, ',')) AS node, question, answer FROM records) r,
+  LATERAL (SELECT CASE WHEN node = 'compose_answer' THEN answer ELSE question END AS payload)""", *_AUDIT_CTES))
+
+
 @query("sink_audit_json", None)
 def q_sink_audit_json(spark, d):
     """S4 + L4: write the audit records as JSON lines (append) to the shared folder, read them back and roll up."""
     from ledgerguard.session import scratch_path
     path = scratch_path(spark, "audit")
     A.write_audit(A.audit_records(spark, T(spark, d)), path, run="1")
-    return A.audit_rollup(spark.read.schema(A.AUDIT_READ_SCHEMA).json(path)).drop("day")
+    return A.audit_rollup(spark.read.schema(A.AUDIT_READ_SCHEMA).json(path))
 
 
 @query("audit_rollup", None)
 def q_audit_rollup(spark, d):
-    return A.audit_rollup(A.audit_records(spark, T(spark, d))).drop("day")
+    return A.audit_rollup(A.audit_records(spark, T(spark, d)))
 
 
-@query("leak_scan_outgoing", "SELECT '' AS source, CAST(NULL AS BIGINT) AS id, '' AS entity, '' AS value WHERE FALSE")
+REGISTRY["sink_audit_json"] = (q_sink_audit_json, with_views(_ROLLUP_SQL, *_AUDIT_CTES))
+REGISTRY["audit_rollup"] = (q_audit_rollup, REGISTRY["sink_audit_json"][1])
+
+
+@query("leak_scan_outgoing", None)
 def q_leak_scan_outgoing(spark, d):
-    """G3 over what leaves: no customer value of any session in its audit records (questions, answers) or in
-    the masked side of the governed report. ``leak_scan`` over the raw notes is the positive control."""
+    """G3 over what leaves: no value of any customer (names, postcodes and all) in the audit records or in the masked side of the
+    governed report. The raw notes go through the same scan as a control that must show what masking took away."""
     t = T(spark, d)
     audit = A.audit_records(spark, t)
     report = q_governed_contact_report(spark, d)
     texts = (audit.select(F.lit("audit").alias("source"), F.col("session_id").alias("id"), F.concat_ws(" | ", "question", "answer").alias("text"))
-             .unionByName(report.select(F.lit("report").alias("source"), F.col("contract_id").alias("id"), F.col("masked_answer").alias("text"))))
-    cu = t["customers"]
-    cols = ("AddressLine1", "Phone", "Email", "SSN")  # values that no everyday word equals
-    values = cu.select(F.explode(F.array(*[F.struct(F.col(c).alias("value"), F.lit(c).alias("entity")) for c in cols])).alias("v")).select("v.*")
-    return M.leak_scan(texts, "text", ["source", "id"], values).distinct()
+             .unionByName(report.select(F.lit("report").alias("source"), F.col("contract_id").alias("id"), F.col("masked_answer").alias("text")))
+             .unionByName(t["contract_notes"].select(F.lit("control").alias("source"), F.col("ContractId").alias("id"), F.col("note").alias("text"))))
+    return M.leak_scan(texts, "text", ["source", "id"], CP._leak_values(spark, d)).distinct()
+
+
+REGISTRY["leak_scan_outgoing"] = (q_leak_scan_outgoing, with_views(
+    "SELECT 'control' AS source, ContractId AS id, entity, value FROM (SELECT DISTINCT ContractId, entity, canon AS value FROM ("
+    + CP.sql_literal_offsets("src", "ContractId, entity, canon") + ") o) l", *CP._LEAK_CTES))
 
 
 # --- E2 ----------------------------------------------------------------------------------------
@@ -478,6 +542,16 @@ def q_detect_names(spark, d):
                         gazetteer_from_customers(t["customers"]))
 
 
+REGISTRY["detect_names"] = (q_detect_names, with_views(
+    "SELECT ContractId, CAST(\"start\" AS INTEGER) AS \"start\", CAST(\"end\" AS INTEGER) AS \"end\", value, entity, score FROM ("
+    + CP.sql_literal_offsets("found", "ContractId, entity, score") + ") z",
+    ("names", """SELECT name AS value, entity, score FROM (
+      SELECT FirstName AS name, 'PERSON' AS entity, 0.85::DOUBLE AS score FROM customers UNION SELECT LastName, 'PERSON', 0.85::DOUBLE FROM customers
+      UNION SELECT AddressLine1, 'ADDRESS', 0.7::DOUBLE FROM customers) n WHERE length(name) >= 3"""),
+    ("words", "SELECT value, entity, score, unnest(list_distinct(string_split_regex(lower(value), '[^\\p{L}\\p{N}_]+'))) AS word FROM names"),
+    ("texts", "SELECT DISTINCT ContractId, unnest(string_split_regex(lower(note), '[^\\p{L}\\p{N}_]+')) AS word FROM contract_notes"),
+    ("found", "SELECT DISTINCT n.ContractId, n.note AS t, w.value, w.entity, w.score FROM words w JOIN texts x ON x.word = w.word AND w.word <> '' JOIN contract_notes n ON n.ContractId = x.ContractId")))
+
 NAME_MODEL = replace(DEFAULT, detectors=replace(DEFAULT.detectors, name_model="name_tagger"))
 
 

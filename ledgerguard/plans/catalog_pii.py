@@ -114,17 +114,17 @@ WHERE ("start" = 0 OR NOT regexp_matches(substr(t, "start", 1), {WORD_RE2}))
   AND ("start" + length(value) = length(t) OR NOT regexp_matches(substr(t, "start" + length(value) + 1, 1), {WORD_RE2}))"""
 
 
-def sql_known_spans() -> str:
-    src = (f"(SELECT n.id, n.session_id, n.t, kv.value, kv.entity FROM {NOTES_SRC} n "
-           f"JOIN kv ON kv.session_id = n.session_id WHERE length(kv.value) >= {P.KNOWN_VALUE_MIN_LENGTH})")
+def sql_known_spans(texts: str = NOTES_SRC, customer: str = "session_id") -> str:
+    src = (f"(SELECT n.id, n.session_id, n.t, kv.value, kv.entity FROM {texts} n "
+           f"JOIN kv ON kv.session_id = n.{customer} WHERE length(kv.value) >= {P.KNOWN_VALUE_MIN_LENGTH})")
     base = sql_literal_offsets(src, "id, session_id, entity")
     return f"SELECT id, session_id, \"start\", \"end\", value, entity, {P.entity_rank('PERSON', 'known')} AS rank FROM ({base}) k"
 
 
-def sql_all_spans(src: str, with_known: bool) -> str:
-    parts = [sql_regex_spans(src, "id, session_id", e) for e in P.REGEX_ENTITIES]
+def sql_all_spans(src: str, with_known: bool, customer: str = "session_id", entities: tuple[str, ...] = P.REGEX_ENTITIES) -> str:
+    parts = [sql_regex_spans(src, "id, session_id", e) for e in entities]
     if with_known:
-        parts.append(sql_known_spans())
+        parts.append(sql_known_spans(src if customer != "session_id" else NOTES_SRC, customer))
     return "\nUNION ALL ".join(f"SELECT id, session_id, \"start\", \"end\", value, entity, rank FROM ({p}) q{i}"
                                for i, p in enumerate(parts))
 
@@ -133,11 +133,11 @@ ALLOW_SQL = ("(lower(trim(value)) IN (" + ", ".join(_q(t.lower()) for t in P.ALL
              + " OR ".join(f"regexp_full_match(trim(value), {_q(p)})" for p in P.ALLOW_PATTERNS) + ")")
 
 
-def sql_chosen(src: str, with_known: bool) -> list[tuple[str, str]]:
+def sql_chosen(src: str, with_known: bool, customer: str = "session_id", entities: tuple[str, ...] = P.REGEX_ENTITIES) -> list[tuple[str, str]]:
     """CTEs: raw spans -> possessive trim -> allow-list -> earliest/longest/rank non-overlap."""
     trim = ("CASE WHEN value LIKE '%''s' OR value LIKE '%’s' THEN \"end\" - 2 ELSE \"end\" END")
     return [
-        ("sp_raw", sql_all_spans(src, with_known)),
+        ("sp_raw", sql_all_spans(src, with_known, customer, entities)),
         ("sp", f"SELECT id, session_id, \"start\", {trim} AS \"end\", "
                f"CASE WHEN value LIKE '%''s' OR value LIKE '%’s' THEN substr(value, 1, length(value) - 2) ELSE value END AS value, "
                f"entity, rank FROM sp_raw"),

@@ -36,6 +36,7 @@ from ledgerguard.functions import patterns as P
 from ledgerguard.functions import spans as S
 from ledgerguard.functions.text import payload_digest
 from ledgerguard.operators import masking as M
+from ledgerguard.operators.audit import with_event_time, with_notes
 from ledgerguard.plans.ranking import null_safe_join
 from ledgerguard.session import checkpoint_dir, scratch_path
 from ledgerguard.sources.policy import DEFAULT, Policy
@@ -60,21 +61,6 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str = "conversations",
     return reader.parquet(f"{sf_dir.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
 
 
-def with_notes(turns: DataFrame, notes: DataFrame | None) -> DataFrame:
-    """Turns of the user with the note of the contract they talk about (``ContractId``, ``note``) behind the text."""
-    if notes is None:
-        return turns
-    notes = notes.select(F.col("ContractId").alias("_contract"), "note")
-    text = F.when((F.col("role") == "user") & F.col("note").isNotNull(), F.concat_ws(" | ", "text", "note")).otherwise(F.col("text"))
-    return turns.join(notes, F.col("conv_id") == F.col("_contract"), "left").withColumn("text", text).drop("_contract", "note")
-
-
-def with_event_time(df: DataFrame) -> DataFrame:
-    gap = F.col("turn") * 25 * 60 * (1 + F.col("conv_id") % 4)
-    base = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return df.withColumn("ts", (base.cast("long") + F.col("conv_id") * 86400 + gap).cast("timestamp"))
-
-
 def _run(query, wait_s: float | None = None) -> None:
     """Wait for the stream to end by itself; its failure is raised here. After ``wait_s``, if given, it is
     stopped and ``StreamNotFinished`` is raised."""

@@ -29,7 +29,7 @@ def test_records(spark, audit):
 
 
 def test_payloads_are_kept_only_if_asked(spark):
-    kept = A.audit_records(spark, contract_tables(spark, SF_SMALL), replace(DEFAULT, exit=Exit(keep_payloads=True)))
+    kept = A.audit_records(spark, contract_tables(spark, SF_SMALL), replace(DEFAULT, exit=Exit(keep_payloads=True))).orderBy("session_id", "turn")
     row = kept.limit(1).collect()[0]
     assert row.llm_calls[0].payload == row.question
 
