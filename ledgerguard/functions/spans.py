@@ -11,6 +11,9 @@ form ``(?s)\\G(.*?)(p)`` with two ``regexp_extract_all`` calls. Matches are neve
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,13 +138,42 @@ def known_value_pattern(value: Column) -> Column:
     return F.concat(F.lit(f"(?iU)(?<!{P.WORD_CHAR})"), F.array_join(quoted, r"\s+"), F.lit(f"(?!{P.WORD_CHAR})"))
 
 
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def _literal_offsets(text: Column, value: Column) -> Column:
+    """struct<out, good>: the places of a value in a text that has ASCII characters and single blanks only, by plain
+    search. ``good`` is false where one lies inside a word; then the places must be found by pattern, as the search goes
+    on behind a match and not inside it."""
+    low, literal = F.lower(text), F.lower(value)
+    n = ((F.length(low) - F.length(F.replace(low, literal, F.lit("")))) / F.length(literal)).cast("int")
+    init = F.struct(F.array().cast(OFFSETS).alias("out"), F.lit(1).alias("pos"), F.lit(True).alias("good"))
+
+    def step(acc, _):
+        at = F.call_function("locate", literal, low, acc["pos"])
+        end = at - 1 + F.length(literal)
+        inside = F.substr(low, at - 1, F.when(at > 1, 1).otherwise(0)).rlike("[a-z0-9_]") | F.substr(low, end + 1, F.lit(1)).rlike("[a-z0-9_]")
+        return F.struct(F.concat(acc["out"], F.array(F.struct((at - 1).alias("start"), end.alias("end")))).alias("out"),
+                        (end + 1).alias("pos"), (acc["good"] & ~inside).alias("good"))
+
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), init, step)
+
+
 def known_spans(text: Column, known: Column) -> Column:
     """Spans of a row's known values; ``known`` is ``array<struct<value, entity, pattern>>``. Every value
-    is matched on its own, so a span always carries the entity of the value that it matched."""
+    is matched on its own, so a span always carries the entity of the value that it matched. Plain texts are searched
+    for plain values; other texts and values, and places inside words, go by the value's pattern."""
     rank = P.entity_rank("PERSON", "known")
-    per_value = F.transform(known, lambda v: F.transform(
-        match_offsets(text, v["pattern"]),
-        lambda o: _span(o["start"], o["end"], v["entity"], "known", rank)))
+    plain = _ascii(text) & ~F.rlike(text, F.lit(r"\s\s|[\t\n\x0b\f\r]"))
+
+    def offsets(v: Column) -> Column:
+        by_pattern = match_offsets(text, v["pattern"])
+        found = F.element_at(F.transform(F.array(_literal_offsets(text, v["value"])),
+                                         lambda x: F.when(x["good"], x["out"]).otherwise(by_pattern)), 1)
+        return F.when(plain & _ascii(v["value"]), found).otherwise(by_pattern)
+
+    per_value = F.transform(known, lambda v: F.transform(offsets(v), lambda o: _span(o["start"], o["end"], v["entity"], "known", rank)))
     return F.coalesce(F.flatten(per_value), F.array().cast(SPANS))
 
 
@@ -198,9 +230,26 @@ def resolve(text: Column, spans: Column, policy: Policy = DEFAULT) -> Column:
     return F.when(F.size(spans) > 0, chosen).otherwise(F.array().cast(SPANS))
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str]:
+    """(pattern of the characters that fold otherwise than to their lower case, JSON map of what they fold to), by
+    Unicode's full case folding. The capital sigma is one of them: its lower case depends on what follows it."""
+    folds = {chr(i): chr(i).casefold() for i in range(0x110000) if not 0xD800 <= i < 0xE000}
+    folds = {c: f for c, f in folds.items() if f != c.lower() or c == "Σ"}
+    return "[" + "".join(folds) + "]", json.dumps(folds)
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding: lower case, and letter by letter where a text holds characters that fold otherwise."""
+    pattern, folds = _folds()
+    table = F.from_json(F.lit(folds), "map<string,string>")
+    by_letter = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), F.lower(x))), "")
+    return F.when(_ascii(c), F.lower(c)).when(c.rlike(pattern), by_letter).otherwise(F.lower(c))
+
+
 def normalize_value(c: Column) -> Column:
-    """whitespace collapsed, trimmed, lower-cased (Python casefold differs only for a few letters)."""
-    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    """whitespace collapsed, trimmed, case-folded."""
+    return casefold(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
 
 
 def display_value(c: Column) -> Column:

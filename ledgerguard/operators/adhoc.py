@@ -15,12 +15,13 @@ Nothing is run but the one masked job; a refusal costs no job at all.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerguard.operators import masking as M
@@ -154,3 +155,31 @@ def governed_query(tables: Mapping[str, DataFrame], sql: str, args: Mapping[str,
     m = M.mask_rows(plain, types, df.columns, df.columns, session_col=SESSION, known_values=known_values, vault=vault, policy=policy)
     return Governed(ANSWERED, None, types, m.cells, m.vault)
 
+
+RECORD = ("query string, sql string, outcome string, sql_attempts int, sql_errors array<string>, row_count long, "
+          "pii_columns map<string,string>, pii_masked_output map<string,int>, latency_ms long")
+
+
+def run_governed(tables: Mapping[str, DataFrame], queries: Mapping[str, tuple[str, Mapping[str, object]]], out_dir: str,
+                 contracts: DataFrame | None = None, known_values: DataFrame | None = None, policy: Policy = DEFAULT) -> DataFrame:
+    """Run queries (name -> text, parameters) one after another, write the masked rows of each below ``out_dir`` and
+    return a record of each run (L1): the text (masked as text of machines is), the outcome, rows and masked values as
+    counted while they were written, entity types by column, and the time it took. One pass over each result."""
+    spark = next(iter(tables.values())).sparkSession
+    records = []
+    for name, (sql, args) in queries.items():
+        begin = time.monotonic()
+        got = governed_query(tables, sql, args, contracts, session=name, known_values=known_values, policy=policy)
+        row_count, masked = 0, {}
+        if got.rows is not None:
+            seen = Observation()
+            found = [F.sum(F.coalesce(F.try_element_at(F.col("pii_counts"), F.lit(e)), F.lit(0))).alias(e) for e in policy.shown]
+            got.rows.observe(seen, F.count(F.lit(1)).alias("__rows"), *found).drop(SESSION, "pii_counts").write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
+            metrics = dict(seen.get)
+            row_count = metrics.pop("__rows")
+            masked = {e: int(n) for e, n in metrics.items() if n}
+        latency = int(1000 * (time.monotonic() - begin))
+        records.append((name, sql, got.verdict, 1, [got.reason] if got.reason else [], row_count, got.entities, masked, latency))
+    written = spark.createDataFrame(records, RECORD)
+    clean = M.mask_text(written, "sql", ["query"], session_col="query", out_col="masked_sql", policy=policy.fast()).cells
+    return clean.withColumn("sql", F.col("masked_sql")).select(*written.columns)

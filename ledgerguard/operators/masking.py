@@ -30,6 +30,7 @@ from ledgerguard.session import written
 from ledgerguard.sources.policy import DEFAULT, Policy
 
 KNOWN = "array<struct<value:string,entity:string,pattern:string>>"
+FEW_VALUES = 1_000_000  # values whose key words (some tens of MB at most) are broadcast
 TOKENS = "array<struct<_i:int,start:int,end:int,entity:string,token:string>>"
 
 
@@ -232,6 +233,8 @@ def leak_scan(texts: DataFrame, text_col: str, keys: list[str], values: DataFram
              .select("value", "entity", F.col("k.word").alias("word"),
                      S.known_value_pattern(F.col("value")).alias("pattern")))
     tw = texts.select(*keys, F.explode(F.array_distinct(S.words(F.col(text_col)))).alias("word"))
+    if v.count() <= FEW_VALUES:  # no more key words than values: words of texts that are none stay where they are
+        tw = tw.join(F.broadcast(keyed.select("word").distinct()), "word", "left_semi")
     cand = (tw.join(keyed, "word")
             .groupBy(*keys).agg(F.collect_set(F.struct("value", "entity", "pattern")).alias("_cand")))
     hits = (texts.select(*keys, text_col).join(cand, keys)

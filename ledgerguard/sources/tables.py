@@ -265,6 +265,26 @@ def materialize(tables: dict[str, DataFrame], out_dir: str, names=CONTRACT_TABLE
         df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{n}")
 
 
+# Buckets and sort keys of saved tables: what the report joins receivables and details on
+BUCKETS = {"receivables": "Id", "receivabledetails": "ReceivableId", "leasefinances": "ContractId", "loanfinances": "ContractId", "contracts": "Id"}
+
+
+def save_bucketed(tables: dict[str, DataFrame], database: str, buckets: int, names=CONTRACT_TABLES) -> None:
+    """The contract tables as tables of a catalog, those that are joined again and again bucketed and sorted by
+    their key, so that their joins need no exchange. ``buckets``: for big data, table bytes / 256 MB or so."""
+    spark = next(iter(tables.values())).sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for n in names:
+        df, key = tables[n], BUCKETS.get(n)
+        # one writer for each bucket, so that a bucket is one sorted file
+        writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key) if key else df.write
+        writer.mode("overwrite").format("parquet").saveAsTable(f"{database}.{n}")
+
+
+def bucketed_tables(spark: SparkSession, database: str, names=CONTRACT_TABLES) -> dict[str, DataFrame]:
+    return {n: spark.table(f"{database}.{n}") for n in names}
+
+
 def derive_requests(customer: DataFrame) -> DataFrame:
     """A batch of questions derived from the customer table: one request per customer, for contract
     number ``custkey * 11`` (about one in eleven does not exist), with padding to strip, an intent
