@@ -26,7 +26,7 @@ from ledgerguard.functions import patterns as P
 from ledgerguard.functions import spans as S
 from ledgerguard.operators.vault import VAULT_COLUMNS, assign_tokens, session_known
 from ledgerguard.plans.ranking import null_safe_join
-from ledgerguard.session import written
+from ledgerguard.session import spread, written
 from ledgerguard.sources.policy import DEFAULT, Policy
 
 KNOWN = "array<struct<value:string,entity:string,pattern:string>>"
@@ -77,7 +77,7 @@ def mask_cells(cells: DataFrame, keys: list[str], order: list[str], text_col: st
     holds spans of other detectors. Every input row gives one output row."""
     text = F.col(text_col)
     identity = list(dict.fromkeys([*keys, *order, session_col, text_col, *[c for c in (entity_col, col_idx_col) if c]]))
-    c = cells.withColumn("_rid", row_id(*[F.col(x) for x in identity]))
+    c = spread(cells.withColumn("_rid", row_id(*[F.col(x) for x in identity])), "_rid")
     found = c.withColumn("_session", F.col(session_col))
     known = None
     if known_values is not None and policy.detectors.known_values:
@@ -180,7 +180,7 @@ def unmask(df: DataFrame, text_col: str, keys: list[str], vault: DataFrame, sess
     the session's vault stay as written. Every input row gives one output row."""
     shown = [e for e, r in policy.shown.items() if r]
     text = F.col(text_col)
-    marked = df.withColumn("_rid", row_id(F.col(session_col), text))  # equal texts of a session unmask alike
+    marked = spread(df.withColumn("_rid", row_id(F.col(session_col), text)), "_rid")  # equal texts of a session unmask alike
     toks = marked.select("_rid", F.col(session_col).alias("session_id"),
                          F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(P.TOKEN_PATTERN), F.lit(0)))
                          .alias("_i", "token"))
@@ -232,6 +232,7 @@ def leak_scan(texts: DataFrame, text_col: str, keys: list[str], values: DataFram
              .agg(F.min(F.struct("_f", (-F.length("word")).alias("_l"), "word")).alias("k"))
              .select("value", "entity", F.col("k.word").alias("word"),
                      S.known_value_pattern(F.col("value")).alias("pattern")))
+    texts = spread(texts.select(*keys, text_col), *keys)
     tw = texts.select(*keys, F.explode(F.array_distinct(S.words(F.col(text_col)))).alias("word"))
     if v.count() <= FEW_VALUES:  # no more key words than values: words of texts that are none stay where they are
         tw = tw.join(F.broadcast(keyed.select("word").distinct()), "word", "left_semi")
