@@ -24,6 +24,7 @@ KEYS = {
     "leasefundings": [("LeaseFinanceId", "PayableInvoiceId")],
     "receivables": [("Id",)],
 }
+# Value lists and foreign keys of the contract schema
 ENUMS = {
     ("contracts", "Status"): ("Commenced", "PaidOff", "Restructure", "Rebook"),
     ("contracts", "WorkflowStatus"): ("Documents Submitted", "Documents Revision", "Submitted", "Approved", "Commenced"),

@@ -67,16 +67,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 SMALL_PART = 32 << 20  # bytes of input for each core below which reading gives too few tasks
+TINY = 1 << 20  # bytes of input that are done sooner than dealt
 
 
 def spread(df, *columns: str):
     """``df`` dealt over all cores by the hash of ``columns``, if its input files are too small for reading to make a task
     for each core: for work that costs much more than reading. Large inputs, whose files give tasks enough, stay as they
-    are; so a shuffle here is always a small one. Only the plan is looked at."""
+    are; so a shuffle here is always a small one. Tiny inputs are left alone too. Only the plan is looked at."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores, *columns) if size < cores * SMALL_PART else df
+    return df.repartition(cores, *columns) if TINY < size < cores * SMALL_PART else df
 
 
 def written(df, name: str):
