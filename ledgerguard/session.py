@@ -74,6 +74,8 @@ def spread(df, *columns: str):
     """``df`` dealt over all cores by the hash of ``columns``, if its input files are too small for reading to make a task
     for each core: for work that costs much more than reading. Large inputs, whose files give tasks enough, stay as they
     are; so a shuffle here is always a small one. Tiny inputs are left alone too. Only the plan is looked at."""
+    if getattr(df, "_jdf", None) is None:  # no classic plan to look at (Spark Connect)
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
