@@ -2,8 +2,8 @@
 
 Interface: a DataFrame of entity spans ``(row keys, start, end, label, score)``; labels are mapped to policy
 entity types (LOCATION -> ADDRESS, ...) and spans under the minimum score are dropped. The default
-implementation is a gazetteer join (no model in the container): gazetteer words are matched against each
-text's distinct words by an equi-join, and only matching (text, name) pairs are located with the
+implementation is a gazetteer join (no model in the container): names are keyed by their words and matched against each
+text's runs of words by an equi-join, and only matching (text, name) pairs are located with the
 name's word-bounded pattern. Any other detector that gives the same DataFrame can take its place in front of ``finalize_names``;
 ``with_name_spans`` hands the spans to masking (``extra_spans_col``), where they rank behind known values.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerguard.functions import patterns as P
 from ledgerguard.functions import spans as S
+from ledgerguard.operators.masking import text_keys, value_keys
 from ledgerguard.sources.policy import DEFAULT, Policy
 
 # Gazetteer labels and scores of the default plug-in
@@ -41,15 +42,11 @@ def finalize_names(spans: DataFrame, min_score: float = P.NER_MIN_SCORE) -> Data
 
 def detect_names(texts: DataFrame, text_col: str, keys: list[str], gazetteer: DataFrame,
                  min_score: float = P.NER_MIN_SCORE) -> DataFrame:
-    tw = texts.select(*keys, F.explode(F.array_distinct(S.words(F.col(text_col)))).alias("word"))
-    gw = gazetteer.select("name", "label", "score", F.explode(F.array_distinct(S.words(F.col("name")))).alias("word"))
-    often = gw.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
-    # a name is looked up by the word that fewest names have, so that common words are no join keys
-    first = (gw.join(often, "word").groupBy("name", "label", "score")
-             .agg(F.min(F.struct("_n", "word")).alias("k")).select("name", "label", "score", F.col("k.word").alias("word")))
-    cand = tw.join(first, "word").groupBy(*keys).agg(
-        F.collect_set(F.struct("name", "label", "score", S.known_value_pattern(F.col("name")).alias("pattern"))).alias("_c"))
-    j = texts.select(*keys, text_col).join(cand, keys)
+    first = value_keys(gazetteer.select("name", "label", "score"), "name")
+    texts = texts.select(*keys, text_col).repartition(*keys)
+    cand = (text_keys(texts, text_col, keys, first).join(first, "key").groupBy(*keys)
+            .agg(F.collect_set(F.struct("name", "label", "score", S.known_value_pattern(F.col("name")).alias("pattern"))).alias("_c")))
+    j = texts.join(cand, keys)
     spans = j.select(*keys, text_col, F.explode("_c").alias("g")).select(
         *keys, text_col, "g.name", "g.label", "g.score", F.explode(S.match_offsets(F.col(text_col), F.col("g.pattern"))).alias("o"))
     out = spans.select(*keys, F.col("o.start").alias("start"), F.col("o.end").alias("end"),

@@ -72,9 +72,13 @@ def contract_scope(tables: dict, contract_ids: DataFrame | None = None) -> dict[
                     keys = scoped[src].select("contract_id", F.col(scol).alias("_k"))
                     if not (scol == "Id" and src in CONTRACT_KEYS):  # a primary key of a table with its own contract key is distinct
                         keys = keys.distinct()
-                    part = tables[dst].join(keys, F.col(dcol) == F.col("_k")).drop("_k")
-                    reached.setdefault(dst, []).append(part)
-        for dst, parts in reached.items():
+                    reached.setdefault(dst, []).append((dcol, keys))
+        for dst, ways in reached.items():
+            if len(ways) > 1 and len({dcol for dcol, _ in ways}) == 1:  # distinct before the join: keys and rows, not their pairs
+                keys = reduce(DataFrame.unionByName, [k for _, k in ways]).distinct()
+                scoped[dst] = tables[dst].distinct().join(keys, F.col(ways[0][0]) == F.col("_k")).drop("_k")
+                continue
+            parts = [tables[dst].join(keys, F.col(dcol) == F.col("_k")).drop("_k") for dcol, keys in ways]
             scoped[dst] = reduce(DataFrame.unionByName, parts).distinct() if len(parts) > 1 else parts[0]
         frontier = set(reached)
     out = {}
