@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerguard.functions import patterns as P
 from ledgerguard.functions import spans as S
 from ledgerguard.operators.masking import text_keys, value_keys
+from ledgerguard.session import written
 from ledgerguard.sources.policy import DEFAULT, Policy
 
 # Gazetteer labels and scores of the default plug-in
@@ -42,7 +43,7 @@ def finalize_names(spans: DataFrame, min_score: float = P.NER_MIN_SCORE) -> Data
 
 def detect_names(texts: DataFrame, text_col: str, keys: list[str], gazetteer: DataFrame,
                  min_score: float = P.NER_MIN_SCORE) -> DataFrame:
-    first = value_keys(gazetteer.select("name", "label", "score"), "name")
+    first = value_keys(written(gazetteer.select("name", "label", "score"), "names"), "name")
     texts = texts.select(*keys, text_col).repartition(*keys)
     cand = (text_keys(texts, text_col, keys, first).join(first, "key").groupBy(*keys)
             .agg(F.collect_set(F.struct("name", "label", "score", S.known_value_pattern(F.col("name")).alias("pattern"))).alias("_c")))
