@@ -7,10 +7,11 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerguard.session import checkpoint_dir
+from ledgerguard.session import checkpoint_dir, shuffles_removed
 
 # Word separators of every contract in this subpackage: space and the control characters 0x09 to 0x0D.
 SEPARATORS = "\t\n\x0b\x0c\r "
@@ -28,11 +29,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder below spark.checkpoint.dir and read it back.
 
-    The written table cuts the lineage and survives lost executors; every reader sees the same rows.
+    The written table cuts the lineage and survives lost executors; every reader sees the same rows. The shuffles
+    behind it are read by nobody from then on and are removed.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,10 +70,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def gives_back(run):
+    """``run``; at its end the worker, which lives on for other tasks, gives back the memory that Arrow keeps for later."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return whole
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package's code at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(gives_back(run), schema)
 
 
 HOT_SHARE = 1000  # a key with more than 1/HOT_SHARE of all rows is hot, so at most HOT_SHARE keys are

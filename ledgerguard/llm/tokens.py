@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from ledgerguard.llm.bytebpe import ByteBpe, LatinWords
 
 CACHE_WORDS = 300_000  # words of one generation of a cache
-TABLE_WORDS = 1_000_000  # words of a table
+TABLE_WORDS = 300_000  # words of a table
 JOINED_WORDS = 500  # words encoded together
 PART_CHARS = 400_000  # texts are worked on in runs of about so many characters
 TABLE_CHARS = 4_000_000  # the same where words are looked up in a table
