@@ -79,3 +79,24 @@ def test_stream_mask_and_audit_over_several_batches(spark, tmp_path):
     audit = spark.read.schema(SP.AUDIT_STREAM_SCHEMA).json(SP.stream_audit(spark, str(tmp_path), str(tmp_path / "a"), files_per_batch=1))
     assert sorted((r.conv_id, r.turn, r.findings) for r in audit.collect()) == [(7, i, 2) for i in range(3)] + [(8, i, 0) for i in range(3)]
     assert audit.where(F.length("sha256") != 16).count() == 0
+
+
+def test_streams_make_notes_for_their_conversations_only_and_miss_none(spark, tmp_path, monkeypatch):
+    """The first list of conversations lacks one, as if its file had come after the look: the stream goes on with a new list."""
+    from ledgerguard.operators.audit import with_notes
+    from ledgerguard.streaming import pipeline as SP
+    rows = [(1, 0, "user", "my mail is a@b.org"), (1, 1, "assistant", "ok"), (2, 0, "user", "hi"), (None, 0, "user", "none"), (9, 0, "user", None)]
+    spark.createDataFrame(rows, SP.CONVERSATION_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    notes = spark.createDataFrame([(1, "call 555-0001"), (2, "call 555-0002"), (2, "call 555-0003"), (7, "call 555-0007")], "ContractId long, note string")
+    real, lists = SP.asked_conversations, []
+
+    def some_at_first(*args):
+        lists.append(real(*args))
+        return lists[-1].where("conv_id <> 2") if len(lists) == 1 else lists[-1]
+
+    monkeypatch.setattr(SP, "asked_conversations", some_at_first)
+    path = SP.stream_audit(spark, str(tmp_path), out_dir=f"{tmp_path}/out", notes=notes)
+    got = sorted((r.conv_id or 0, r.turn, r.chars) for r in spark.read.schema(SP.AUDIT_STREAM_SCHEMA).json(path).collect())
+    turns = with_notes(spark.createDataFrame(rows, SP.CONVERSATION_SCHEMA), notes)
+    assert got == sorted((r.conv_id or 0, r.turn, len(r.text or "")) for r in turns.collect())
+    assert len(lists) == 2
