@@ -109,3 +109,46 @@ def test_a_second_run_goes_on_where_the_first_ended(spark, source, ran):
 def test_a_bounded_wait_is_an_error(spark, source, tmp_path):
     with pytest.raises(SP.StreamNotFinished):
         SP.stream_vault(spark, source, str(tmp_path / "o"), files_per_batch=1, wait_s=0.2, secret=SECRET)
+
+
+def test_times_beyond_the_years_of_pandas(spark, tmp_path):
+    """Conversations whose days lie after 2262 and after 9999: decided, expired, closed and late as any others."""
+    at = 87_000, 150_000, 3_000_000
+    files = [[(c + i, t, r, x) for c in at[:n + 1] for i, t, r, x in rows] for n, rows in enumerate((
+        [(4, 0, "user", "mail ada@host.example"), (5, 0, "user", "call 555-0142"), (5, 3, "user", "too long: 555-0199")],
+        [(44, 0, "user", "card 4111 1111 1111 1111"), (44, 0, "close", None), (44, 1, "user", "closed")],
+        [(48, 0, "user", "call 555-0143")], [(52, 0, "user", "call 555-0144")]))]
+    folder = tmp_path / "conversations.parquet"
+    folder.mkdir()
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, SP.CONVERSATION_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/p{i}")
+        (name,) = [n for n in os.listdir(tmp_path / f"p{i}") if n.endswith(".parquet")]
+        (folder / f"{i}.parquet").write_bytes((tmp_path / f"p{i}" / name).read_bytes())
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + 60 * i,) * 2)
+    out = f"{tmp_path}/out"
+    SP.stream_vault(spark, str(tmp_path), out, files_per_batch=1, secret=SECRET)
+    turns = spark.read.parquet(str(folder)).where(F.col("role") != SP.CLOSE)
+    got = {(r.conv_id, r.turn): (r.masked, r.status) for r in SP.masked_turns(turns, decisions(spark, out)).collect()}
+    first, later, last = at
+    assert got[first + 4, 0] == ("mail <EMAIL_1>", "ok") and got[first + 5, 0] == ("call <PHONE_1>", "ok") and got[first + 5, 3] == (None, "error")
+    assert got[later + 44, 0] == ("card <CREDIT_CARD_1>", "ok") and got[later + 44, 1] == (None, "error")
+    assert got[last + 48, 0] == got[last + 52, 0] == ("call <PHONE_1>", "ok") and got[first + 52, 0] == (None, "late")
+    opened = {(r.session_id, r.token): r.value for r in SP.reveal(decisions(spark, out), SP.live_keys(spark, out, SECRET)).collect()}
+    assert opened[last + 52, "<PHONE_1>"] == "555-0144" and opened[last + 48, "<PHONE_1>"] is None and opened[later + 44, "<CREDIT_CARD_1>"] is None and opened[first + 4, "<EMAIL_1>"] is None
+
+
+def test_a_failure_of_another_kind_is_raised(spark, tmp_path, monkeypatch):
+    """Its message holds the plan, which names the marker of conversations that came late."""
+    spark.createDataFrame([(1, 0, "user", "hi")], SP.CONVERSATION_SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    notes = spark.createDataFrame([(1, "call 555-0001")], "ContractId long, note string")
+    runs, real = [], SP._run
+
+    def once(query, wait_s=None):
+        runs.append(query)
+        assert len(runs) == 1
+        return real(query, wait_s)
+
+    monkeypatch.setattr(SP, "_run", once)
+    fails = notes.withColumn("note", F.raise_error(F.lit("a broken note")))
+    with pytest.raises(SP.StreamingQueryException, match="a broken note"):
+        SP.stream_audit(spark, str(tmp_path), f"{tmp_path}/out", notes=fails)
