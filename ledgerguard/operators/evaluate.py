@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.operators import contracts as K
+from ledgerguard.plans.bitmap import Bitmap, among, bitmap_of
+from ledgerguard.session import written
 
 
 def golden_diff(actual: DataFrame, expected: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -46,6 +48,27 @@ def report_vs_templates(t: dict, as_of=None) -> DataFrame:
 THRESHOLDS = {"core": 1.0, "adhoc": 0.8, "pii": 0.75}
 
 
+def requested_tables(t: dict) -> dict:
+    """The tables with the rows that the requests' contracts reach, for answers that concern nothing else: a batch of requests
+    meets the large tables where they are read, and what is left of them is written once. Contracts are exactly those asked
+    about; the other tables hold a few rows of other contracts too, which no request meets."""
+    def hashed(df: DataFrame, column: str) -> Bitmap:
+        return bitmap_of(df.select(F.xxhash64(column).alias("key")).distinct(), "key")
+
+    def reached(name: str, column: str, keys: Bitmap) -> DataFrame:
+        return written(among(t[name], F.xxhash64(column), keys), f"asked-{name}")
+
+    asked = written(t["requests"].select(F.trim("seq").alias("_seq")).where(F.col("_seq").isNotNull()).distinct(), "asked")
+    contracts = among(t["contracts"], F.xxhash64("SequenceNumber"), hashed(asked, "_seq"))
+    contracts = written(contracts.join(asked, F.col("SequenceNumber") == F.col("_seq"), "left_semi"), "asked-contracts")
+    ids = hashed(contracts, "Id")
+    leases, loans = reached("leasefinances", "ContractId", ids), reached("loanfinances", "ContractId", ids)
+    receivables = reached("receivables", "EntityId", ids)
+    return {"requests": t["requests"], "contracts": contracts, "customers": t["customers"], "leasefinances": leases, "loanfinances": loans,
+            "payableinvoices": t["payableinvoices"], "leasefundings": reached("leasefundings", "LeaseFinanceId", hashed(leases, "Id")),
+            "receivables": receivables, "receivabledetails": reached("receivabledetails", "ReceivableId", hashed(receivables, "Id"))}
+
+
 SSN_SHAPE = r"\d{3}-\d{2}-\d{4}"
 
 

@@ -147,8 +147,8 @@ CONTACT_SQL = """SELECT cs.contract_id, cs.FirstName || ' ' || cs.LastName AS Cu
   cs.AddressLine1, cs.Zip, cs.CustomerType FROM scoped_customers cs"""
 
 
-def _contact_sheet(spark, d):
-    scoped = SC.contract_scope(_tables(spark, d))
+def _contact_sheet(spark, tables):
+    scoped = SC.contract_scope({n: tables[n] for n in CONTRACT_TABLES})
     scoped["customers"].createOrReplaceTempView("scoped_customers")
     df = spark.sql(CONTACT_SQL)
     policy = replace(DEFAULT, columns={("scoped_customers", c): e for (t, c), e in DEFAULT.columns.items() if t == "customers"})
@@ -158,7 +158,7 @@ def _contact_sheet(spark, d):
 @query("mask_rows", None)
 def q_mask_rows(spark, d):
     """M3: the contact sheet of every contract, classified cells tokenized per contract session."""
-    df, types = _contact_sheet(spark, d)
+    df, types = _contact_sheet(spark, _tables(spark, d))
     m = M.mask_rows(df.withColumn("session_id", F.col("contract_id")), types, ["contract_id"])
     return m.cells.drop("session_id", "pii_counts")
 
@@ -180,9 +180,13 @@ REGISTRY["mask_rows"] = (q_mask_rows, with_views(_MASKED_SHEET, *_SHEET_CTES))
 
 @query("governed_contact_report", None)
 def q_governed_contact_report(spark, d):
-    """Scoped -> classified -> masked -> rendered -> unmasked, per contract; the LLM-facing text holds tokens
-    only, the user-facing text real values (SSN never selected)."""
-    df, types = _contact_sheet(spark, d)
+    return _contact_report(spark, _tables(spark, d))
+
+
+def _contact_report(spark, tables):
+    """Scoped -> classified -> masked -> rendered -> unmasked, per contract of the tables; the LLM-facing text holds
+    tokens only, the user-facing text real values (SSN never selected)."""
+    df, types = _contact_sheet(spark, tables)
     m = M.mask_rows(df.withColumn("session_id", F.col("contract_id")), types, ["contract_id"])
     rendered = m.cells.select(
         "contract_id", "session_id",
@@ -455,10 +459,10 @@ REGISTRY["leak_scan_outgoing"] = (q_leak_scan_outgoing, with_views(
 @query("answer_scoring", None)
 def q_answer_scoring(spark, d):
     """E2 over the answers to all requests and, as the group ``pii``, the governed contact reports. Ad-hoc questions of known
-    contracts fail: there is no SQL generator here."""
-    t = T(spark, d)
-    contacts = SC.contract_scope(_tables(spark, d))["customers"].select("contract_id", "Email", "Phone")
-    cases, answers = E.contact_cases(t, contacts, q_governed_contact_report(spark, d))
+    contracts fail: there is no SQL generator here. All of it is done for the contracts that are asked about."""
+    t = E.requested_tables(T(spark, d))
+    contacts = SC.contract_scope({n: t[n] for n in CONTRACT_TABLES})["customers"].select("contract_id", "Email", "Phone")
+    cases, answers = E.contact_cases(t, contacts, _contact_report(spark, t))
     given = K.answer_requests(t["requests"], t).select("request_id", "intent", "outcome", "rows_json")
     return E.answer_scoring(E.eval_cases(t).unionByName(cases), given.unionByName(answers))
 

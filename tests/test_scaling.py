@@ -86,3 +86,48 @@ def test_mask_rows_shuffles_no_cells(spark):
         ("<PERSON_2>", "None", "None", 2, [("PERSON", 1)]), ("None", "<EMAIL_2>", "<EMAIL_2> and <EMAIL_1>", 2, [("EMAIL", 3)])]
     plan = m.cells._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2  # spans to tokens, tokens to rows; melted cells meet nothing
+
+
+def test_a_bitmap_keeps_all_of_its_keys_and_few_others(spark):
+    from ledgerguard.plans.bitmap import among, bitmap_of
+    keys = spark.range(0, 400_000, 8).select(F.xxhash64("id").alias("key")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS key"))
+    bits = bitmap_of(keys, "key", 60_000)
+    df = spark.range(400_000).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id"))
+    kept = among(df, F.xxhash64("id"), bits)
+    assert kept.where("id % 8 = 0").count() == 50_000 and kept.where("id % 8 <> 0").count() < 350_000 // 25
+    assert among(df, F.col("id"), bitmap_of(keys.where("key IS NULL"), "key")).count() == 0
+
+
+def test_answer_scoring_makes_reports_for_the_contracts_asked_about(spark, monkeypatch):
+    """Of 1500 contracts 137 are asked about: their reports only are made, with the scores of all contracts' reports."""
+    from ledgerguard.operators import evaluate as E
+    from ledgerguard.plans import catalog_governance as G
+    from tests.conftest import SF_SMALL
+    real, made = E.contact_cases, []
+
+    def counted(t, contacts, report):
+        made.append((report.count(), contacts.count(), t["contracts"].count()))
+        return real(t, contacts, report)
+
+    monkeypatch.setattr(E, "contact_cases", counted)
+    got = sorted(map(tuple, G.q_answer_scoring(spark, SF_SMALL).collect()))
+    monkeypatch.setattr(E, "requested_tables", lambda t: t)
+    assert got == sorted(map(tuple, G.q_answer_scoring(spark, SF_SMALL).collect())) and len(got) == 3
+    (reports, contacts, contracts), (all_reports, _, _) = made
+    assert contracts == 137 and 137 <= min(reports, contacts) and max(reports, contacts) < 250 and all_reports == 1500
+
+
+def test_requested_tables_with_null_and_repeated_keys(spark):
+    from ledgerguard.operators import evaluate as E
+    t = {"requests": spark.createDataFrame([(1, " CT-1 "), (2, "CT-1"), (3, None), (4, "CT-9")], "request_id long, seq string"),
+         "contracts": spark.createDataFrame([(1, "CT-1"), (1, "CT-1"), (None, None), (2, "CT-2"), (None, "CT-9")], "Id long, SequenceNumber string"),
+         "customers": None, "payableinvoices": None}
+    for name, columns, rows in (("leasefinances", "Id long, ContractId long", [(5, 1), (5, 1), (6, 2), (None, 1), (7, None)]),
+                                ("loanfinances", "Id long, ContractId long", [(8, 2)]), ("receivables", "Id long, EntityId long", [(10, 1), (None, 1), (11, 2)]),
+                                ("leasefundings", "LeaseFinanceId long, PayableInvoiceId long", [(5, 1), (5, 1), (6, 1)]),
+                                ("receivabledetails", "ReceivableId long, Balance long", [(10, 3), (10, 3), (11, 4), (None, 5)])):
+        t[name] = spark.createDataFrame(rows, columns)
+    got = {n: sorted(map(str, map(tuple, df.collect()))) for n, df in E.requested_tables(t).items() if df is not None and n != "requests"}
+    assert got["contracts"] == ["(1, 'CT-1')", "(1, 'CT-1')", "(None, 'CT-9')"] and {"(5, 1)", "(None, 1)"} <= set(got["leasefinances"])
+    assert got["leasefinances"].count("(5, 1)") == got["leasefundings"].count("(5, 1)") == got["receivabledetails"].count("(10, 3)") == 2
+    assert "(6, 2)" not in got["leasefinances"] and got["loanfinances"] == [] and "(10, 1)" in got["receivables"]
