@@ -38,6 +38,24 @@ def test_leak_scan_equals_brute_force(spark):
     assert got == {(i, x) for i, text in enumerate(texts) for x in values if _found(x, text)}
 
 
+def test_leak_scan_by_a_bitmap_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(M, "FEW_VALUES", 0)
+    test_leak_scan_equals_brute_force(spark)
+    test_values_that_share_words_are_no_candidates_of_each_other(spark)
+
+
+def test_words_of_texts_are_looked_up_in_compiled_code_and_few_pass_in_vain(spark, monkeypatch):
+    """No run of words of a text goes through a lambda (they are interpreted), and the bitmap stops nearly all that are no key."""
+    monkeypatch.setattr(M, "FEW_VALUES", 0)
+    keyed = M.value_keys(spark.range(60_000).select(F.concat(F.lit("v"), "id").alias("value")), "value")
+    texts = spark.range(2000).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(10)], F.concat(F.lit("v"), "id")).alias("text"))
+    found = M.text_keys(texts, "text", ["id"], keyed)
+    assert found.join(keyed, "key").count() == 2000
+    assert found.count() - 2000 < 2000  # of 60,000 runs that are no key
+    runs = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "xxhash64(1, _words" in line]
+    assert runs and "lambda" not in runs[0]
+
+
 def test_plain_search_equals_the_pattern(spark):
     texts = ["555-0555 555-0555-0555 x555-0555", "ann ann annann ann", "ann\tann ann  lee", "Ann Lee's ann lee", "a b a b a", "ann", "", "_ann ann_", "annann", "ann-ann"]
     values = ["555-0555", "ann", "Ann Lee", "a b a", "b", "ann."]
